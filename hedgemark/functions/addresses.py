@@ -28,49 +28,56 @@ def _v4_bound(address: str) -> int:
     return reduce(lambda acc, part: acc * 256 + int(part), address.split("."), 0)
 
 
-def v6_digits(address: Column) -> Column:
-    """A version 6 address as 32 hexadecimal digits, else null."""
-    lowered = F.lower(address)
-    quad = F.regexp_extract(lowered, r"([0-9]+(?:\.[0-9]+){3})$", 1)
-    number = v4_number(quad)
-    words = F.concat(
-        F.regexp_replace(lowered, r"[0-9]+(?:\.[0-9]+){3}$", ""),
-        F.lower(F.hex(F.shiftrightunsigned(number, 16))), F.lit(":"),
-        F.lower(F.hex(number.bitwiseAND(F.lit(65535).cast("bigint")))),
-    )
-    text = F.when(quad == "", lowered).otherwise(words)
-    head = F.filter(F.split(F.substring_index(text, "::", 1), ":"), lambda w: w != "")
-    tail = F.when(
-        text.contains("::"),
-        F.filter(F.split(F.substring_index(text, "::", -1), ":"), lambda w: w != ""),
-    ).otherwise(F.array().cast("array<string>"))
+def _v6_words(address: Column) -> Column:
+    """A version 6 address with an embedded quad written as two words."""
+    quad = F.regexp_extract(address, r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    digits = F.lpad(F.lower(F.hex(v4_number(quad))), 8, "0")
+    words = F.concat(F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
+    return F.when(address.contains("."), F.concat(F.regexp_replace(address, r"[0-9]+(?:\.[0-9]+){3}$", ""), words)).otherwise(address)
+
+
+def _full_words(text: Column) -> Column:
+    """The words of an address, a ``::`` filled up to eight."""
+    words_of = lambda part: F.filter(F.split(part, ":"), lambda w: w != "")
+    head, tail = words_of(F.substring_index(text, "::", 1)), words_of(F.substring_index(text, "::", -1))
+    none = F.array().cast("array<string>")
+    tail = F.when(text.contains("::"), tail).otherwise(none)
     gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0)))
-    full = F.transform(F.concat(head, gap, tail), lambda w: F.lpad(w, 4, "0"))
-    return F.when(address.contains(":") & (F.size(full) == 8), F.array_join(full, ""))
+    return F.concat(head, gap, tail)
 
 
-def address_class(address: Column, allow_loopback: bool = False) -> Column:
-    """Why an address is not public, or ``public``; null for text that is no address.
+def address_classes(addresses: Column, allow_loopback: bool = False) -> Column:
+    """For each address why it is not public, or ``public``; null for text that is none.
 
     A version 6 address that wraps a version 4 one is judged as the latter.
     """
-    digits = v6_digits(address)
-    wrapped = F.when(
-        F.substring(digits, 1, 24) == "0" * 20 + "ffff",
-        F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"),
-    )
-    number = F.coalesce(v4_number(address), wrapped)
-    rules = [(kind, number.between(_v4_bound(lo), _v4_bound(hi))) for kind, lo, hi in V4_RANGES]
-    rules += [(kind, number.isNull() & digits.between(lo, hi)) for kind, lo, hi in V6_RANGES]
-    result = F.when(number.isNull() & digits.isNull(), F.lit(None).cast("string"))
-    for kind, test in rules:
-        result = result.when(test, F.lit("public" if allow_loopback and kind == "loopback" else kind))
-    return result.otherwise("public")
+    parsed = F.transform(addresses, lambda a: F.struct(
+        v4_number(a).alias("v4"), F.when(a.contains(":"), _full_words(_v6_words(F.lower(a)))).alias("words"),
+    ))
+    numbers = F.transform(parsed, lambda s: F.struct(
+        s["v4"].alias("v4"),
+        F.when(F.size(s["words"]) == 8, F.array_join(F.transform(s["words"], lambda w: F.lpad(w, 4, "0")), "")).alias("v6"),
+    ))
+    unwrapped = F.transform(numbers, lambda s: F.struct(
+        F.when(s["v6"].startswith("0" * 20 + "ffff"), F.conv(F.substring(s["v6"], 25, 8), 16, 10).cast("bigint"))
+        .otherwise(s["v4"]).alias("v4"),
+        s["v6"].alias("v6"),
+    ))
+
+    def judge(s: Column) -> Column:
+        rules = [(kind, s["v4"].between(_v4_bound(lo), _v4_bound(hi))) for kind, lo, hi in V4_RANGES]
+        rules += [(kind, s["v4"].isNull() & s["v6"].between(lo, hi)) for kind, lo, hi in V6_RANGES]
+        result = F.when(s["v4"].isNull() & s["v6"].isNull(), F.lit(None).cast("string"))
+        for kind, test in rules:
+            result = result.when(test, F.lit("public" if allow_loopback and kind == "loopback" else kind))
+        return result.otherwise("public")
+
+    return F.transform(unwrapped, judge)
 
 
 def has_blocked_address(addresses: Column, allow_loopback: bool = False) -> Column:
     """True if any address of the array must not be contacted."""
-    return F.coalesce(
-        F.exists(addresses, lambda a: F.coalesce(address_class(a, allow_loopback) != "public", F.lit(False))),
-        F.lit(False),
+    blocked = F.exists(
+        address_classes(addresses, allow_loopback), lambda c: F.coalesce(c != "public", F.lit(False))
     )
+    return F.coalesce(blocked, F.lit(False))

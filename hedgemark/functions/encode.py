@@ -5,15 +5,20 @@ from __future__ import annotations
 import ipaddress
 import re
 import socket
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hedgemark.functions.hosts import is_plain_host, is_usable_host
 
+# Send the helper itself to the executors, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NUMERIC = re.compile(r"(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,3}\Z")
 _LETTER_DIGIT = {"Ll", "Lo", "Lm", "Mn", "Mc", "Nd"}
 _DEVIATIONS = {"ß", "ς"}
@@ -74,6 +79,11 @@ def _encode(hosts: pd.Series) -> pd.Series:
     return hosts.map(known).astype(object).where(hosts.notna(), None)
 
 
+# The result depends on the host alone. The mark keeps the planner from copying the
+# whole chain of URL expressions into every filter on a host or a normal URL.
+_encode = _encode.asNondeterministic()
+
+
 def canonical_host(text: Column) -> Column:
     """Host for matching. Plain names never reach Python: they are sent as null."""
     plain = is_plain_host(text)

@@ -21,11 +21,7 @@ def trimmed(text: Column) -> Column:
 def host_text(host: Column) -> Column:
     """Lower case, no final dots, no brackets, no zone id."""
     lowered = F.regexp_replace(F.lower(trimmed(host)), r"\.+\z", "")
-    bare = F.when(
-        lowered.startswith("["),
-        F.regexp_replace(F.regexp_replace(lowered, r"^\[", ""), r"\]+\z", ""),
-    ).otherwise(lowered)
-    return F.substring_index(bare, "%", 1)
+    return F.substring_index(F.regexp_replace(lowered, r"(?s)^\[(.*?)\]*\z", "$1"), "%", 1)
 
 
 def is_plain_host(text: Column) -> Column:
@@ -43,21 +39,26 @@ def is_address(host: Column) -> Column:
     return host.rlike(QUAD) | host.rlike(_V6)
 
 
-def registrable_domain(host: Column) -> Column:
-    """Last two labels, or three below a two-label suffix; addresses stay whole."""
-    lowered = F.lower(host)
-    tidy = F.when(
-        lowered.rlike(r"^\.|\.\.|\.$"),
-        F.regexp_replace(F.regexp_replace(lowered, r"\.{2,}", "."), r"^\.|\.$", ""),
-    ).otherwise(lowered)
-    two = F.substring_index(tidy, ".", -2)
+def _domain_of_tidy(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
     return (
-        F.when(is_address(lowered) | ~tidy.contains("."), lowered)
-        .when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(tidy, ".", -3))
+        F.when(~host.contains(".") | is_address(host), host)
+        .when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3))
         .otherwise(two)
     )
 
 
+def registrable_domain(host: Column) -> Column:
+    """Last two labels of a normal host, or three below a two-label suffix.
+
+    Addresses and single labels stay whole.
+    """
+    tidy = F.regexp_replace(F.regexp_replace(host, r"\.{2,}", "."), r"^\.|\.$", "")
+    return F.when(
+        host.rlike(r"^\.|\.\.|\.$"), F.when(tidy.contains("."), _domain_of_tidy(tidy)).otherwise(host)
+    ).otherwise(_domain_of_tidy(host))
+
+
 def host_suffixes(host: Column) -> Column:
     """Every label suffix of a host, the host itself first."""
     labels = F.split(host, r"\.")

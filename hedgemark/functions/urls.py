@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.functions.encode import canonical_host
-from hedgemark.functions.hosts import host_text, is_usable_host, trimmed
+from hedgemark.functions.hosts import host_text, trimmed
 
 # Punctuation that text leaves at the end of a URL (fixed value).
 TRAILING_JUNK = r"""[\\).,;:!?'"\]]+\z"""
@@ -19,24 +19,41 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(trimmed(url), TRAILING_JUNK, "")
 
 
-def _host_and_port(text: Column) -> Column:
-    authority = F.regexp_extract(text, r"^[^:]+://([^/?#]*)", 1)
-    return F.regexp_replace(authority, r"^.*@", "")
+def url_text(url: Column) -> Column:
+    """The part of a find that is parsed; null unless it is http or https with an authority."""
+    text = trimmed(clean_url(url))
+    return F.regexp_extract(text, r"(?is)^(https?://[^/?#].*)", 1)
 
 
-def _raw_host(host_port: Column) -> Column:
-    host = F.regexp_extract(host_port, _AUTHORITY_HOST, 1)
-    return F.regexp_replace(host, r"^\[+|\]+$", "")
+def site_of(text: Column) -> Column:
+    """Host and port, without user information; empty for no URL."""
+    return F.regexp_replace(F.regexp_extract(text, r"^[^:]+://([^/?#]*)", 1), r"^.*@", "")
 
 
-def _has_authority(text: Column) -> Column:
-    return text.rlike(r"(?i)^https?://[^/?#]")
+def name_of(site: Column) -> Column:
+    """The host as text, before encoding."""
+    host = F.regexp_extract(site, _AUTHORITY_HOST, 1)
+    return host_text(F.regexp_replace(host, r"^\[+|\]+$", ""))
 
 
-def is_web_url(url: Column) -> Column:
-    """True if the URL would normalise: http or https with a usable host."""
-    text = trimmed(clean_url(url))
-    return _has_authority(text) & is_usable_host(host_text(_raw_host(_host_and_port(text))))
+def assemble(text: Column, site: Column, tail: Column, host: Column) -> Column:
+    """The normal form from its parts; null if the host is."""
+    secure = F.lower(F.substring(text, 1, 5)) == "https"
+    digits = F.regexp_replace(
+        F.regexp_extract(site, _AUTHORITY_HOST + r":([0-9]*)", 2), r"^0+(?=[0-9])", ""
+    )
+    port = F.concat(F.lit(":"), digits)
+    standard = port.isin(":") | F.when(secure, port == ":443").otherwise(port == ":80")
+    return F.concat(
+        F.when(secure, "https://").otherwise("http://"), host,
+        F.when(F.contains(site, F.lit(":")) & ~standard, port).otherwise(""),
+        F.when(tail.rlike(r"^(?:\?|\z)"), "/").otherwise(""), tail,
+    )
+
+
+def tail_of(text: Column) -> Column:
+    """Path and query as they stand, without the fragment."""
+    return F.regexp_extract(text, r"^[^:]+://[^/?#]*([^#]*)", 1)
 
 
 def with_normal_url(df: DataFrame, url: str, out: str = "normalized_url",
@@ -44,27 +61,15 @@ def with_normal_url(df: DataFrame, url: str, out: str = "normalized_url",
     """Add the normal form of ``url`` and its host; both null when it is no web URL.
 
     Runs inside the scan, without a shuffle: everything but the encoding of
-    unusual hosts is a built-in expression.
+    unusual hosts is a built-in expression, and each part is worked out once.
     """
-    text, tail, site, name = "__text", "__tail", "__site", "__name"
-    step = df.withColumn(text, trimmed(clean_url(F.col(url))))
-    step = step.withColumn(text, F.when(_has_authority(F.col(text)), F.col(text)))
-    step = step.withColumn(site, _host_and_port(F.col(text))).withColumn(
-        tail, F.regexp_extract(text, r"^[^:]+://[^/?#]*([^#]*)", 1)
-    )
-    step = step.withColumn(name, host_text(_raw_host(F.col(site))))
-    step = step.withColumn(host, canonical_host(F.col(name)))
-    scheme = F.when(F.lower(F.substring(text, 1, 5)) == "https", "https").otherwise("http")
-    digits = F.regexp_replace(
-        F.regexp_extract(site, _AUTHORITY_HOST + r":([0-9]*)", 2), r"^0+(?=[0-9])", ""
-    )
-    standard = F.when(scheme == "https", "443").otherwise("80")
-    port = F.when((digits == "") | (digits == standard), "").otherwise(F.concat(F.lit(":"), digits))
-    path = F.when(
-        (F.col(tail) == "") | F.col(tail).startswith("?"), F.concat(F.lit("/"), tail)
-    ).otherwise(F.col(tail))
-    step = step.withColumn(out, F.concat(scheme, F.lit("://"), F.col(host), port, path))
-    return step.drop(text, tail, site, name)
+    c = F.col
+    step = df.withColumn("__text", url_text(c(url)))
+    step = step.withColumns({"__site": site_of(c("__text")), "__tail": tail_of(c("__text"))})
+    step = step.withColumn("__name", name_of(c("__site")))
+    step = step.withColumn(host, canonical_host(c("__name")))
+    step = step.withColumn(out, assemble(c("__text"), c("__site"), c("__tail"), c(host)))
+    return step.drop("__text", "__site", "__tail", "__name")
 
 
 def without_dot_segments(path: Column) -> Column:

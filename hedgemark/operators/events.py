@@ -12,29 +12,37 @@ _HEX64 = "^[0-9a-f]{64}$"
 _HEX128 = "^[0-9a-f]{128}$"
 
 
-def _piece(path: str) -> Column:
-    return F.try_variant_get(F.col("event"), f"$.{path}", "variant")
+_FIELDS = ("id", "pubkey", "created_at", "kind", "tags", "content", "sig")
 
 
-def _type(path: str) -> Column:
-    return F.schema_of_variant(_piece(path))
+def _opened(feed: DataFrame) -> DataFrame:
+    """Each field of the JSON event as its own VARIANT, with its JSON type.
 
-
-def _string(path: str) -> Column:
-    """The text of a JSON string; null for any other JSON type."""
-    return F.when(_type(path) == "STRING", F.try_variant_get(F.col("event"), f"$.{path}", "string"))
-
-
-def _integer(path: str) -> Column:
-    return F.when(_type(path) == "BIGINT", F.try_variant_get(F.col("event"), f"$.{path}", "bigint"))
-
-
-def event_id_text() -> Column:
+    Later steps read these columns, so no field is parsed out twice.
+    """
+    step = feed.withColumns({
+        f"v_{f}": F.try_variant_get(F.col("event"), f"$.{f}", "variant") for f in _FIELDS
+    })
+    step = step.withColumns({f"t_{f}": F.schema_of_variant(f"v_{f}") for f in _FIELDS})
+    text = {f"s_{f}": F.when(F.col(f"t_{f}") == "STRING", F.try_variant_get(F.col(f"v_{f}"), "$", "string"))
+            for f in ("id", "pubkey", "content", "sig")}
+    number = {f"n_{f}": F.when(F.col(f"t_{f}") == "BIGINT", F.try_variant_get(F.col(f"v_{f}"), "$", "bigint"))
+              for f in ("created_at", "kind")}
+    step = step.withColumns({
+        **text, **number,
+        "a_tags": F.when(F.col("t_tags").startswith("ARRAY"), F.try_variant_get(F.col("v_tags"), "$", "array<variant>")),
+    })
+    return step
+
+
+def _closed(step: DataFrame) -> DataFrame:
+    return step.drop(*[f"{p}_{f}" for f in _FIELDS for p in "vtsna"])
+
+
+def _id_text() -> Column:
     """The JSON array whose SHA-256 is the event id."""
-    def part(path: str, missing: str) -> Column:
-        piece = _piece(path)
-        text = F.to_json(piece)
-        return F.when(piece.isNull() | F.is_variant_null(piece), F.lit(missing)).otherwise(text)
+    def part(field: str, missing: str) -> Column:
+        return F.when(F.coalesce(F.col(f"t_{field}"), F.lit("VOID")) == "VOID", missing).otherwise(F.to_json(f"v_{field}"))
 
     return F.concat(
         F.lit("[0,"), part("pubkey", "null"), F.lit(","), part("created_at", "null"), F.lit(","),
@@ -44,10 +52,9 @@ def event_id_text() -> Column:
 
 def recompute_event_ids(feed: DataFrame) -> DataFrame:
     """Add the claimed and the recomputed id and whether they agree."""
-    step = feed.withColumn("event_id", F.lower(_string("id"))).withColumn(
-        "computed_id", F.sha2(event_id_text(), 256)
-    )
-    return step.withColumn("id_matches", F.coalesce(F.col("event_id") == F.col("computed_id"), F.lit(False)))
+    step = _opened(feed).withColumns({"event_id": F.lower("s_id"), "computed_id": F.sha2(_id_text(), 256)})
+    return _closed(step).withColumn(
+        "id_matches", F.coalesce(F.col("event_id") == F.col("computed_id"), F.lit(False)))
 
 
 def first_d_tag(tags: Column) -> Column:
@@ -67,79 +74,81 @@ def derive_addresses(events: DataFrame) -> DataFrame:
     )
 
 
-def _is_hex(path: str, pattern: str) -> Column:
-    return F.coalesce(F.lower(_string(path)).rlike(pattern), F.lit(False))
+def _is_hex(field: str, pattern: str) -> Column:
+    return F.coalesce(F.lower(f"s_{field}").rlike(pattern), F.lit(False))
 
 
-def check_events(feed: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Add ``reason``: the first rule an event breaks, null if it breaks none.
-
-    Signatures are judged by their form, and by a boolean column ``sig_ok`` if
-    the feed has one.
-    """
-    variants = F.try_variant_get(F.col("event"), "$.tags", "array<variant>")
-    strings_of = lambda t: F.filter(
-        F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array().cast("array<variant>")),
-        lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)),
+def _reason(limits: Limits, signed: Column) -> Column:
+    strings = F.transform(
+        "a_tags", lambda t: F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array().cast("array<variant>"))
     )
-    too_long = F.exists(
-        variants,
-        lambda t: F.exists(
-            strings_of(t),
-            lambda x: F.octet_length(F.try_variant_get(x, "$", "string")) > limits.max_tag_bytes,
-        ),
-    )
-    computed = F.sha2(event_id_text(), 256)
-    signed = F.coalesce(F.col("sig_ok"), F.lit(False)) if "sig_ok" in feed.columns else F.lit(True)
-    kind_ok = F.coalesce(_integer("kind").isin(*limits.allowed_kinds), F.lit(False))
-    is_list = F.coalesce(_type("tags").startswith("ARRAY"), F.lit(False))
-    is_object = F.coalesce(F.schema_of_variant("event").startswith("OBJECT"), F.lit(False))
-    reason = (
-        F.when(~is_object, "invalid_event")
+    too_long = F.exists(strings, lambda tag: F.exists(
+        tag, lambda x: F.coalesce(
+            (F.schema_of_variant(x) == "STRING")
+            & (F.octet_length(F.try_variant_get(x, "$", "string")) > limits.max_tag_bytes), F.lit(False)),
+    ))
+    return (
+        F.when(~F.coalesce(F.schema_of_variant("event").startswith("OBJECT"), F.lit(False)), "invalid_event")
         .when(~_is_hex("id", _HEX64), "invalid_id")
         .when(~_is_hex("pubkey", _HEX64), "invalid_pubkey")
-        .when(_integer("created_at").isNull(), "invalid_created_at")
-        .when(~kind_ok, "unsupported_kind")
-        .when(_string("content").isNull(), "invalid_content")
-        .when(F.octet_length(_string("content")) > limits.max_content_bytes, "content_too_large")
-        .when(~is_list, "invalid_tags")
-        .when(F.size(variants) > limits.max_tags, "too_many_tags")
+        .when(F.col("n_created_at").isNull(), "invalid_created_at")
+        .when(~F.coalesce(F.col("n_kind").isin(*limits.allowed_kinds), F.lit(False)), "unsupported_kind")
+        .when(F.col("s_content").isNull(), "invalid_content")
+        .when(F.octet_length("s_content") > limits.max_content_bytes, "content_too_large")
+        .when(F.col("a_tags").isNull(), "invalid_tags")
+        .when(F.size("a_tags") > limits.max_tags, "too_many_tags")
         .when(too_long, "tag_too_long")
         .when(~_is_hex("sig", _HEX128), "invalid_signature")
-        .when(computed != F.lower(_string("id")), "id_mismatch")
+        .when(F.sha2(_id_text(), 256) != F.lower("s_id"), "id_mismatch")
         .when(~signed, "invalid_signature")
     )
-    return feed.withColumn("reason", reason)
 
 
-def typed_events(checked: DataFrame) -> DataFrame:
-    """Typed columns of the accepted events of ``check_events``."""
+def _judged(feed: DataFrame, limits: Limits) -> DataFrame:
+    signed = F.coalesce(F.col("sig_ok"), F.lit(False)) if "sig_ok" in feed.columns else F.lit(True)
+    return _opened(feed).withColumn("reason", _reason(limits, signed))
+
+
+def check_events(feed: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Add ``reason``: the first rule an event breaks, null if it breaks none.
+
+    Signatures are judged by their form, and by a boolean column ``sig_ok`` if
+    the feed has one.
+    """
+    return _closed(_judged(feed, limits))
+
+
+def _kept(df: DataFrame, test) -> DataFrame:
+    """Rows that pass ``test``, checked where they are made.
+
+    A plain filter would be moved below the columns it tests and every field of
+    the event would be worked out a second time.
+    """
+    return df.select(F.inline(F.filter(F.array(F.struct(*df.columns)), test)))
+
+
+def accepted_events(feed: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Typed columns of the events that break no rule."""
     tags = F.transform(
-        F.try_variant_get(F.col("event"), "$.tags", "array<variant>"),
-        lambda t: F.coalesce(
-            F.try_variant_get(t, "$", "array<string>"), F.array().cast("array<string>")
-        ),
+        "a_tags", lambda t: F.coalesce(F.try_variant_get(t, "$", "array<string>"), F.array().cast("array<string>"))
     )
-    typed = checked.filter(F.col("reason").isNull()).select(
-        F.lower(_string("id")).alias("event_id"),
-        F.lower(_string("pubkey")).alias("pubkey"),
-        _integer("created_at").alias("created_at"),
-        _integer("kind").cast("int").alias("kind"),
-        tags.alias("tags"),
-        _string("content").alias("content"),
-        "relay", "received_at",
+    typed = _judged(feed, limits).select(
+        "reason", F.lower("s_id").alias("event_id"), F.lower("s_pubkey").alias("pubkey"),
+        F.col("n_created_at").alias("created_at"), F.col("n_kind").cast("int").alias("kind"),
+        tags.alias("tags"), F.col("s_content").alias("content"), "relay", "received_at",
     )
-    return derive_addresses(typed)
+    return derive_addresses(_kept(typed, lambda r: r["reason"].isNull()).drop("reason"))
+
+
+def rejected_events(feed: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Id, reason and origin of the events that break a rule."""
+    checked = _judged(feed, limits).select(F.col("s_id").alias("event_id"), "reason", "relay", "received_at")
+    return _kept(checked, lambda r: r["reason"].isNotNull())
 
 
 def validate_events(feed: DataFrame, limits: Limits = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Accepted events with typed columns, and rejected rows with their reason."""
-    checked = check_events(feed, limits)
-    rejected = checked.filter(F.col("reason").isNotNull()).select(
-        F.try_variant_get(F.col("event"), "$.id", "string").alias("event_id"),
-        "reason", "relay", "received_at",
-    )
-    return typed_events(checked), rejected
+    return accepted_events(feed, limits), rejected_events(feed, limits)
 
 
 def dedup_events(valid: DataFrame) -> DataFrame:

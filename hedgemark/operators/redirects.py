@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hedgemark.config import DEFAULTS, REDIRECT_STATUSES, Limits
 from hedgemark.functions.addresses import has_blocked_address
 from hedgemark.functions.urls import absolute_location, with_normal_url
-from hedgemark.operators.joins import BROADCAST_ROWS, fits_broadcast, spread_join
+from hedgemark.operators.joins import BROADCAST_ROWS, spread_join
 from hedgemark.sources.tables import stage
 
 SETTLED = ("completed", "skipped_host")
@@ -92,9 +92,9 @@ def _hop(index: int) -> Column:
 
 
 def _step(pending: DataFrame, edges: DataFrame, index: int, limits: Limits,
-          unobserved: str, broadcast_rows: int, hot_rows: int) -> DataFrame:
+          unobserved: str, few: bool, broadcast_rows: int, hot_rows: int) -> DataFrame:
     """Visit the current URL of every open chain."""
-    if fits_broadcast(pending, broadcast_rows):
+    if few:
         # few chains left: filter the edges in place of shuffling them
         wanted = pending.select("url").distinct()
         near = edges.join(F.broadcast(wanted), "url", "left_semi")
@@ -132,8 +132,13 @@ def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
     pending = stage(start.withColumn("hops", F.array().cast(_HOPS)), "chains-start")
     finished = []
     for index in range(limits.max_redirects + 1):
+        # reads no more rows than the bound
+        open_chains = pending.limit(broadcast_rows + 1).count()
+        if open_chains == 0:
+            break
+        few = open_chains <= broadcast_rows
         visited = stage(
-            _step(pending, edges, index, limits, unobserved, broadcast_rows, hot_rows).select(
+            _step(pending, edges, index, limits, unobserved, few, broadcast_rows, hot_rows).select(
                 "start_url", "hops", "status", "final_url", "next_url", "next_hostname", "next_skip"
             ),
             f"chains-{index}",
@@ -143,9 +148,8 @@ def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
             "start_url", F.col("next_url").alias("url"), F.col("next_hostname").alias("hostname"),
             F.coalesce("next_skip", F.lit(False)).alias("skip"), "hops",
         )
-        if pending.isEmpty():
-            break
-    chains = reduce(DataFrame.unionByName, finished)
+    chains = reduce(DataFrame.unionByName, finished) if finished else pending.select(
+        "start_url", F.lit("").alias("status"), F.col("url").alias("final_url"), "hops")
     last = F.element_at("hops", -1)
     total = lambda name: F.aggregate("hops", F.lit(0).cast("bigint"), lambda acc, h: acc + h[name])
     return chains.select(

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.config import ARTICLE_KIND, DEFAULTS, Limits
-from hedgemark.functions.hosts import host_suffixes, host_text, registrable_domain, trimmed
+from hedgemark.functions.hosts import (
+    host_suffixes, host_text, is_usable_host, registrable_domain, trimmed,
+)
 from hedgemark.functions.encode import canonical_host
-from hedgemark.functions.urls import clean_url, is_web_url, with_normal_url
+from hedgemark.functions.urls import (
+    assemble, clean_url, name_of, site_of, tail_of, url_text, with_normal_url,
+)
 
 # Patterns of the five ways a URL appears in text (fixed values).
 MARKDOWN_IMAGE = r"(?i)!\[[^\]]*\]\((https?://[^)\s]+)"
@@ -95,18 +99,25 @@ def extract_urls(events: DataFrame, limits: Limits | None = None, keep_empty: bo
     finds = F.raise_error(F.concat(F.lit("no extractor for kind "), kind.cast("string"))).cast(_FINDS)
     for known, extractor in registry.items():
         finds = F.when(kind == known, extractor(F.col("tags"), F.col("content"))).otherwise(finds)
-    usable = events.select(
-        "event_id", F.filter(finds, lambda f: is_web_url(f["original_url"])).alias("finds")
-    )
+    # each part of a URL is worked out once and handed on inside the array
+    parsed = F.transform(finds, lambda f: F.struct(f.alias("find"), url_text(f["original_url"]).alias("text")))
+    sited = F.transform(parsed, lambda f: F.struct(
+        f["find"].alias("find"), f["text"].alias("text"), site_of(f["text"]).alias("site")))
+    named = F.transform(sited, lambda f: F.struct(
+        f["find"].alias("find"), f["text"].alias("text"), f["site"].alias("site"),
+        name_of(f["site"]).alias("name")))
+    usable = events.select("event_id", F.filter(named, lambda f: is_usable_host(f["name"])).alias("finds"))
     if limits is not None:
         usable = usable.withColumn("finds", F.slice("finds", 1, limits.max_urls_per_event))
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    rows = usable.select("event_id", explode("finds").alias("position", "find")).select(
-        "event_id", F.col("position").cast("bigint").alias("position"), "find.*"
-    )
-    return with_normal_url(rows, "original_url").select(
-        "event_id", "position", "original_url", "normalized_url", "hostname",
-        "source_type", "source_location",
+    rows = usable.select("event_id", explode("finds").alias("position", "f")).withColumn(
+        "hostname", canonical_host(F.col("f.name")))
+    return rows.select(
+        "event_id", F.col("position").cast("bigint").alias("position"),
+        F.col("f.find.original_url").alias("original_url"),
+        assemble(F.col("f.text"), F.col("f.site"), tail_of(F.col("f.text")), F.col("hostname")).alias("normalized_url"),
+        "hostname", F.col("f.find.source_type").alias("source_type"),
+        F.col("f.find.source_location").alias("source_location"),
     )
 
 

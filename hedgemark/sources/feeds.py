@@ -36,19 +36,20 @@ def write_feed(feed: DataFrame, path: str, files: int) -> None:
 
 
 def read_list_bodies(spark: SparkSession, path: str, limits: Limits = DEFAULTS) -> DataFrame:
-    """List bodies, one file each. Files over the size limit keep a null body.
+    """List bodies landed as ``blocklist_id=<id>/<file>``, one file per list.
 
-    The limit is tested on the file length, so the content of larger files is not read.
+    The size limit is tested on the file length, so the content of larger files
+    is never read; they keep a null body.
     """
     files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     within = F.col("length") <= limits.max_list_bytes
-    small = files.filter(within).select(
-        name.alias("blocklist_id"), F.col("length").alias("bytes"),
-        F.decode("content", "UTF-8").alias("body"),
-    )
-    large = files.filter(~within).select(
-        name.alias("blocklist_id"), F.col("length").alias("bytes"),
-        F.lit(None).cast("string").alias("body"),
-    )
+    columns = [F.col("blocklist_id").cast("string"), F.col("length").alias("bytes")]
+    small = files.filter(within).select(*columns, F.decode("content", "UTF-8").alias("body"))
+    large = files.filter(~within).select(*columns, F.lit(None).cast("string").alias("body"))
     return small.unionByName(large)
+
+
+def write_list_bodies(bodies: DataFrame, path: str) -> None:
+    """Land typed-in bodies, one file per list."""
+    bodies.select("blocklist_id", F.col("body").alias("value")).write.partitionBy("blocklist_id").option(
+        "maxRecordsPerFile", 1).text(path)
