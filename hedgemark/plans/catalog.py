@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hedgemark.functions.addresses import address_classes
-from hedgemark.functions.hosts import trimmed
-from hedgemark.functions.urls import with_normal_url
 from hedgemark.operators import audit, constraints, events as ev, labels as lab
 from hedgemark.operators import policy as pol, redirects as red, scan as sc, state as st
 from hedgemark.operators import urls as url_jobs
@@ -654,7 +652,7 @@ def rate_window_audit(spark, sf):
 
 @query
 def stream_rate_windows(spark, sf):
-    return live.run_rate_windows(spark, inp.request_log(spark, sf), _path(spark, "rates"), inp.LIMITS)
+    return live.run_rate_windows(spark, inp.request_log(spark, sf), _path(spark, "rates"), inp.LIMITS, late="40 days")
 
 
 @query
@@ -663,6 +661,14 @@ def replay_detection(spark, sf):
     return found.select("id", "times", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
+@query
+def stream_replays(spark, sf):
+    """Files land out of order here, so the window spans the whole log."""
+    from dataclasses import replace
+    limits = replace(inp.LIMITS, replay_window_s=40 * 86_400)
+    return live.run_replays(spark, inp.request_log(spark, sf), _path(spark, "replays"), limits)
+
+
 @query
 def stream_ingest_counters(spark, sf):
     return live.run_counters(spark, inp.feed_path(spark, sf), _path(spark, "counters"), inp.LIMITS)

@@ -134,12 +134,13 @@ def run_counters(spark: SparkSession, feed: str, root: str, limits: Limits = DEF
     return latest_rows(read_changes(spark, f"{root}/log"), ["window_start", "relay", "outcome"], ["seq"]).drop("seq", "batch")
 
 
-def run_rate_windows(spark: SparkSession, requests: DataFrame, root: str, limits: Limits = DEFAULTS) -> DataFrame:
-    """The rate audit over a landed request log, finished windows in update mode."""
+def run_rate_windows(spark: SparkSession, requests: DataFrame, root: str, limits: Limits = DEFAULTS,
+                     late: str = "1 hour") -> DataFrame:
+    """The rate audit over a landed request log; rows may be ``late`` by that much."""
     landed = f"{root}/requests"
     requests.repartition(8).write.parquet(landed)
     log = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(landed)
-    used = audit.rate_window_audit(log.withWatermark("ts", "40 days"), limits)
+    used = audit.rate_window_audit(log.withWatermark("ts", late), limits)
     _drain(used, root, "rates", _log_to(f"{root}/log"), "update")
     return latest_rows(read_changes(spark, f"{root}/log"), ["key", "window_start"], ["seq"]).drop("seq", "batch")
 
