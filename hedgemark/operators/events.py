@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hedgemark.config import ARTICLE_KIND, DEFAULTS, Limits
 from hedgemark.functions.hosts import trimmed
+from hedgemark.operators.joins import spread_join
 
 _HEX64 = "^[0-9a-f]{64}$"
 _HEX128 = "^[0-9a-f]{128}$"
@@ -51,8 +52,14 @@ def _id_text() -> Column:
 
 
 def recompute_event_ids(feed: DataFrame) -> DataFrame:
-    """Add the claimed and the recomputed id and whether they agree."""
-    step = _opened(feed).withColumns({"event_id": F.lower("s_id"), "computed_id": F.sha2(_id_text(), 256)})
+    """Add the claimed and the recomputed id and whether they agree.
+
+    Only an event with whole numbers for time and kind has an id.
+    """
+    whole = F.col("n_created_at").isNotNull() & F.col("n_kind").isNotNull()
+    step = _opened(feed).withColumns({
+        "event_id": F.lower("s_id"), "computed_id": F.when(whole, F.sha2(_id_text(), 256)),
+    })
     return _closed(step).withColumn(
         "id_matches", F.coalesce(F.col("event_id") == F.col("computed_id"), F.lit(False)))
 
@@ -215,11 +222,13 @@ def fetch_newest_match(requests: DataFrame, events: DataFrame) -> DataFrame:
 
     Events are reduced to one row per article before the join.
     """
-    newest = events.groupBy("kind", F.lower("pubkey").alias("author"), "d_tag").agg(
+    article = F.concat_ws(":", F.col("kind").cast("string"), F.lower("pubkey"), "d_tag")
+    newest = events.filter("d_tag is not null").groupBy(article.alias("article")).agg(
         F.max(F.struct("created_at", "event_id")).alias("newest")
     )
-    asked = requests.withColumn("author", F.lower("pubkey"))
-    return asked.join(newest, ["kind", "author", "d_tag"]).select(
+    asked = requests.withColumn("article", F.when(F.col("d_tag").isNotNull(), article))
+    joined = spread_join(asked, newest, "article", "inner", tie=requests.columns)
+    return joined.select(
         *requests.columns,
         F.col("newest.event_id").alias("event_id"),
         F.col("newest.created_at").alias("created_at"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.config import LABEL_KIND
+from hedgemark.operators.joins import spread_join
 from hedgemark.operators.state import latest_scans
 
 
@@ -26,9 +27,9 @@ def label_plan(classifications: DataFrame, categories: DataFrame, relays: DataFr
     wanted = classifications.select("event_id", "category_id").distinct()
     hint = relays.groupBy("event_id").agg(F.min("relay_url").alias("source_relay"))
     known = existing.select("event_id", "category_id", F.lit("reuse").alias("action"))
+    named = spread_join(wanted, categories.select("category_id", "slug"), "category_id", "inner", tie=["event_id"])
     return (
-        wanted.join(categories.select("category_id", "slug"), "category_id")
-        .join(hint, "event_id", "left")
+        named.join(hint, "event_id", "left")
         .join(known, ["event_id", "category_id"], "left")
         .withColumn("action", F.coalesce("action", F.lit("draft")))
     )

@@ -81,11 +81,11 @@ def hop_edges(log: DataFrame, skip_hosts: DataFrame, limits: Limits = DEFAULTS,
     return flag_skip_hosts(edges, skip_hosts, "next_hostname", "next_skip", tie=["url"])
 
 
-def _hop(index: int) -> Column:
+def _hop() -> Column:
     visited = F.col("observed").isNotNull() & ~F.col("skip")
     ms = lambda c: F.when(visited, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c)
     return F.struct(
-        F.lit(index).alias("hop_index"), "url", "hostname",
+        F.size("hops").alias("hop_index"), "url", "hostname",
         *[F.when(visited, F.col(c)).alias(c) for c in ("resolved_ip", "http_status", "location")],
         ms("dns_ms"), ms("connect_ms"), ms("head_ms"),
     )
@@ -112,7 +112,7 @@ def _step(pending: DataFrame, edges: DataFrame, index: int, limits: Limits,
         .when(F.col("outcome").isNotNull(), F.col("outcome"))
         .when(loop, "redirect_loop")
     )
-    done = joined.withColumn("hops", F.concat("hops", F.array(_hop(index)).cast(_HOPS))).withColumn("status", status)
+    done = joined.withColumn("hops", F.concat("hops", F.array(_hop()).cast(_HOPS))).withColumn("status", status)
     return done.withColumn(
         "final_url", F.when(F.col("status") == "redirect_loop", F.col("next_url")).otherwise(F.col("url"))
     )

@@ -26,7 +26,9 @@ def latest_scans(scans: DataFrame) -> DataFrame:
 def classification_categories(classifications: DataFrame, categories: DataFrame) -> DataFrame:
     """Current classifications whose category is still enabled."""
     enabled = categories.filter("enabled").select("category_id", "slug", "blocks_serving")
-    return classifications.filter(F.col("status") == "current").drop("status").join(enabled, "category_id")
+    current = classifications.filter(F.col("status") == "current").drop("status")
+    # a handful of categories share all rows: never shuffle on this key
+    return spread_join(current, enabled, "category_id", "inner", tie=["scan_id"])
 
 
 def scan_verdicts(scans: DataFrame, classified: DataFrame) -> DataFrame:
@@ -82,23 +84,23 @@ def batch_lookup(keys: DataFrame, addresses: DataFrame, states: DataFrame,
     """
     sizes = keys.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limits.lookup_batch)
     asked = spread_join(keys, sizes.select("batch", F.lit(True).alias("oversize")), "batch", "left", tie=["pos"])
+    named = F.concat_ws(":", F.col("kind").cast("string"), "pubkey", "d_tag").alias("article")
     known = addresses.select(
-        "kind", "pubkey", "d_tag", "current_event_id", "current_event_created_at",
-        F.lit(True).alias("known"),
-    )
+        named, "current_event_id", "current_event_created_at", F.lit(True).alias("known"))
     present = states.select(
-        "kind", "pubkey", "d_tag", F.col("status").alias("state"), "blacklisted", "event_id",
+        named, F.col("status").alias("state"), "blacklisted", "event_id",
         "categories", "scanned_at", "policy_generation",
     )
-    article = ["kind", "pubkey", "d_tag"]
-    joined = asked.join(known.join(present, article, "left"), article, "left")
+    # one row per article on the right; an article asked for very often is spread
+    joined = spread_join(
+        asked.select("*", named), known.join(present, "article", "left"), "article", "left", tie=["batch", "pos"])
     error = F.when(F.col("oversize"), "batch too large").when(F.col("kind") != ARTICLE_KIND, "unsupported kind")
     valid = error.isNull()
     missing = F.when(F.col("known").isNull() | F.col("current_event_id").isNull(), "unknown").otherwise("pending")
     shown = lambda c: F.when(valid, c)
     return joined.select(
         "batch", "pos", "kind", "pubkey", "d_tag", error.alias("error"),
-        shown(F.concat_ws(":", F.col("kind").cast("string"), "pubkey", "d_tag")).alias("article_address"),
+        shown(F.col("article")).alias("article_address"),
         shown(F.coalesce("state", missing)).alias("status"), shown(F.col("blacklisted")).alias("blacklisted"),
         shown(F.when(F.col("state").isNull(), F.col("current_event_id")).otherwise(F.col("event_id"))).alias("event_id"),
         shown(F.col("current_event_created_at")).alias("event_created_at"),
@@ -118,7 +120,8 @@ def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, occurre
     chain = hops.groupBy("normalized_url").agg(F.array_sort(F.collect_list(F.struct(
         "hop_index", F.col("url").alias("hop_url"), "hostname", "http_status", "location",
     ))).alias("hops"))
-    with_hops = resolutions.join(chain, "normalized_url", "left").groupBy("scan_id").agg(
+    placed = spread_join(resolutions, chain, "normalized_url", "left", tie=["event_id"])
+    with_hops = placed.groupBy("scan_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "primary_position", "normalized_url", "status", "final_url", "redirect_count", "hops",
         ))).alias("resolutions")

@@ -15,6 +15,7 @@ from hedgemark.functions.encode import canonical_host
 from hedgemark.functions.urls import (
     assemble, clean_url, name_of, site_of, tail_of, url_text, with_normal_url,
 )
+from hedgemark.operators.joins import spread_join
 
 # Patterns of the five ways a URL appears in text (fixed values).
 MARKDOWN_IMAGE = r"(?i)!\[[^\]]*\]\((https?://[^)\s]+)"
@@ -109,9 +110,12 @@ def extract_urls(events: DataFrame, limits: Limits | None = None, keep_empty: bo
     usable = events.select("event_id", F.filter(named, lambda f: is_usable_host(f["name"])).alias("finds"))
     if limits is not None:
         usable = usable.withColumn("finds", F.slice("finds", 1, limits.max_urls_per_event))
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    rows = usable.select("event_id", explode("finds").alias("position", "f")).withColumn(
-        "hostname", canonical_host(F.col("f.name")))
+    # the outer form: the inner one would have the planner test the array first,
+    # which means extracting everything a second time
+    rows = usable.select("event_id", F.posexplode_outer("finds").alias("position", "f"))
+    if not keep_empty:
+        rows = rows.filter(F.col("position").isNotNull())
+    rows = rows.withColumn("hostname", canonical_host(F.col("f.name")))
     return rows.select(
         "event_id", F.col("position").cast("bigint").alias("position"),
         F.col("f.find.original_url").alias("original_url"),
@@ -172,11 +176,13 @@ def classify_targets(df: DataFrame, query: str, limits: Limits = DEFAULTS) -> Da
 
 def suffix_rows(df: DataFrame, host: str = "hostname", out: str = "suffix") -> DataFrame:
     """One row per label suffix of the host, for tree matching by equi-join."""
-    return df.withColumn(out, F.explode(host_suffixes(F.col(host))))
+    return df.withColumn(out, F.explode_outer(host_suffixes(F.col(host))))
 
 
-def domain_tree_match(df: DataFrame, domains: DataFrame, host: str = "hostname") -> DataFrame:
-    """Pairs where the host is the listed domain or lies below it."""
-    return suffix_rows(df, host).join(
-        domains.select(F.col("domain").alias("suffix")).distinct(), "suffix"
-    ).withColumnRenamed("suffix", "listed_domain")
+def domain_tree_match(df: DataFrame, domains: DataFrame, tie: list[str], host: str = "hostname") -> DataFrame:
+    """Pairs where the host is the listed domain or lies below it.
+
+    Short suffixes such as ``com`` are shared by very many hosts, hence the spread.
+    """
+    listed = domains.select(F.col("domain").alias("suffix")).distinct()
+    return spread_join(suffix_rows(df, host), listed, "suffix", "inner", tie).withColumnRenamed("suffix", "listed_domain")

@@ -60,7 +60,7 @@ def read_events(spark, sf):
     return inp.feed(spark, sf).select(
         "relay", "received_at",
         F.try_variant_get("event", "$.id", "string").alias("event_id"),
-        F.try_variant_get("event", "$.created_at", "string").alias("created_at"),
+        F.try_variant_get("event", "$.sig", "string").alias("sig"),
     )
 
 
@@ -381,7 +381,7 @@ def disable_list(spark, sf):
 def domain_tree_match(spark, sf):
     domains = inp.entries(spark, sf).filter("rule_type <> 'url_prefix'").select(F.col("normalized_value").alias("domain"))
     hosts = inp.page_urls(spark, sf).filter("hostname is not null").select("page_id", "hostname")
-    return url_jobs.domain_tree_match(hosts, domains)
+    return url_jobs.domain_tree_match(hosts, domains, ["page_id"])
 
 
 @query

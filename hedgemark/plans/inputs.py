@@ -355,7 +355,7 @@ def relays(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.when(F.substring("source", -1, 1) == "9", "http://").otherwise("wss://"), "source", F.lit(".example")).alias("url"))
     last = F.substring(F.regexp_replace("url", r"\.example$", ""), -1, 1)
     return fed.unionByName(more).select(
-        "url", ~last.isin("3", "4").alias("enabled"), (last != "1").alias("read_enabled"), last.isin("0", "1", "5").alias("write_enabled"))
+        "url", (~last.isin("3", "4")).alias("enabled"), (last != "1").alias("read_enabled"), last.isin("0", "1", "5").alias("write_enabled"))
 
 
 # -- scans ------------------------------------------------------------------------
@@ -442,7 +442,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
     """API requests; every tenth event repeats the id of the one before it."""
     n = F.col("event_id")
     return table(spark, sf, "events").select(
-        F.when(n % 10 == 9, n - 1).otherwise(n).alias("id"), F.col("user_id").alias("key"), "ts",
+        F.when(n % 10 == 9, n - 1).otherwise(n).alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
         (n % 5 + 1).alias("cost"), (F.unix_timestamp("ts") - n % 140 + 10).alias("created_at"),
         F.unix_timestamp("ts").alias("arrived_at"),
     )

@@ -28,6 +28,21 @@ def build_session(app: str = "hedgemark", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a run that shuffles about ``shuffle_bytes``.
+
+    Shuffles start with enough partitions for the largest stage; adaptive execution
+    merges them where a stage turns out smaller.
+    """
+    partitions = max(8, -(-shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():

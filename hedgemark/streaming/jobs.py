@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hedgemark.config import DEFAULTS, Limits
 from hedgemark.operators import audit, events as ev, scan as sc, state as st
+from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.feeds import stream_events
 from hedgemark.sources.tables import append_changes, exists, latest_rows, read_changes, stage
 
@@ -95,6 +96,11 @@ def run_scans(spark: SparkSession, feed: str, root: str, load_policy: Callable[[
         if exists(spark, earlier):
             # a repeated batch must not see its own rows as earlier ones
             known = read_changes(spark, earlier).filter(F.col("batch") != batch_id).select("event_id")
+            # the history is filtered in place while the batch is small, not shuffled
+            landed = stage(landed, "live-landed")
+            ids = landed.select("event_id")
+            if fits_broadcast(ids):
+                known = known.join(F.broadcast(ids), "event_id", "left_semi")
             landed = landed.join(known, "event_id", "left_anti")
         fresh = stage(landed, "live-events")
         policy = load_policy()

@@ -15,7 +15,7 @@ N = "CAST(count(*) AS BIGINT)"
 
 # -- sources and sinks
 answer("read_events", """
-  SELECT relay, received_at, json_extract_string(ev, '$.id') AS event_id, json_extract_string(ev, '$.created_at') AS created_at FROM feed""")
+  SELECT relay, received_at, json_extract_string(ev, '$.id') AS event_id, json_extract_string(ev, '$.sig') AS sig FROM feed""")
 answer("read_blocklist_bodies", """
   SELECT blocklist_id, CAST(strlen(body) + 1 AS BIGINT) AS bytes,
     CASE WHEN strlen(body) + 1 <= 1500 THEN sha256(body || chr(10)) END AS checksum FROM bodies""")
@@ -39,7 +39,9 @@ answer("write_label_drafts", """
 answer("validate_events", """
   SELECT id AS event_id, relay, received_at, coalesce(reason, 'accepted') AS outcome FROM checked""")
 answer("recompute_event_ids", """
-  SELECT lower(id) AS event_id, computed_id, coalesce(lower(id) = computed_id, false) AS id_matches, relay FROM opened WHERE ev IS NOT NULL""")
+  SELECT event_id, computed_id, coalesce(event_id = computed_id, false) AS id_matches, relay FROM (
+    SELECT lower(id) AS event_id, CASE WHEN created_type IN ('BIGINT', 'UBIGINT') THEN computed_id END AS computed_id, relay
+    FROM opened WHERE ev IS NOT NULL)""")
 answer("derive_addresses", "SELECT event_id, d_tag, article_address FROM stored")
 answer("ingest_filter", f"""
   SELECT relay, event_id, created_at, rank FROM (
