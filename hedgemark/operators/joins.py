@@ -16,13 +16,14 @@ HOT_KEYS = 1_000
 SPREAD = 64
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     """True if the table has at most ``rows`` rows; reads no more than that."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, tie: Sequence[str],
-                hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS,
+                hot_rows: int | None = None, broadcast_rows: int | None = None,
                 spread: int = SPREAD) -> DataFrame:
     """Join a possibly skewed left side to a right side with few rows per key.
 
@@ -35,6 +36,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, tie: Sequ
         raise ValueError(f"join type not supported: {how}")
     if fits_broadcast(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     hot = (
         left.filter(F.col(key).isNotNull()).groupBy(key).count()
         .filter(F.col("count") > hot_rows)

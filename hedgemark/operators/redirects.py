@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hedgemark.config import DEFAULTS, REDIRECT_STATUSES, Limits
 from hedgemark.functions.addresses import has_blocked_address
 from hedgemark.functions.urls import absolute_location, with_normal_url
-from hedgemark.operators.joins import BROADCAST_ROWS, spread_join
+from hedgemark.operators import joins
+from hedgemark.operators.joins import spread_join
 from hedgemark.sources.tables import stage
 
 SETTLED = ("completed", "skipped_host")
@@ -92,7 +93,7 @@ def _hop() -> Column:
 
 
 def _step(pending: DataFrame, edges: DataFrame, index: int, limits: Limits,
-          unobserved: str, few: bool, broadcast_rows: int, hot_rows: int) -> DataFrame:
+          unobserved: str, few: bool, broadcast_rows: int, hot_rows: int | None) -> DataFrame:
     """Visit the current URL of every open chain."""
     if few:
         # few chains left: filter the edges in place of shuffling them
@@ -120,13 +121,14 @@ def _step(pending: DataFrame, edges: DataFrame, index: int, limits: Limits,
 
 def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
                       limits: Limits = DEFAULTS, unobserved: str = "connection_failure",
-                      broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = 2_000_000) -> DataFrame:
+                      broadcast_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """The chain of each distinct URL: final status, URL, host and all hops.
 
     ``urls`` has ``normalized_url, hostname``, one row per URL; ``edges`` comes
     staged from ``hop_edges``. Each round advances only the chains still open, at
     most ``max_redirects + 1`` rounds, and is written before the next one starts.
     """
+    broadcast_rows = joins.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     start = urls.select(F.col("normalized_url").alias("start_url"), F.col("normalized_url").alias("url"), "hostname")
     start = flag_skip_hosts(start, skip_hosts, "hostname", "skip", tie=["start_url"])
     pending = stage(start.withColumn("hops", F.array().cast(_HOPS)), "chains-start")

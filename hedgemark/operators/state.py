@@ -109,13 +109,11 @@ def batch_lookup(keys: DataFrame, addresses: DataFrame, states: DataFrame,
     )
 
 
-def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, occurrences: DataFrame,
-                 resolutions: DataFrame, hops: DataFrame, matches: DataFrame,
-                 classifications: DataFrame) -> DataFrame:
-    """Stored events with their relays, scans and all evidence nested.
+def scan_detail(scans: DataFrame, occurrences: DataFrame, resolutions: DataFrame, hops: DataFrame,
+                matches: DataFrame, classifications: DataFrame) -> DataFrame:
+    """One row per scan with all its evidence nested.
 
-    Every nested array is bounded by the caps of a scan; hops are nested per URL
-    first, then URLs per scan, then scans per event.
+    Every array is bounded by the caps of a scan; hops are nested per URL first.
     """
     chain = hops.groupBy("normalized_url").agg(F.array_sort(F.collect_list(F.struct(
         "hop_index", F.col("url").alias("hop_url"), "hostname", "http_status", "location",
@@ -131,14 +129,23 @@ def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, occurre
     evidence = matches.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(
         "position", "hop_index", "category_id", "blocklist_id", "matched_hostname"))).alias("matches"))
     labels = classifications.groupBy("scan_id").agg(F.array_sort(F.collect_set("category_id")).alias("categories"))
-    per_scan = scans
+    detail = scans
     for child in (finds, with_hops, evidence, labels):
-        per_scan = per_scan.join(child, "scan_id", "left")
-    per_event = per_scan.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(
-        "inserted_at", "scan_id", "status", "occurrences", "resolutions", "matches", "categories",
-    ))).alias("scans"))
+        detail = detail.join(child, "scan_id", "left")
+    return detail
+
+
+def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, details: DataFrame) -> DataFrame:
+    """Stored events with their relays, their number of scans and the latest scan.
+
+    The latest scan carries its evidence (``scan_detail``); older scans of an event,
+    which may be many, stay one row each in that table.
+    """
+    newest = latest_scans(scans.select("event_id", "scan_id", "inserted_at")).select("event_id", "scan_id")
+    counts = scans.groupBy("event_id").agg(F.count(F.lit(1)).alias("scans"))
+    latest = newest.join(details.drop("event_id"), "scan_id").withColumnRenamed("status", "scan_status")
     sources = relays.groupBy("event_id").agg(F.array_sort(F.collect_set("relay_url")).alias("relays"))
-    return events.join(sources, "event_id", "left").join(per_event, "event_id", "left")
+    return events.join(sources, "event_id", "left").join(counts, "event_id", "left").join(latest, "event_id", "left")
 
 
 def recent_events(events: DataFrame, relays: DataFrame, scans: DataFrame,

@@ -333,17 +333,16 @@ def resolve_redirects(spark, sf):
 @query
 def event_detail(spark, sf):
     s = inp.scan(spark, sf)
+    details = st.scan_detail(s.scans, s.occurrences, s.resolutions, s.hops, s.matches, s.classifications)
     detail = st.event_detail(
-        inp.stored(spark, sf).select("event_id", "kind", "article_address"), ev.event_relays(inp.valid(spark, sf)),
-        s.scans, s.occurrences, s.resolutions, s.hops, s.matches, s.classifications)
-    one = F.get("scans", F.lit(0))
-    count = lambda c: F.coalesce(F.size(one[c]), F.lit(0))
+        inp.stored(spark, sf).select("event_id", "article_address"), ev.event_relays(inp.valid(spark, sf)),
+        s.scans, details)
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return detail.select(
-        "event_id", "article_address", "relays", one["status"].alias("status"),
-        F.greatest(count("occurrences"), F.lit(0)).alias("occurrences"),
-        F.greatest(count("resolutions"), F.lit(0)).alias("resolutions"),
-        F.coalesce(F.aggregate(one["resolutions"], F.lit(0), lambda a, r: a + F.size(r["hops"])), F.lit(0)).alias("hops"),
-        F.greatest(count("matches"), F.lit(0)).alias("matches"), one["categories"].alias("categories"))
+        "event_id", "article_address", "relays", "scans", F.col("scan_status").alias("status"),
+        count("occurrences").alias("occurrences"), count("resolutions").alias("resolutions"),
+        F.coalesce(F.aggregate("resolutions", F.lit(0), lambda a, r: a + F.size(r["hops"])), F.lit(0)).alias("hops"),
+        count("matches").alias("matches"), "categories")
 
 
 @query

@@ -121,7 +121,7 @@ answer("ip_ranges", "SELECT url, ip, class FROM ip_class")
 answer("resolve_redirects", """
   SELECT normalized_url, status, final_url, final_hostname, http_status, redirect_count, error, array_to_string(path, ',') AS hops FROM page_chains""")
 answer("event_detail", """
-  SELECT s.event_id, s.article_address, s.relays, c.status, CAST(c.urls_discovered AS BIGINT) AS occurrences,
+  SELECT s.event_id, s.article_address, s.relays, CAST(1 AS BIGINT) AS scans, c.status, CAST(c.urls_discovered AS BIGINT) AS occurrences,
     CAST(c.urls_resolved AS BIGINT) AS resolutions, CAST(coalesce(h.hops, 0) AS BIGINT) AS hops, c.matches_found AS matches, k.categories
   FROM stored s JOIN scans3 c USING (event_id)
   LEFT JOIN (SELECT event_id, sum(redirect_count + 1) AS hops FROM event_urls JOIN chains USING (normalized_url) GROUP BY 1) h USING (event_id)

@@ -43,7 +43,11 @@ def database(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def difference(spark, con, sf: str, name: str, fn, sql: str | None) -> tuple[str, int, list]:
-    got = fn(spark, sf).toPandas()
+    df = fn(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return "pairs of all rows in the plan", 0, []
+    got = df.toPandas()
     if sql is None:
         return "rows-only", len(got), []
     want = con.execute(sql).df()
