@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hedgemark.sources.tables import stage
+
 # A right side of at most this many rows is broadcast; the bound is checked.
 BROADCAST_ROWS = 50_000
 # Only keys above this many left rows are spread, and at most HOT_KEYS of them:
@@ -52,3 +54,13 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, tie: Sequ
         "__part", F.explode(F.sequence(F.lit(0).cast("bigint"), ways.cast("bigint") - 1))
     ).drop("__ways")
     return dealt.join(repeated, [key, "__part"], how).drop("__part")
+
+
+def narrowed(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows of ``right`` whose key occurs in ``left``, staged.
+
+    Worth it where ``left`` is staged and few keys meet: only distinct keys are
+    shuffled, and what remains is often small enough to broadcast.
+    """
+    used = left.select(key).filter(F.col(key).isNotNull()).distinct()
+    return stage(right.join(used, key, "left_semi"), name)

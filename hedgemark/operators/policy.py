@@ -10,6 +10,7 @@ from hedgemark.functions.hosts import registrable_domain, trimmed
 from hedgemark.functions.urls import with_normal_url
 from hedgemark.operators.joins import spread_join
 from hedgemark.operators.urls import with_normal_host
+from hedgemark.sources.tables import merge_rows
 
 _IP_TOKEN = r"(?i)^((0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,3}|[0-9a-f]*:[0-9a-f]*:[0-9a-f:.]*)$"
 MATCHING_RULES = ("host", "domain")
@@ -125,6 +126,13 @@ def next_generation(generations: DataFrame) -> DataFrame:
     return generations.agg((F.coalesce(F.max("generation"), F.lit(0)) + 1).cast("bigint").alias("generation"))
 
 
+def bump_generation(generations: DataFrame, reason: str, now: int) -> DataFrame:
+    """The generation log with one more row for a policy change."""
+    row = next_generation(generations).select(
+        "generation", F.lit(reason).alias("reason"), F.lit(now).cast("bigint").alias("inserted_at"))
+    return generations.unionByName(row)
+
+
 def due_blocklists(blocklists: DataFrame, now: int, force: bool = False) -> DataFrame:
     """Lists to refresh; a failed or rejected list waits for a person."""
     due = blocklists.filter(
@@ -150,13 +158,14 @@ def finish_refresh(blocklists: DataFrame, decisions: DataFrame, now: int) -> Dat
 
 # -- upkeep -------------------------------------------------------------------
 
-def default_categories(current: DataFrame) -> DataFrame:
-    """Seed rows for the categories that are built in."""
-    return current.sparkSession.createDataFrame(
+def seed_categories(current: DataFrame) -> DataFrame:
+    """The known categories and the built-in ones; a known slug keeps its row."""
+    offered = current.sparkSession.createDataFrame(
         [(f"c-{slug}", slug, name, description, enabled, blocks)
          for slug, name, description, enabled, blocks in DEFAULT_CATEGORIES],
         "category_id string, slug string, name string, description string, enabled boolean, blocks_serving boolean",
     )
+    return merge_rows(current, offered.select(*current.columns), ["slug"], "ignore")
 
 
 def backfill_domains(entries: DataFrame) -> DataFrame:
@@ -218,15 +227,20 @@ def set_enabled(blocklists: DataFrame, enabled: bool, only: DataFrame | None = N
     ).drop("chosen")
 
 
-def list_entries(entries: DataFrame, version_id: str, limits: Limits = DEFAULTS) -> DataFrame:
-    return (
-        entries.filter(F.col("blocklist_version_id") == version_id)
-        .orderBy("normalized_value", "entry_id").limit(limits.listed_entries)
-    )
+def list_categories(categories: DataFrame) -> DataFrame:
+    return categories.orderBy("slug")
+
+
+def list_entries(entries: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """The first entries of every version by value, with their rank."""
+    by_value = Window.partitionBy("blocklist_version_id").orderBy("normalized_value", "entry_id")
+    return entries.withColumn("rank", F.row_number().over(by_value)).filter(
+        F.col("rank") <= limits.listed_entries)
 
 
-def list_versions(versions: DataFrame, blocklist_id: str) -> DataFrame:
-    return versions.filter(F.col("blocklist_id") == blocklist_id).orderBy(F.desc("inserted_at"), "version_id")
+def list_versions(versions: DataFrame) -> DataFrame:
+    """The versions of every list, newest first."""
+    return versions.orderBy("blocklist_id", F.desc("inserted_at"), "version_id")
 
 
 def list_blocklists(blocklists: DataFrame, categories: DataFrame, versions: DataFrame) -> DataFrame:

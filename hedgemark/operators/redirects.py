@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.config import DEFAULTS, REDIRECT_STATUSES, Limits
+from hedgemark.config import DEFAULT_SKIP_HOSTS, DEFAULTS, REDIRECT_STATUSES, Limits
 from hedgemark.functions.addresses import has_blocked_address
+from hedgemark.functions.hosts import trimmed
 from hedgemark.functions.urls import absolute_location, with_normal_url
 from hedgemark.operators import joins
 from hedgemark.operators.joins import spread_join
-from hedgemark.sources.tables import stage
+from hedgemark.operators.urls import with_normal_host
+from hedgemark.sources.tables import merge_rows, stage
 
 SETTLED = ("completed", "skipped_host")
 _HOPS = (
@@ -29,6 +31,23 @@ def latest_observations(log: DataFrame) -> DataFrame:
     ).select("url", "o.*")
 
 
+def default_skip_hosts(current: DataFrame) -> DataFrame:
+    """The known skip hosts and the built-in ones; a known host keeps its row."""
+    offered = current.sparkSession.createDataFrame([(h,) for h in DEFAULT_SKIP_HOSTS], "host string")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in current.schema if f.name != "host"]
+    return merge_rows(current, offered.select("host", *rest).select(*current.columns), ["host"], "ignore")
+
+
+def parse_skip_hosts(df: DataFrame, value: str) -> DataFrame:
+    """Typed hosts or URLs as hosts (column ``host``); null if they are neither."""
+    text = trimmed(F.col(value))
+    is_url = text.contains("://")
+    step = df.withColumns({"__url": F.when(is_url, text), "__host": F.when(~is_url, text)})
+    step = with_normal_host(with_normal_url(step, "__url", "__normal", "__from_url"), "__host", "__plain")
+    return step.withColumn("host", F.coalesce("__from_url", "__plain")).drop(
+        "__url", "__host", "__normal", "__from_url", "__plain")
+
+
 def flag_skip_hosts(df: DataFrame, skip_hosts: DataFrame, host: str, out: str, tie: list[str]) -> DataFrame:
     """Mark rows whose host is matched but not followed."""
     listed = skip_hosts.select(F.col("host").alias(host)).distinct().withColumn(out, F.lit(True))
@@ -139,6 +158,10 @@ def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
         if open_chains == 0:
             break
         few = open_chains <= broadcast_rows
+        if index == 1 and not few:
+            # from here on only redirect targets can be visited
+            targets = edges.filter("follows").select(F.col("next_url").alias("url")).distinct()
+            edges = stage(edges.join(targets, "url", "left_semi"), "edges-targets")
         visited = stage(
             _step(pending, edges, index, limits, unobserved, few, broadcast_rows, hot_rows).select(
                 "start_url", "hops", "status", "final_url", "next_url", "next_hostname", "next_skip"

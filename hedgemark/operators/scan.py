@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hedgemark.config import DEFAULTS, Limits
 from hedgemark.functions.hosts import registrable_domain
-from hedgemark.operators.joins import spread_join
+from hedgemark.operators.joins import narrowed, spread_join
 from hedgemark.operators.policy import domain_hits
 from hedgemark.operators.redirects import SETTLED, chain_hops, resolve_redirects
 from hedgemark.operators.urls import extract_urls
@@ -41,7 +41,8 @@ def match_hops(hops: DataFrame, hits: DataFrame) -> DataFrame:
         F.col("url").alias("matched_url"), F.col("hostname").alias("matched_hostname"),
         registrable_domain(F.col("hostname")).alias("domain"),
     ).filter(F.col("domain") != "")
-    joined = spread_join(keyed, hits, "domain", "inner", tie=["normalized_url", "hop_index"])
+    met = narrowed(keyed, hits, "domain", "domains-met")
+    joined = spread_join(keyed, met, "domain", "inner", tie=["normalized_url", "hop_index"])
     return joined.select(
         "normalized_url", "hop_index", "matched_url", "matched_hostname", F.inline("hits"),
     ).withColumn("match_type", F.lit("domain"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hedgemark.config import ARTICLE_KIND, DEFAULTS, Limits
 from hedgemark.functions.hosts import registrable_domain
-from hedgemark.operators.joins import spread_join
+from hedgemark.operators.joins import narrowed, spread_join
 from hedgemark.operators.redirects import chain_hops
 
 TERMINAL = ("clean", "matched", "partial", "failed")
@@ -218,7 +218,9 @@ def domain_verdicts(targets: DataFrame, hits: DataFrame, tie: list[str]) -> Data
 def _chain_arrays(chains: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Per URL the union over its hop hosts of an array held per domain."""
     hosts = chain_hops(chains).select("normalized_url", registrable_domain(F.col("hostname")).alias("domain"))
-    joined = spread_join(hosts.filter("domain is not null"), right, "domain", "inner", tie=["normalized_url"])
+    hosts = hosts.filter("domain is not null")
+    met = narrowed(hosts, right, "domain", f"{column}-met")
+    joined = spread_join(hosts, met, "domain", "inner", tie=["normalized_url"])
     return joined.groupBy("normalized_url").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column)
     )
@@ -227,7 +229,7 @@ def _chain_arrays(chains: DataFrame, right: DataFrame, column: str) -> DataFrame
 def url_verdicts(chains: DataFrame, hits: DataFrame) -> DataFrame:
     """Verdict of each resolved URL over all its hops."""
     step = chains.join(_chain_arrays(chains, hits, "hits"), "normalized_url", "left")
-    return _answered(step.drop("hops"))
+    return _answered(step.drop("hops").withColumnRenamed("status", "chain_status"))
 
 
 def explain_chain(chains: DataFrame, lists: DataFrame) -> DataFrame:

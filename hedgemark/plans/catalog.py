@@ -96,7 +96,7 @@ def upsert_table(spark, sf):
 
 @query
 def upsert_ignore(spark, sf):
-    """Default skip hosts added to the known ones; a known host keeps its row."""
+    """Offered hosts added to the known skip hosts; a known host keeps its row."""
     known = inp.skip_hosts(spark, sf).withColumn("origin", F.lit("known"))
     offered = inp.page_urls(spark, sf).filter("hostname is not null").select("hostname").distinct().select(
         F.col("hostname").alias("host"), F.lit("offered").alias("origin"))
@@ -113,6 +113,18 @@ def write_moderation_results(spark, sf):
     return spark.read.schema(public.schema).json(path)
 
 
+@query
+def write_target_results(spark, sf):
+    path = _path(spark, "target-results")
+    public = _page_answers(spark, sf).select(
+        F.col("hostname").alias("domain"), F.col("domain").alias("registrable_domain"), F.col("normalized_url").alias("url"),
+        "final_url", F.col("final_hostname").alias("final_domain"), "redirect_count",
+        F.col("chain_status").alias("resolution_status"), "blacklisted", "status", "categories",
+        F.transform("lists", lambda l: l["list_name"]).alias("lists"), "policy_generation")
+    public.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query
 def write_label_drafts(spark, sf):
     path = _path(spark, "drafts")
@@ -513,12 +525,43 @@ def next_generation(spark, sf):
     return pol.next_generation(inp.scan_log(spark, sf).select(F.col("policy_generation").alias("generation")))
 
 
+@query
+def bump_generation(spark, sf):
+    log = inp.scan_log(spark, sf).select(F.col("policy_generation").alias("generation")).distinct().select(
+        "generation", F.lit("invalidate").alias("reason"), F.col("generation").alias("inserted_at"))
+    return pol.bump_generation(log, "list switched off", inp.NOW)
+
+
+@query
+def skip_host_values(spark, sf):
+    """Typed skip hosts: plain hosts, URLs and text that is neither."""
+    n = F.col("page_id")
+    typed = inp.raw_urls(spark, sf).select(
+        "page_id", F.when(n % 3 == 0, F.concat(F.lit("  "), F.upper(F.regexp_extract("url", r"^https?://([^/]+)", 1)), F.lit(". ")))
+        .when(n % 3 == 1, F.col("raw_url")).when(n % 2 == 0, "not a host").otherwise("").alias("value"))
+    return red.parse_skip_hosts(typed, "value").select("page_id", "host")
+
+
 @query
 def resolution_timing(spark, sf):
     return red.resolution_timing(inp.scan(spark, sf).chains).select(
         "normalized_url", "final_hostname", "dns_ms", "connect_ms", "head_ms", "duration_ms")
 
 
+@query
+def import_lists(spark, sf):
+    """Entries of the versions an import of all bodies activates."""
+    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.LIMITS)
+    return done.entries
+
+
+@query
+def imported_versions(spark, sf):
+    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.LIMITS)
+    return pol.activate_versions(done.versions).select(
+        "version_id", "blocklist_id", "status", "entry_count", "error")
+
+
 @query
 def list_checksums(spark, sf):
     return pol.list_checksums(inp.bodies(spark, sf))
@@ -569,7 +612,9 @@ def recent_matches(spark, sf):
 
 @query
 def policy_listing(spark, sf):
-    return pol.list_entries(inp.entries(spark, sf), "v1").select("entry_id", "normalized_value")
+    from dataclasses import replace
+    return pol.list_entries(inp.entries(spark, sf), replace(inp.LIMITS, listed_entries=20)).select(
+        "blocklist_version_id", "rank", "entry_id", "normalized_value")
 
 
 @query
@@ -583,7 +628,7 @@ def blocklist_listing(spark, sf):
 
 @query
 def version_listing(spark, sf):
-    return pol.list_versions(inp.version_log(spark, sf), "b7").select("version_id", "status", "inserted_at")
+    return pol.list_versions(inp.version_log(spark, sf)).select("blocklist_id", "version_id", "status", "inserted_at")
 
 
 @query

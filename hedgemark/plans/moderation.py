@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.config import DEFAULTS, Limits
@@ -14,6 +14,7 @@ from hedgemark.operators import policy as pol
 from hedgemark.operators import redirects as red
 from hedgemark.operators import scan as sc
 from hedgemark.operators import state as st
+from hedgemark.operators.joins import spread_join
 from hedgemark.operators.urls import with_domain, with_normal_host
 from hedgemark.sources.tables import stage
 
@@ -70,3 +71,39 @@ def article_verdicts(feed: DataFrame, edges: DataFrame, skip_hosts: DataFrame, p
     events = stage(ev.dedup_events(ev.accepted_events(feed, limits)), "events")
     tables = sc.scan_articles(events, edges, policy.hits, skip_hosts, policy.generation, now, limits)
     return st.article_states(ev.current_revisions(events), tables.scans, tables.classifications, categories)
+
+
+@dataclass(frozen=True)
+class Import:
+    """What an import of list bodies adds and decides."""
+
+    decisions: DataFrame
+    versions: DataFrame
+    entries: DataFrame
+
+
+def version_id() -> Column:
+    """Id of a version, made from its list and content so that runs repeat."""
+    return F.sha2(F.concat_ws(":", "blocklist_id", "checksum"), 256)
+
+
+def import_lists(bodies: DataFrame, active: DataFrame, now: int, limits: Limits = DEFAULTS) -> Import:
+    """Parse list bodies, apply the guards, and build the new versions and entries.
+
+    A rejected body yields a failed version and no entries, so the version in force
+    stays as it is. ``active`` has ``blocklist_id, previous_count``.
+    """
+    rules = stage(pol.distinct_rules(pol.parse_blocklists(bodies, limits)), "rules")
+    decisions = stage(pol.import_decision(bodies, rules, active, limits), "decisions")
+    versions = decisions.select(
+        version_id().alias("version_id"), "blocklist_id", "checksum", "error",
+        F.when(F.col("error").isNull(), "validated").otherwise("failed").alias("status"),
+        F.when(F.col("error").isNull(), F.col("entry_count")).otherwise(0).alias("entry_count"),
+        F.when(F.col("error").isNull(), F.lit(now)).cast("bigint").alias("activated_at"),
+    )
+    accepted = versions.filter("error is null").select(
+        "blocklist_id", F.col("version_id").alias("blocklist_version_id"))
+    entries = spread_join(rules, accepted, "blocklist_id", "inner", tie=["line_no"]).select(
+        F.concat_ws(":", "blocklist_version_id", "line_no").alias("entry_id"), "blocklist_version_id",
+        "rule_type", "normalized_value", "registrable_domain")
+    return Import(decisions, versions, entries)

@@ -189,6 +189,17 @@ answer("url_verdict", f"""
   FROM page_chains c JOIN (SELECT DISTINCT normalized_url, domain FROM pu) p USING (normalized_url)
   LEFT JOIN (SELECT start_url, bool_or(blocks_serving) AS blacklisted, string_agg(DISTINCT category_slug, ',' ORDER BY category_slug) AS categories
     FROM {WALK} JOIN hits USING (domain) GROUP BY 1) v ON v.start_url = c.normalized_url""")
+CHAIN_LISTS = f"""(SELECT start_url, string_agg(list_name, ',' ORDER BY category_slug, list_name) AS names FROM (
+    SELECT DISTINCT start_url, category_slug, list_name FROM {WALK} JOIN snapshot USING (domain)) GROUP BY 1)"""
+answer("write_target_results", f"""
+  SELECT p.hostname AS domain, p.domain AS registrable_domain, c.normalized_url AS url, c.final_url, c.final_hostname AS final_domain,
+    c.redirect_count, c.status AS resolution_status, coalesce(v.blacklisted, false) AS blacklisted,
+    CASE WHEN v.start_url IS NULL THEN 'clean' ELSE 'matched' END AS status, coalesce(v.categories, '') AS categories,
+    l.names AS lists, CAST(3 AS BIGINT) AS policy_generation
+  FROM page_chains c JOIN (SELECT DISTINCT normalized_url, hostname, domain FROM pu) p USING (normalized_url)
+  LEFT JOIN (SELECT start_url, bool_or(blocks_serving) AS blacklisted, string_agg(DISTINCT category_slug, ',' ORDER BY category_slug) AS categories
+    FROM {WALK} JOIN hits USING (domain) GROUP BY 1) v ON v.start_url = c.normalized_url
+  LEFT JOIN {CHAIN_LISTS} l ON l.start_url = c.normalized_url""")
 answer("explain_chain", f"""
   SELECT c.normalized_url, h.hosts, coalesce(l.lists, '') AS lists FROM page_chains c
   JOIN (SELECT start_url, string_agg(host, ',' ORDER BY first) AS hosts FROM (
@@ -209,6 +220,24 @@ answer("next_generation", "SELECT CAST(max(policy_generation) + 1 AS BIGINT) AS
 answer("resolution_timing", """
   SELECT normalized_url, final_hostname, dns_ms, connect_ms, head_ms, dns_ms + connect_ms + head_ms AS duration_ms
   FROM chains WHERE dns_ms + connect_ms + head_ms >= 1000""")
+ERRORS = f"""(SELECT b.blocklist_id, sha256(b.blocklist_id || ':' || sha256(b.body)) AS version_id, coalesce(r.n, 0) AS n,
+    CASE WHEN strlen(b.body) > 1500 THEN 'download too large' WHEN coalesce(r.n, 0) > 22 THEN 'too many entries'
+      WHEN coalesce(r.n, 0) = 0 THEN 'no valid entries'
+      WHEN p.previous_count > 0 AND r.n * 2 < p.previous_count THEN 'suspicious entry count decrease' END AS error
+    FROM bodies b LEFT JOIN (SELECT blocklist_id, {N} AS n FROM {DISTINCT} GROUP BY 1) r USING (blocklist_id)
+    LEFT JOIN previous p USING (blocklist_id))"""
+answer("import_lists", f"""
+  SELECT e.version_id || ':' || r.line_no AS entry_id, e.version_id AS blocklist_version_id, r.rule_type, r.normalized_value, r.registrable_domain
+  FROM {DISTINCT} r JOIN {ERRORS} e USING (blocklist_id) WHERE e.error IS NULL""")
+answer("imported_versions", f"""
+  SELECT version_id, blocklist_id, CASE WHEN error IS NULL THEN 'active' ELSE 'failed' END AS status,
+    CASE WHEN error IS NULL THEN n ELSE 0 END AS entry_count, error FROM {ERRORS}""")
+answer("bump_generation", f"""
+  SELECT DISTINCT CAST(policy_generation AS BIGINT) AS generation, 'invalidate' AS reason, CAST(policy_generation AS BIGINT) AS inserted_at FROM scan_log
+  UNION ALL SELECT max(policy_generation) + 1, 'list switched off', {NOW} FROM scan_log""")
+answer("skip_host_values", r"""
+  SELECT page_id, CASE page_id % 3 WHEN 0 THEN rtrim(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '.')
+    WHEN 1 THEN hostname END AS host FROM pu""")
 answer("list_checksums", "SELECT blocklist_id, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS checksum FROM bodies")
 
 # -- windows, top-k, sets
@@ -233,12 +262,13 @@ answer("recent_matches", """
     ORDER BY e.last_seen_at DESC, m.scan_id, m.position, m.hop_index, m.category_id LIMIT 200) m
   JOIN cats c USING (category_id) JOIN lists l USING (blocklist_id) JOIN scans3 s ON s.scan_id = m.scan_id""")
 answer("policy_listing", """
-  SELECT entry_id, normalized_value FROM entries WHERE blocklist_version_id = 'v1' ORDER BY normalized_value, entry_id LIMIT 200""")
+  SELECT * FROM (SELECT blocklist_version_id, row_number() OVER (PARTITION BY blocklist_version_id ORDER BY normalized_value, entry_id) AS rank,
+    entry_id, normalized_value FROM entries) WHERE rank <= 20""")
 answer("blocklist_listing", """
   SELECT r.blocklist_id, r.name, c.slug AS category_slug, a.version_id AS active_version_id, a.entry_count
   FROM registry r LEFT JOIN cats c USING (category_id)
   LEFT JOIN (SELECT * FROM activated WHERE new_status = 'active') a USING (blocklist_id)""")
-answer("version_listing", "SELECT version_id, status, inserted_at FROM version_log WHERE blocklist_id = 'b7'")
+answer("version_listing", "SELECT blocklist_id, version_id, status, inserted_at FROM version_log")
 answer("relay_union", """
   SELECT url FROM relay_table WHERE enabled AND read_enabled UNION SELECT 'wss://' || lang || '.example' FROM documents""")
 

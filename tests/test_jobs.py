@@ -150,6 +150,15 @@ def test_import_decisions(spark):
     assert after == {"ok": (None, "ok", 1_100), "less": (pol.DECREASE, "rejected", 5), "idle": (None, "idle", 5)}
 
 
+def test_seeds_keep_known_rows(spark):
+    known = spark.createDataFrame([("mine", "adult", "My adult", "d", False, False)],
+                                  "category_id string, slug string, name string, description string, enabled boolean, blocks_serving boolean")
+    got = {r.slug: r.name for r in pol.seed_categories(known).collect()}
+    assert got == {"adult": "My adult", "malware": "Malware", "scam": "Scam", "spam": "Spam"}
+    hosts = red.default_skip_hosts(spark.createDataFrame([("m.primal.net", 1)], "host string, added int"))
+    assert hosts.count() == 4 and hosts.filter("added = 1").count() == 1
+
+
 def test_failed_version_leaves_old_one_active(spark):
     df = spark.createDataFrame([("b", "v1", "active", 1), ("b", "v2", "failed", None), ("c", "v3", "active", 1), ("c", "v4", "validated", 2)],
                                "blocklist_id string, version_id string, status string, activated_at bigint")

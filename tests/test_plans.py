@@ -47,7 +47,7 @@ def test_newest_per_relay_is_cut_before_the_shuffle(spark, sf):
 
 
 def test_top_lists_are_heaps(spark, sf):
-    assert "TakeOrderedAndProject" in plan(catalog.QUERIES["policy_listing"](spark, sf))
+    assert plan(catalog.QUERIES["policy_listing"](spark, sf)).count("WindowGroupLimit") == 2
     assert "TakeOrderedAndProject" in plan(inp.stored(spark, sf).orderBy(F.desc("last_seen_at"), "event_id").limit(100))
 
 
@@ -105,6 +105,6 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
 
 
 def test_staged_tables_go_to_the_named_folder(spark, sf):
-    named = spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert named and tb.run_dir(spark).startswith(named)
-    assert tb.stage(spark.range(3), "x").inputFiles()[0].startswith(named)
+    assert named in tb.stage(spark.range(3), "x").inputFiles()[0]
