@@ -24,35 +24,43 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None, nulls: bool = False) -> list:
+    """The keys with more than ``hot_rows`` rows, at most ``HOT_KEYS`` of them.
+
+    With ``nulls`` a missing key counts as a key too. Counts are combined before the shuffle, and only the top keys reach the driver.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    rows = df.select(key) if nulls else df.select(key).filter(F.col(key).isNotNull())
+    top = (
+        rows.groupBy(key).count()
+        .filter(F.col("count") > hot_rows).orderBy(F.desc("count"), key).limit(HOT_KEYS)
+    )
+    return [row[key] for row in top.collect()]
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, tie: Sequence[str],
                 hot_rows: int | None = None, broadcast_rows: int | None = None,
                 spread: int = SPREAD) -> DataFrame:
     """Join a possibly skewed left side to a right side with few rows per key.
 
-    ``right`` should be a staged table, as its size is checked first. A small one
-    is broadcast. Otherwise rows of hot keys are dealt out over ``spread``
-    sub-keys by a hash of ``tie``, and only the right rows of those keys are
-    repeated; all other rows join as usual.
+    The size of ``right`` is checked first, so it should be a staged or small table:
+    up to ``broadcast_rows`` rows are broadcast. Otherwise rows of hot keys are dealt
+    out over ``spread`` sub-keys by a hash of ``tie``, and only the right rows of those
+    keys are repeated; without hot keys it is a plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join type not supported: {how}")
     if fits_broadcast(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    hot = (
-        left.filter(F.col(key).isNotNull()).groupBy(key).count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), key).limit(HOT_KEYS)
-        .select(key, F.lit(spread).alias("__ways"))
-    )
-    # at most HOT_KEYS rows, hence safe to broadcast
-    ways = F.coalesce(F.col("__ways"), F.lit(1))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn(
-        "__part", F.pmod(F.xxhash64(*tie), ways.cast("bigint"))
-    ).drop("__ways")
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn(
-        "__part", F.explode(F.sequence(F.lit(0).cast("bigint"), ways.cast("bigint") - 1))
-    ).drop("__ways")
+    # a left join keeps rows without a key, which would all meet in one task
+    hot = hot_keys(left, key, hot_rows, nulls=how == "left")
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(None in hot))
+    dealt = left.withColumn(
+        "__part", F.when(is_hot, F.pmod(F.xxhash64(*tie), F.lit(spread)).cast("int")).otherwise(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("__part", F.explode(parts))
     return dealt.join(repeated, [key, "__part"], how).drop("__part")
 
 

@@ -20,7 +20,7 @@ from hedgemark.sources import feeds, tables as tb
 def test_spread_join_equals_plain_join_with_a_hot_key(spark, how):
     rng = random.Random(7)
     left = spark.createDataFrame(
-        [(i, "hot" if i % 3 == 0 else (None if i % 50 == 1 else f"k{rng.randint(0, 80)}")) for i in range(3_000)], "id int, k string")
+        [(i, "hot" if i % 3 == 0 else (None if i % 10 == 1 else f"k{rng.randint(0, 80)}")) for i in range(3_000)], "id int, k string")
     right = tb.stage(spark.createDataFrame([("hot", 1), ("hot", 2)] + [(f"k{i}", i) for i in range(60)], "k string, v int"), "r")
     got = joins.spread_join(left, right, "k", how, ["id"], hot_rows=100, broadcast_rows=1, spread=8)
     want = left.join(right, "k", how)
@@ -30,6 +30,15 @@ def test_spread_join_equals_plain_join_with_a_hot_key(spark, how):
     assert "__part" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rows_without_key_are_spread(spark):
+    left = tb.stage(spark.createDataFrame([(i, None if i % 2 else "a") for i in range(1_000)], "id int, k string"), "l")
+    assert joins.hot_keys(left, "k", 100, nulls=True) == [None, "a"] and joins.hot_keys(left, "k", 100) == ["a"]
+    right = tb.stage(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "r")
+    got = joins.spread_join(left, right, "k", "left", ["id"], hot_rows=100, broadcast_rows=1, spread=8)
+    assert got.count() == 1_000 and got.filter("v = 1").count() == 500
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 1
+
+
 def test_small_right_side_is_broadcast(spark):
     left = spark.createDataFrame([(1, "a")], "id int, k string")
     right = spark.createDataFrame([("a", 2)], "k string, v int")
