@@ -731,10 +731,11 @@ def register_extractor(spark, sf):
 
 @query
 def event_source_hook(spark, sf):
-    """The same jobs over events from another source: a Parquet table."""
+    """The same jobs over events from another source: a Parquet table of lines."""
     path = _path(spark, "other-source")
-    inp.feed(spark, sf).write.parquet(path)
-    return ev.ingest_counters(ev.check_events(spark.read.parquet(path), inp.LIMITS)).filter("counter = 'rejected'")
+    inp.feed_lines(spark, sf).write.parquet(path)
+    feed = feeds.parse_feed(spark.read.parquet(path))
+    return ev.ingest_counters(ev.check_events(feed, inp.LIMITS)).filter("counter = 'rejected'")
 
 
 @query

@@ -23,7 +23,7 @@ from hedgemark.sources import feeds
 from hedgemark.sources.tables import run_dir, stage
 
 BASE = 1_704_067_200
-NOW = BASE + 87_000
+NOW = BASE + 86_520
 SCANNED = BASE + 132_800
 GENERATION = 3
 LIMITS = Limits(

@@ -12,7 +12,8 @@ def parse_feed(lines: DataFrame) -> DataFrame:
     """Landed lines ``{"relay": .., "received_at": .., "event": {..}}`` as columns.
 
     The event stays a VARIANT so that its JSON types can still be told apart. A
-    line that is no JSON keeps a null event and is rejected later.
+    line that is no JSON keeps a null event and is rejected later. Store events as
+    text: a VARIANT written to Parquet may come back with other number types.
     """
     parsed = lines.select(F.try_parse_json("value").alias("line"))
     return parsed.select(

@@ -14,7 +14,7 @@ SUFFIXES = (
     "co.in com.sg com.tw co.za com.ar github.io blogspot.com"
 ).split()
 BASE = 1704067200
-NOW = BASE + 87000
+NOW = BASE + 86520
 SCANNED = BASE + 132800
 JUNK = r"""[\\).,;:!?''"\]]+$"""
 
