@@ -151,7 +151,7 @@ def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
     start = urls.select(F.col("normalized_url").alias("start_url"), F.col("normalized_url").alias("url"), "hostname")
     start = flag_skip_hosts(start, skip_hosts, "hostname", "skip", tie=["start_url"])
     pending = stage(start.withColumn("hops", F.array().cast(_HOPS)), "chains-start")
-    finished = []
+    finished, tail = [], []
     for index in range(limits.max_redirects + 1):
         # reads no more rows than the bound
         open_chains = pending.limit(broadcast_rows + 1).count()
@@ -168,11 +168,15 @@ def resolve_redirects(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame,
             ),
             f"chains-{index}",
         )
-        finished.append(visited.filter(F.col("status").isNotNull()).select("start_url", "status", "final_url", "hops"))
+        (tail if few else finished).append(
+            visited.filter(F.col("status").isNotNull()).select("start_url", "status", "final_url", "hops"))
         pending = visited.filter(F.col("status").isNull()).select(
             "start_url", F.col("next_url").alias("url"), F.col("next_hostname").alias("hostname"),
             F.coalesce("next_skip", F.lit(False)).alias("skip"), "hops",
         )
+    if tail:
+        # many small pieces become one table; the large early rounds are not written again
+        finished.append(stage(reduce(DataFrame.unionByName, tail), "chains-tail"))
     chains = reduce(DataFrame.unionByName, finished) if finished else pending.select(
         "start_url", F.lit("").alias("status"), F.col("url").alias("final_url"), "hops")
     last = F.element_at("hops", -1)

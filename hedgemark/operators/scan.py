@@ -108,7 +108,7 @@ def scan_articles(events: DataFrame, edges: DataFrame, hits: DataFrame, skip_hos
     """
     occurrences = stage(extract_urls(events, limits, keep_empty=True), "occurrences")
     urls = occurrences.filter(F.col("normalized_url").isNotNull()).select("normalized_url", "hostname").distinct()
-    chains = stage(resolve_redirects(urls, edges, skip_hosts, limits), "chains")
+    chains = resolve_redirects(urls, edges, skip_hosts, limits)  # made of staged rounds
     hops = chain_hops(chains)
     chain_hits = stage(match_hops(hops, domain_hits(hits)), "chain-hits")
     facts = stage(url_facts(chains, chain_hits), "url-facts")

@@ -58,7 +58,7 @@ def url_answers(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame, policy
 
     ``urls`` has ``normalized_url, hostname``, one row per URL.
     """
-    chains = stage(red.resolve_redirects(urls, edges, skip_hosts, limits), "lookup-chains")
+    chains = red.resolve_redirects(urls, edges, skip_hosts, limits)
     verdicts = st.url_verdicts(chains, pol.domain_hits(policy.hits))
     explained = st.explain_chain(chains, pol.domain_lists(policy.snapshot))
     return with_domain(verdicts.join(urls, "normalized_url").join(explained, "normalized_url")).withColumn(
