@@ -23,8 +23,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: measure -> (judged below its fence, judged above it, least distance between the quartiles)
 MEASURES = {
     "word_length": (True, True, 0.25),
-    "symbol_share": (False, True, 0.01),
-    "dup_line_share": (False, True, 0.05),
+    "symbol_share": (False, True, 0.25),
+    "dup_line_share": (False, True, 0.1),
     "repeat_share": (False, True, 0.05),
 }
 
