@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hedgemark.llm import decontaminate, quality
+from hedgemark.llm import decontaminate, packing, quality, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
 from hedgemark.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_token_files(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return simple8b.read_token_files(files)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = decontaminate.Benchmark(table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     judged = decontaminate.judge(table(spark, sf_dir, "documents", ["doc_id", "text"]), benchmark, ["doc_id"])
@@ -20,6 +29,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
