@@ -45,10 +45,9 @@ def _selectors(values: np.ndarray) -> np.ndarray:
         width += rest > 0
         rest >>= 1
     top = {1: width}
-    for count in sorted(set(COUNTS) - {1}):
-        half = max(k for k in top if k < count and 2 * k >= count)
-        if n >= count:
-            top[count] = np.maximum(top[half][:n - count + 1], top[half][count - half:count - half + n - count + 1])
+    for count in sorted({c for c in COUNTS if 1 < c <= n}):
+        half = max(k for k in top if 2 * k >= count)
+        top[count] = np.maximum(top[half][:n - count + 1], top[half][count - half:])
     found = np.full(n, len(COUNTS) - 1, np.uint8)
     for selector in range(len(COUNTS) - 2, -1, -1):
         if COUNTS[selector] in top:
