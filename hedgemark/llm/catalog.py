@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hedgemark.llm import decontaminate, packing, quality, simple8b
+from hedgemark.llm import decontaminate, packing, quality, simhash, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
 from hedgemark.llm.common import table
 
@@ -24,6 +24,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("hits")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), ["doc_id"])
 
@@ -32,6 +37,7 @@ LLM_QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
