@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hedgemark.llm import decontaminate, packing, quality, simhash, simple8b
+from hedgemark.llm import decontaminate, packing, quality, secrets, simhash, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
 from hedgemark.llm.common import table
 
@@ -29,6 +29,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", ["doc_id", "text"]), ["doc_id"]).drop("parts")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), ["doc_id"])
 
@@ -38,6 +42,7 @@ LLM_QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
     "op10_quality_rules": op10_quality_rules,
 }
 
