@@ -16,8 +16,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Most words one task remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Most words one Python worker remembers anew before it forgets those it has not met since the last time.
+MEMORY = 500_000
 
 
 def public_path(name: str) -> str:
@@ -47,16 +47,26 @@ class _Encoder:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        if not PLAIN(word.removeprefix(" ")):
+        bare = word.removeprefix(" ")
+        if not PLAIN(bare):
             return self.whole(word)
-        ids = array("I")
-        for piece in self.pieces.findall(word.lower() if self.lower else word):
+        if self.lower:
+            word = word.lower()
+        if bare.isascii() and bare.isalpha():
+            return self.piece(word)
+        return b"".join([self.piece(p) for p in self.pieces.findall(word)])
+
+    def piece(self, piece: str) -> bytes:
+        found = self.merged.get(piece)
+        if found is None:
             signs = piece.replace(" ", SPACE_SIGN) if piece.isascii() else \
                 piece.encode().decode("latin-1").translate(BYTE_SIGNS)
-            ids.extend([t.id for t in self.merge(signs)])
-        return ids.tobytes()
+            found = self.merged[piece] = array("I", [t.id for t in self.merge(signs)]).tobytes()
+        return found
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,10 +77,13 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(t) for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
-        for word in {w for p in parts if p for w in p}.difference(self.known):
-            self.known[word] = self.word(word)
-        get = self.known.__getitem__
+            self.known, self.before, self.merged = {}, self.known, {}
+        known, before = self.known, self.before
+        words: set[str] = set()
+        words.update(*(p for p in parts if p))
+        for word in words.difference(known):
+            known[word] = before.get(word) or self.word(word)
+        get = known.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
