@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hedgemark.llm import decontaminate, packing, quality, secrets, simhash, simple8b
+from hedgemark.llm import decontaminate, languages, packing, quality, secrets, simhash, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
-from hedgemark.llm.common import table
+from hedgemark.llm.common import crc_fold, table
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("hits")
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    filters = languages.fit(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
+    found = docs.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+                        languages.predicted(F.col("text"), filters, spark).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -41,6 +50,7 @@ LLM_QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op6_languages": op6_languages,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op10_quality_rules": op10_quality_rules,
