@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgemark.llm import decontaminate, languages, packing, quality, secrets, simhash, simple8b
+from hedgemark.llm import counts, decontaminate, extract, languages, packing, quality, secrets, simhash, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
 from hedgemark.llm.common import crc_fold, table
 
@@ -25,6 +25,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("hits")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents", ["doc_id", "text"]), ["doc_id"])
+
+
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     filters = languages.fit(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
@@ -42,6 +46,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", ["doc_id", "text"]), ["doc_id"]).drop("parts")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    found = pages.select("page_id", "url", extract.main_text(F.col("html")).alias("text"))
+    return found.select("*", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), ["doc_id"])
 
@@ -50,9 +60,11 @@ LLM_QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_token_counts": op5_token_counts,
     "op6_languages": op6_languages,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
+    "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
