@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgemark.llm import counts, decontaminate, extract, languages, packing, quality, secrets, simhash, simple8b
+from hedgemark.llm import counts, decontaminate, extract, languages, lm, packing, quality, secrets, simhash, simple8b
 from hedgemark.llm.answers import DECONTAMINATION
 from hedgemark.llm.common import crc_fold, table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return lm.score_documents(docs.withColumn("held_out", crc_fold(F.col("doc_id"), 5) == 1))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -57,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
