@@ -1,23 +1,26 @@
-"""Public tokenizers inside tasks: ids of whole texts as bytes, one encoding per different word.
-
-Texts are cut only where the tokenizer itself always cuts (between a character that is no
-white space and a single space or line feed before another such character), so the ids of
-the parts, joined, are those of the text. A text with any other white space is encoded whole.
-A word of ASCII and Latin-1 letters goes straight to the tokenizer's merge table; any other
-word takes the tokenizer's full path.
+"""Public tokenizers inside tasks: ids of whole texts as little-endian 32-bit numbers in bytes.
+
+The ids are those of the tokenizers library; tests hold every text against it. Two things
+make that cheap. Vocabularies that drop white space see each word for itself, so different
+words are encoded once and remembered. Byte-level vocabularies have a twin file of ranks,
+which a faster library merges to the same ids; it is used for texts of common Latin
+characters, where both libraries' character classes are beyond doubt. All other words and
+texts take the tokenizers library's own full path.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from array import array
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Most words one Python worker remembers anew before it forgets those it has not met since the last time.
-MEMORY = 500_000
+MEMORY = 700_000
 
 
 def public_path(name: str) -> str:
@@ -27,97 +30,84 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"[\x21-\x7e{LETTERS}]+").fullmatch
+#: Anything but printable ASCII, line feeds and Latin characters up to U+024F.
+UNCOMMON = re.compile("[^\x20-\x7e\n¡-¬®-ɏ]").search
+#: How byte-level vocabularies split a text before merging (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that byte-level vocabularies write as another character: those without a visible one, from U+0100 on.
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
-SPACE_SIGN = chr(BYTE_SIGNS[0x20])
-
 
 class _Encoder:
-    """Little-endian 32-bit ids of texts; special-token strings in a text are ordinary text."""
-
-    pieces: re.Pattern
-    lower = False
+    """Ids of texts; special-token strings in a text are ordinary text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        bare = word.removeprefix(" ")
-        if not PLAIN(bare):
-            return self.whole(word)
-        if self.lower:
-            word = word.lower()
-        if bare.isascii() and bare.isalpha():
-            return self.piece(word)
-        return b"".join([self.piece(p) for p in self.pieces.findall(word)])
-
-    def piece(self, piece: str) -> bytes:
-        found = self.merged.get(piece)
-        if found is None:
-            signs = piece.replace(" ", SPACE_SIGN) if piece.isascii() else \
-                piece.encode().decode("latin-1").translate(BYTE_SIGNS)
-            found = self.merged[piece] = array("I", [t.id for t in self.merge(signs)]).tobytes()
-        return found
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def parts(self, text: str) -> list[str] | None:
-        raise NotImplementedError
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known, self.before, self.merged = {}, self.known, {}
-        known, before = self.known, self.before
-        words: set[str] = set()
-        words.update(*(p for p in parts if p))
-        for word in words.difference(known):
-            known[word] = before.get(word) or self.word(word)
-        get = known.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        return list(map(self.whole, texts))
 
 
 class SpacedBytes(_Encoder):
-    """Byte-level vocabularies, whose words begin with their space."""
+    """Byte-level vocabularies. ``path`` names the tokenizer's file, its ranks lie beside it as ``.tiktoken``."""
 
-    pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+")
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        made = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.merge = made.encode_ordinary
 
-    def parts(self, text: str) -> list[str] | None:
-        found: list[str] = []
-        for at, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if words != line.split():
-                return None if text else found
-            if at:
-                found.append("\n")
-            found.append(words[0])
-            found += [" " + w for w in words[1:]]
-        return found
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self.whole(t) if UNCOMMON(t) else array("I", self.merge(t)).tobytes() for t in texts]
 
 
 class BareWords(_Encoder):
     """Lower-casing vocabularies that drop white space: every word stands for itself.
 
-    The information separators U+001C to U+001F are white space to Python, but not to the tokenizer.
+    A word of ASCII and Latin-1 letters goes straight to the tokenizer's merges, piece by
+    piece. The information separators U+001C to U+001F are white space to Python, but not
+    to the tokenizer, so texts with one are encoded whole.
     """
 
     pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
-    lower = True
 
-    def parts(self, text: str) -> list[str] | None:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return None
-        return text.split()
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        if not PLAIN(word):
+            return self.whole(word)
+        word, merged = word.lower(), self.merged
+        pieces = (word,) if word.isascii() and word.isalpha() else self.pieces.findall(word)
+        for piece in pieces:
+            if piece not in merged:
+                signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+                merged[piece] = array("I", [t.id for t in self.merge(signs)]).tobytes()
+        return merged[word] if len(pieces) == 1 else b"".join([merged[p] for p in pieces])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [None if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
+        if len(self.known) > MEMORY:
+            self.known, self.before, self.merged = {}, self.known, {}
+        known, before, word_of = self.known, self.before, self.word
+        words: set[str] = set()
+        words.update(*(p for p in parts if p))
+        for word in words.difference(known):
+            known[word] = before.get(word) or word_of(word)
+        get = known.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
 _encoders: dict[tuple[type, str], _Encoder] = {}
