@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import text_blocks
-from hedgemark.llm.tokens import MEMORY, public_path
+from hedgemark.llm.tokens import public_path
 
 BEGIN = "▁"
+#: Most words one Python worker remembers before it starts anew.
+MEMORY = 800_000
 UNKNOWN_PENALTY = 10.0
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
@@ -83,7 +85,7 @@ def _counted(columns: Iterator[pd.Series], path: str) -> Iterator[pd.DataFrame]:
     for texts in columns:
         out = []
         for _, run in text_blocks(texts.tolist()):
-            if len(counter) > 2 * MEMORY:
+            if len(counter) > MEMORY:
                 counter.clear()
             for text in run:
                 words = text.translate(_SPACES).split(" ")
