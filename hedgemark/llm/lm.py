@@ -40,8 +40,8 @@ class Settings:
     """``chunk_tokens``: tokens of whole documents that are worked on together. ``shard_tokens``: tokens for each shard.
     ``m2``, ``m3``: weight of the lower order, in occurrences."""
 
-    chunk_tokens: int = 1_500_000
-    shard_tokens: int = 2_000_000
+    chunk_tokens: int = 800_000
+    shard_tokens: int = 1_000_000
     m2: float = 30.0
     m3: float = 10.0
 
@@ -114,7 +114,8 @@ def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _vocabulary(chunks: DataFrame) -> tuple[DataFrame, int]:
-    """``chunk, known`` (structs of place in the chunk's dictionary, word id, count), and the number of words learned.
+    """``chunk`` with arrays ``known_pos`` (place in the chunk's dictionary), ``known_id`` and ``known_c`` (word id and
+    count), and the number of words learned.
 
     Ids run from 0 without gaps over the words of learning documents; other words have none.
     """
@@ -132,7 +133,16 @@ def _vocabulary(chunks: DataFrame) -> tuple[DataFrame, int]:
     ids = words.join(starts, "part").select("word", F.struct((F.col("first") + F.col("place")).alias("id"), "c").alias("v"))
     found = each.select("chunk", "pos", "word").join(ids, "word")
     known = found.groupBy("chunk").agg(F.collect_list(F.struct("pos", "v.id", "v.c")).alias("known"))
-    return known, total
+    return known.select("chunk", *[F.col("known")[k].alias(f"known_{k}") for k in ("pos", "id", "c")]), total
+
+
+def _new_runs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 class _Chunk:
@@ -141,47 +151,51 @@ class _Chunk:
     def __init__(self, row, span: int, n_docs: int, n_shards: int, settings: Settings):
         end, begin, none = span - 3, span - 2, span - 1
         ids, = _unpacked(row.ids, "<u4")
-        n_words = row.n_words
-        word_id, word_count = np.full(n_words + 1, none, np.int64), np.zeros(n_words + 1, np.int64)
+        word_id = np.full(row.n_words + 1, none, np.uint32)
+        word_count = np.zeros(row.n_words + 1, np.int64)
         word_id[0], word_count[0] = end, n_docs
-        if row.known is not None and len(row.known):
-            pos, gid, c = (np.array([k[name] for k in row.known], np.int64) for name in ("pos", "id", "c"))
-            word_id[pos + 1], word_count[pos + 1] = gid, c
+        if row.known_pos is not None:
+            at = np.asarray(row.known_pos, np.int64) + 1
+            word_id[at], word_count[at] = row.known_id, row.known_c
         self.lengths = np.array(row.lengths, np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.last, self.count = word_id[ids], word_count[ids]
         starts = self.bounds[:-1]
-        self.middle = np.concatenate([[begin], self.last[:-1]])
-        self.middle[starts] = begin
-        self.middle_count = np.concatenate([[n_docs], self.count[:-1]])
-        self.middle_count[starts] = n_docs
-        self.left = np.concatenate([[begin], self.middle[:-1]])
-        self.left[starts] = begin
-        learned = np.repeat(~np.array(row.held, bool), self.lengths)
+
+        def after(values: np.ndarray, at_start: int) -> np.ndarray:
+            moved = np.empty_like(values)
+            moved[1:] = values[:-1]
+            moved[starts] = at_start
+            return moved
+
+        self.last, self.count = word_id[ids], word_count[ids]
+        middle, self.middle_count = after(self.last, begin), after(self.count, n_docs)
+        left = after(middle, begin)
         # what is in no learning document cannot be in the model, nor what follows it
-        self.asked = np.flatnonzero((self.last != none) & (self.middle != none))
-        left, middle, last = self.left[self.asked], self.middle[self.asked], self.last[self.asked]
+        self.asked = np.flatnonzero((self.last != none) & (middle != none))
+        left, middle, last = left[self.asked], middle[self.asked], self.last[self.asked]
         splits = 1 + self.middle_count[self.asked] // settings.shard_tokens
-        salt = last * 0x9E3779B1 % 0x7FFFFFFF % splits
-        shard = (middle * 0x85EBCA77 + salt * 0xC2B2AE3D) % 0x7FFFFFFFFFFF % n_shards
+        shard = last.astype(np.int64) * 0x9E3779B1 % 0x7FFFFFFF % splits
+        shard *= 0xC2B2AE3D
+        shard += middle.astype(np.int64) * 0x85EBCA77
+        shard = (shard % 0x7FFFFFFFFFFF % n_shards).astype(np.int32)
         order = np.lexsort((last, left, middle, shard))
         left, middle, last, shard = left[order], middle[order], last[order], shard[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(last) != 0) | (np.diff(left) != 0) | (np.diff(middle) != 0) | (np.diff(shard) != 0)
-        self.gram = np.empty(len(order), np.int64)
+        new = _new_runs(shard, middle, left, last)
+        self.gram = np.empty(len(order), np.int32)
         self.gram[order] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
-        counts = np.add.reduceat(learned[self.asked][order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        self.left_of, self.middle_of, self.last_of, self.shard_of, self.counts = left[at], middle[at], last[at], shard[at], counts
+        learned = np.repeat(~np.array(row.held, bool), self.lengths)[self.asked][order]
+        self.counts = np.add.reduceat(learned, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        self.left_of, self.middle_of, self.last_of, self.shard_of = left[at], middle[at], last[at], shard[at]
 
     def sent(self, chunk: int) -> list[tuple[int, int, bytes]]:
         shards, starts = np.unique(self.shard_of, return_index=True)
         ends = np.append(starts[1:], len(self.shard_of))
         out = []
         for shard, a, b in zip(shards.tolist(), starts, ends):
-            middle = np.diff(self.middle_of[a:b], prepend=0)  # rising, so small steps
-            out.append((chunk, shard, _packed(middle.astype("<i8"), self.left_of[a:b].astype("<u4"),
-                                              self.last_of[a:b].astype("<u4"), self.counts[a:b].astype("<u4"))))
+            middle = np.diff(self.middle_of[a:b], prepend=np.uint32(0))  # rising, so small steps
+            out.append((chunk, shard, _packed(middle, self.left_of[a:b], self.last_of[a:b],
+                                              self.counts[a:b].astype("<u4"))))
         return out
 
     def scores(self, row, codes: dict[int, bytes], n_tokens: int, n_words: int, n_docs: int,
@@ -208,18 +222,20 @@ class _Chunk:
 
 def _answers(frame: pd.DataFrame, span: int) -> pd.DataFrame:
     """One shard: the lists of all chunks added up, the trie built and mapped, each list answered in its order."""
-    lists = [_unpacked(g, "<i8", "<u4", "<u4", "<u4") for g in frame["grams"]]
+    lists = [_unpacked(g, "<u4", "<u4", "<u4", "<u4") for g in frame["grams"]]
     sizes = [len(x[1]) for x in lists]
-    middle = np.concatenate([np.cumsum(x[0]) for x in lists])
-    left, last, counts = (np.concatenate([x[k] for x in lists]).astype(np.int64) for k in (1, 2, 3))
+    middle = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in lists])
+    left, last, counts = (np.concatenate([x[k] for x in lists]) for k in (1, 2, 3))
+    del lists
     order = np.lexsort((last, left, middle))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(last[order]) != 0) | (np.diff(left[order]) != 0) | (np.diff(middle[order]) != 0)
+    middle, left, last = middle[order], left[order], last[order]
+    new = _new_runs(middle, left, last)
     at = np.flatnonzero(new)
-    sums = np.add.reduceat(counts[order], at)
-    middle, left, last = middle[order[at]], left[order[at]], last[order[at]]
-    where = np.empty(len(order), np.int64)
+    sums = np.add.reduceat(counts[order], at, dtype=np.int64)
+    where = np.empty(len(order), np.int32)
     where[order] = np.cumsum(new) - 1
+    middle, left, last = middle[at], left[at], last[at]
+    del order, new, at, counts
     held = sums > 0
     with tempfile.TemporaryFile() as file:
         Trie.build(middle[held], left[held], last[held], sums[held], span).write(file)
