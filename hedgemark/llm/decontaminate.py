@@ -72,13 +72,22 @@ class Benchmark:
             self.keys = {n: sorted({r["key"] for r in hashed if r["length"] == n}) for n in counts}
 
     def probe(self, docs: DataFrame) -> DataFrame:
-        """``docs`` plus ``__n_words`` and ``__found``, the candidate windows."""
+        """``docs`` plus ``__row``, ``__n_words`` and ``__found``, the candidate windows.
+
+        A filter on ``__found`` must name ``__row`` as well (see ``_with_candidates``): the planner then
+        cannot copy the costly columns into the filter, where they would be worked out for each word.
+        """
         words = docs.withColumn("w", words_of(F.col("text")))
         hashed = words.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-        return hashed.select(*docs.columns, F.size("w").cast("long").alias("__n_words"),
+        return hashed.select(*docs.columns, F.monotonically_increasing_id().alias("__row"), F.size("w").cast("long").alias("__n_words"),
                              _candidates(self.keys).alias("__found"))
 
 
+def _with_candidates(probed: DataFrame, any_: bool) -> DataFrame:
+    found = F.size("__found") > 0
+    return probed.where((F.col("__row") >= 0) & (found if any_ else ~found))
+
+
 def judge(docs: DataFrame, benchmark: Benchmark, keep: list[str]) -> DataFrame:
     """One row per document row: columns ``keep``, then ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``,
     ``contaminated`` and ``hits`` (structs of one-based word position and length, distinct, sorted).
@@ -88,8 +97,8 @@ def judge(docs: DataFrame, benchmark: Benchmark, keep: list[str]) -> DataFrame:
     neither ``text`` nor in ``keep`` are dropped first, so their names cannot clash.
     """
     slim = docs.select(F.struct(*keep).alias("doc"), "text")
-    rows = benchmark.probe(slim).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "doc", "__n_words", F.explode_outer("__found").alias("hit"))
+    rows = benchmark.probe(slim).select(F.col("__row").alias("row"), "doc", "__n_words",
+                                        F.explode_outer("__found").alias("hit"))
     # rows without a candidate get a key of their own: no window begins with a space, and none piles up on null
     rows = rows.select("row", "doc", "__n_words", F.struct("hit.at", "hit.length").alias("hit"),
                        F.coalesce("hit.window_text", F.concat(F.lit(" "), F.col("row"))).alias("window_text"))
@@ -112,9 +121,9 @@ def drop_contaminated(docs: DataFrame, benchmark: Benchmark, max_share: float =
     Rows without a candidate window pass by without a shuffle; only the few others are looked up.
     """
     probed = benchmark.probe(docs)
-    clean = probed.where(F.size("__found") == 0).select(*docs.columns)
-    names = [c for c in docs.columns]
-    suspects = stage(probed.where(F.size("__found") > 0).select(F.struct(*names).alias("whole"), "text"), "suspects")
+    clean = _with_candidates(probed, False).select(*docs.columns)
+    names = list(docs.columns)
+    suspects = stage(_with_candidates(probed, True).select(F.struct(*names).alias("whole"), "text"), "suspects")
     judged = judge(suspects, benchmark, ["whole"])
     kept = judged.where(F.col("n_hit") <= F.lit(max_share) * F.col("n_words")).select("whole.*")
     return clean.unionByName(kept)
@@ -123,10 +132,10 @@ def drop_contaminated(docs: DataFrame, benchmark: Benchmark, max_share: float =
 def remove_spans(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     """``docs`` with the hit words taken out of the texts that have any; such a text becomes its other words,
     lower-cased and joined by spaces. All other texts stay as they are."""
-    names = [c for c in docs.columns]
+    names = list(docs.columns)
     probed = benchmark.probe(docs)
-    clean = probed.where(F.size("__found") == 0).select(*names)
-    suspects = stage(probed.where(F.size("__found") > 0).select(F.struct(*names).alias("whole"), "text"), "suspects")
+    clean = _with_candidates(probed, False).select(*names)
+    suspects = stage(_with_candidates(probed, True).select(F.struct(*names).alias("whole"), "text"), "suspects")
     judged = judge(suspects, benchmark, ["whole"]).withColumn("w", words_of(F.col("whole.text")))
     hit = F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1)))
     judged = judged.withColumn("hit_words", F.array_distinct(hit))
