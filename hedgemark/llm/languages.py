@@ -23,6 +23,9 @@ from hedgemark.llm.common import code_points, sums_between, text_blocks
 from hedgemark.sources.tables import stage
 
 UNKNOWN = "und"
+#: Languages that the masks can hold.
+MOST = 64
+HASHES = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -149,13 +152,17 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     """
     spark = labelled.sparkSession
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # the smallest id hashes are chosen without touching the texts, and cut per language before the shuffle
-    keys = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    keys = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST + 1).collect()
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages do not fit the masks")
+    langs = sorted(r["lang"] for r in sizes)
+    # of a large language only about twice the sample is ranked, chosen by id hash without touching the texts
+    below = [(r["lang"], min(HASHES, 2 * settings.sample * HASHES // r["rows"] + 1)) for r in sizes]
+    keys = keys.join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang") \
+        .where(F.col("h") < F.col("below"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = stage(keys.withColumn("rank", rank).where(F.col("rank") <= settings.sample), "sample")
-    langs = [r["lang"] for r in chosen.select("lang").distinct().orderBy("lang").collect()]
-    if len(langs) > 64:
-        raise ValueError("more than 64 languages do not fit the masks")
     chosen = chosen.select("doc_id", "lang").distinct()
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = stage(sample.mapInPandas(lambda frames: _counted(frames, settings.sizes), "lang string, gram bigint, n bigint")

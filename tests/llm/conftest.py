@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 #: Texts every operator must take: nothing, white space, ties, long words, odd characters.
 ODD = [None, "", " ", "\n\n", "a", "a", "A b  c\n\nd ", "\x1cfoo\x1d bar", "É́ ́a Σας ΟΔΟΣ", "<|endoftext|> x", "w" * 70_000,
-       "one two three " * 4000, "ﬀ ½ ٣ 漢字 🙂 x\u0000y", "it's we'LL\tno\r\nyes no", "password = hunter2hunter2 AKIA" + "B" * 16]
+       "one two three " * 4000, "\x85a\xa0b × ÷ ǅ ɏ\n\n  c ", "ﬀ ½ ٣ 漢字 🙂 x\u0000y", "it's we'LL\tno\r\nyes no", "password = hunter2hunter2 AKIA" + "B" * 16]
 
 
 @pytest.fixture(scope="session")
