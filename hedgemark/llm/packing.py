@@ -1,8 +1,9 @@
 """Packing documents into training windows by multiway differencing (Karmarkar-Karp).
 
 Tokenizing cuts each document at fixed places: full windows, which are sequences of their
-own, and a rest in pieces of at most ``piece_tokens``. Only lengths and checksums travel
-on. Pieces are dealt into groups of about ``group_windows`` windows; in each group the
+own, and a rest, of which an eighth and a thirty-second part are pieces of their own: the
+small pieces let the method even out what the large ones leave. Only lengths and checksums
+travel on. Pieces are dealt into groups of about ``group_windows`` windows; in each group the
 largest differencing method merges the two partial partitions of largest imbalance, the
 fullest windows of one with the emptiest of the other, until near-equal windows remain.
 Their count starts at the least that could hold the group and rises whenever a window
@@ -26,7 +27,8 @@ from hedgemark.llm.tokens import SpacedBytes, encoder, public_path
 from hedgemark.sources.tables import stage
 
 CAPACITY = 2048
-PIECE_TOKENS = 512
+#: Parts of a document's rest that are cut off it, and the least rest that is cut.
+PARTS, LEAST_CUT = (8, 32), 64
 GROUP_WINDOWS = 512
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, piece bigint"
@@ -34,17 +36,19 @@ PACKED = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "offset bigint")
 
 
-def cuts(n: int, capacity: int, piece: int) -> list[int]:
-    """Where a document of ``n`` ids is cut: after each full window, then into equal pieces of at most ``piece``."""
+def cuts(n: int, capacity: int) -> list[int]:
+    """Where a document of ``n`` ids is cut: after each full window, then before the small parts of the rest."""
     bounds = list(range(0, n - n % capacity + 1, capacity))
     rest = n % capacity
+    if rest >= LEAST_CUT:
+        for part in range(len(PARTS)):
+            bounds.append(n - sum(rest // p for p in PARTS[part:]))
     if rest:
-        parts = -(-rest // piece)
-        bounds += [bounds[-1] + rest * (k + 1) // parts for k in range(parts)]
+        bounds.append(n)
     return bounds
 
 
-def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: int, piece: int) -> Iterator[pd.DataFrame]:
+def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: int) -> Iterator[pd.DataFrame]:
     coder, number = encoder(SpacedBytes, path), TaskContext.get().partitionId() << 32
     end = np.array([end_id], "<u4").tobytes()
     for frame in frames:
@@ -53,7 +57,7 @@ def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: in
             rows = []
             for k, found in enumerate(coder.encode(texts)):
                 ids = memoryview(found + end)
-                bounds = cuts(len(ids) // 4, capacity, piece)
+                bounds = cuts(len(ids) // 4, capacity)
                 for a, b in zip(bounds, bounds[1:]):
                     rows.append((ids_of[at + k], a, b - a, crc32(ids[4 * a:4 * b]), len(ids) // 4, number))
                     number += 1
@@ -135,7 +139,7 @@ def _pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = CAPACITY,
-                   piece_tokens: int = PIECE_TOKENS, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+                   group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole texts; a null or empty text is its end id alone. Repeated rows are packed each
@@ -145,7 +149,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ca
     vocabulary = path or public_path("byte_bpe_50k.json")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = stage(slim.mapInPandas(
-        lambda frames: _pieces(frames, vocabulary, end_id, capacity, piece_tokens), PIECES), "pieces")
+        lambda frames: _pieces(frames, vocabulary, end_id, capacity), PIECES), "pieces")
     full = pieces.where(F.col("length") == capacity).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("piece").alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))
