@@ -145,7 +145,10 @@ class Trie:
                    quantised(counts[order]))
 
     def find(self, middle: np.ndarray, left: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the counts of (middle, last) and (left, middle, last), zero where they are not in the trie."""
+        """Codes of the counts of (middle, last) and (left, middle, last), zero where they are not in the trie.
+
+        A left word from ``span`` on is none.
+        """
         level = self.levels
         codes2, codes3 = np.zeros(len(middle), np.uint16), np.zeros(len(middle), np.uint16)
         word = level["words"].find(middle)
@@ -154,7 +157,7 @@ class Trie:
         at = level["successors"].find(base + last[known].astype(U8))
         codes2[known[at >= 0]] = self.codes2[at[at >= 0]]
         pair = level["before"].find(base + left[known].astype(U8))
-        both = np.flatnonzero((at >= 0) & (pair >= 0))
+        both = np.flatnonzero((at >= 0) & (pair >= 0) & (left[known] < self.span))
         for first in range(0, len(both), SLICE):
             part = both[first:first + SLICE]
             rank = at[part] - level["first"].access(word[known[part]]).astype(np.int64)

@@ -1,7 +1,8 @@
 """Language-model scoring with a sharded Elias-Fano trigram trie.
 
-Texts are read once into chunks of whole documents with a dictionary each. Word counts and
-ids are joined per chunk and different word, not per occurrence. Each chunk then sends its
+Texts are read once into chunks of whole documents with a dictionary each. A chunk sends its
+different words with their counts in learning documents to word shards, which add them up
+and answer with ids (frequent words have small ones) and totals. Each chunk then sends its
 different trigrams, with their counts in learning documents, to shards by their middle word
 (and by the last word, too, where the middle word is so frequent that one shard would not do).
 A shard adds up the counts, builds its trie, and answers from the memory-mapped levels for
@@ -22,6 +23,7 @@ import struct
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,10 @@ from hedgemark.llm.eliasfano import Trie, least, most
 from hedgemark.sources.tables import stage
 
 
+#: Id of the words that no learning document has.
+NONE = (1 << 32) - 1
+
+
 @dataclass(frozen=True)
 class Settings:
     """``chunk_tokens``: tokens of whole documents that are worked on together. ``shard_tokens``: tokens for each shard.
@@ -46,9 +52,9 @@ class Settings:
     m3: float = 10.0
 
 
-CHUNKS = ("chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, words array<binary>, "
-          "counts array<int>, n_learned bigint, n_learned_docs bigint")
-KNOWN = "chunk bigint, ids binary, counts binary"
+CHUNKS = ("chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, "
+          "words array<struct<shard:int,places:binary,words:binary>>, n_words int, n_learned bigint, n_learned_docs bigint")
+WORDS = "chunk bigint, shard int, known binary, n_words bigint, largest bigint"
 SENT = "chunk bigint, shard int, grams binary"
 ANSWERED = "chunk bigint, shard int, codes binary"
 SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
@@ -56,26 +62,46 @@ SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tra
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    body = b"".join(a.tobytes() for a in arrays)
-    return struct.pack(f"<{len(arrays)}q", *[a.nbytes for a in arrays]) + zstandard.ZstdCompressor(level=1).compress(body)
+    """Arrays of small numbers, byte by byte position, compressed."""
+    body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a))
+    return struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = struct.unpack(f"<{len(kinds)}q", data[:8 * len(kinds)])
     body, at, out = zstandard.ZstdDecompressor().decompress(data[8 * len(kinds):]) if sum(sizes) else b"", 0, []
     for size, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(body, kind, size // np.dtype(kind).itemsize, at))
-        at += size
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * width
     return out
 
 
+#: About so many bytes of text for each token, to choose the number of shards by.
+BYTES_A_TOKEN = 6
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _chunks(frames: Iterator[pd.DataFrame], chunk_tokens: int) -> Iterator[pd.DataFrame]:
+def _word_shards(words: list[bytes], counts: np.ndarray, n_shards: int) -> list[dict]:
+    shard = np.fromiter((crc32(w) % n_shards for w in words), np.int64, len(words))
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(bounds)):
+        places = order[bounds[k]:bounds[k + 1]]
+        joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join([words[p] for p in places.tolist()]))
+        out.append({"shard": int(k), "words": joined,
+                    "places": _packed(places.astype("<u4"), counts[places].astype("<u4"))})
+    return out
+
+
+def _chunks(frames: Iterator[pd.DataFrame], chunk_tokens: int, n_shards: int) -> Iterator[pd.DataFrame]:
     """Local number 0 is the end of a text; the others are words in order of appearance."""
     part, number = TaskContext.get().partitionId(), 0
     docs, held, lengths, runs, size, numbers = [], [], [], [], 0, _Numbers({b"": 0})
@@ -86,8 +112,8 @@ def _chunks(frames: Iterator[pd.DataFrame], chunk_tokens: int) -> Iterator[pd.Da
         counts = np.bincount(ids[learned], minlength=len(numbers))
         return pd.DataFrame([{
             "chunk": (part << 32) | number, "doc_ids": docs, "held": held, "lengths": lengths, "ids": _packed(ids),
-            "words": list(numbers)[1:], "counts": counts[1:].astype(np.int32), "n_learned": int(learned.sum()),
-            "n_learned_docs": len(held) - sum(held)}])
+            "words": _word_shards(list(numbers)[1:], counts[1:], n_shards), "n_words": len(numbers) - 1,
+            "n_learned": int(learned.sum()), "n_learned_docs": len(held) - sum(held)}])
 
     for frame in frames:
         for doc_id, text, out in zip(frame["doc_id"], frame["text"], frame["held_out"]):
@@ -106,34 +132,26 @@ def _chunks(frames: Iterator[pd.DataFrame], chunk_tokens: int) -> Iterator[pd.Da
         yield row()
 
 
-def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    part, at = TaskContext.get().partitionId(), 0
-    for frame in frames:
-        yield frame.assign(part=part, place=np.arange(at, at + len(frame)))
-        at += len(frame)
-
-
-def _vocabulary(chunks: DataFrame) -> tuple[DataFrame, int]:
-    """``chunk`` with arrays ``known_pos`` (place in the chunk's dictionary), ``known_id`` and ``known_c`` (word id and
-    count), and the number of words learned.
+def _known_words(frame: pd.DataFrame, n_shards: int) -> pd.DataFrame:
+    """One word shard: totals over all chunks; ids by falling count, interleaved with those of the other shards.
 
-    Ids run from 0 without gaps over the words of learning documents; other words have none.
+    A word of no learning document has the id ``NONE``.
     """
-    spark = chunks.sparkSession
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select(
-        "chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("n"))
-    totals = each.where(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c"))
-    words = stage(totals.mapInPandas(_numbered, "word binary, c bigint, part int, place bigint"), "vocabulary")
-    sizes = words.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row per partition
-    first, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        first.append((r["part"], total))
-        total += r["n"]
-    starts = F.broadcast(spark.createDataFrame(first, "part int, first bigint"))
-    ids = words.join(starts, "part").select("word", F.struct((F.col("first") + F.col("place")).alias("id"), "c").alias("v"))
-    found = each.select("chunk", "pos", "word").join(ids, "word")
-    known = found.groupBy("chunk").agg(F.collect_list(F.struct("pos", "v.id", "v.c")).alias("known"))
-    return known.select("chunk", *[F.col("known")[k].alias(f"known_{k}") for k in ("pos", "id", "c")]), total
+    shard, totals, lists = int(frame["shard"].iloc[0]), {}, []
+    for words, places in zip(frame["words"], frame["places"]):
+        words = zstandard.ZstdDecompressor().decompress(words).split(b"\n")
+        place, counts = _unpacked(places, "<u4", "<u4")
+        lists.append((words, place))
+        for word, n in zip(words, counts.tolist()):
+            totals[word] = totals.get(word, 0) + n
+    order = sorted([w for w, n in totals.items() if n], key=lambda w: (-totals[w], w))
+    if len(order) * n_shards >= NONE - n_shards:
+        raise ValueError("word ids are 32-bit")
+    ids = {w: k * n_shards + shard for k, w in enumerate(order)}
+    known = [_packed(place, np.array([ids.get(w, NONE) for w in words], "<u4"), np.array([totals[w] for w in words], "<i8"))
+             for words, place in lists]
+    return pd.DataFrame({"chunk": frame["chunk"], "shard": shard, "known": known,
+                         "n_words": len(order), "largest": max(ids.values(), default=-1)})
 
 
 def _new_runs(*columns: np.ndarray) -> np.ndarray:
@@ -149,14 +167,14 @@ class _Chunk:
     """A chunk's tokens under global ids, and its different trigrams in the order in which they are sent."""
 
     def __init__(self, row, span: int, n_docs: int, n_shards: int, settings: Settings):
-        end, begin, none = span - 3, span - 2, span - 1
+        end, begin = span - 2, span - 1
         ids, = _unpacked(row.ids, "<u4")
-        word_id = np.full(row.n_words + 1, none, np.uint32)
+        word_id = np.full(row.n_words + 1, NONE, np.uint32)
         word_count = np.zeros(row.n_words + 1, np.int64)
         word_id[0], word_count[0] = end, n_docs
-        if row.known_pos is not None:
-            at = np.asarray(row.known_pos, np.int64) + 1
-            word_id[at], word_count[at] = row.known_id, row.known_c
+        for known in row.known if row.known is not None else ():
+            place, gid, count = _unpacked(known, "<u4", "<u4", "<i8")
+            word_id[place + np.uint32(1)], word_count[place + np.uint32(1)] = gid, count
         self.lengths = np.array(row.lengths, np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
         starts = self.bounds[:-1]
@@ -171,7 +189,7 @@ class _Chunk:
         middle, self.middle_count = after(self.last, begin), after(self.count, n_docs)
         left = after(middle, begin)
         # what is in no learning document cannot be in the model, nor what follows it
-        self.asked = np.flatnonzero((self.last != none) & (middle != none))
+        self.asked = np.flatnonzero((self.last != NONE) & (middle != NONE))
         left, middle, last = left[self.asked], middle[self.asked], self.last[self.asked]
         splits = 1 + self.middle_count[self.asked] // settings.shard_tokens
         shard = last.astype(np.int64) * 0x9E3779B1 % 0x7FFFFFFF % splits
@@ -256,18 +274,19 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = stage(slim.mapInPandas(lambda frames: _chunks(frames, settings.chunk_tokens), CHUNKS), "chunks")
-    size = chunks.agg(F.sum("n_learned"), F.sum("n_learned_docs"), F.sum(F.aggregate(
-        "lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    n_learned, n_docs, n_all = (int(x or 0) for x in size)
-    known, n_words = _vocabulary(chunks)
-    span = n_words + 3
-    if span >= 1 << 32:
-        raise ValueError("word ids are 32-bit")
-    n_shards = max(1, round(n_all / settings.shard_tokens))
-    distinct = n_words + (n_docs > 0)  # the end is a token, too
-    slim = chunks.select("chunk", "doc_ids", "held", "lengths", "ids", F.size("words").alias("n_words"))
-    tokens = stage(slim.join(known, "chunk", "left"), "tokens")
+    # texts are read twice: bytes first, for the number of shards
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shards = max(1, round(size / (BYTES_A_TOKEN * settings.shard_tokens)))
+    chunks = stage(slim.mapInPandas(lambda frames: _chunks(frames, settings.chunk_tokens, n_shards), CHUNKS), "chunks")
+    n_learned, n_docs = (int(x or 0) for x in chunks.agg(F.sum("n_learned"), F.sum("n_learned_docs")).first())
+    asked = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.shard", "w.places", "w.words")
+    words = stage(asked.groupBy("shard").applyInPandas(lambda frame: _known_words(frame, n_shards), WORDS), "words")
+    sums = words.groupBy("shard").agg(F.max("n_words").alias("n"), F.max("largest").alias("largest")) \
+        .agg(F.sum("n"), F.max("largest")).first()
+    distinct = int(sums[0] or 0) + (n_docs > 0)  # the end is a token, too
+    span = int(-1 if sums[1] is None else sums[1]) + 3
+    known = words.groupBy("chunk").agg(F.collect_list("known").alias("known"))
+    tokens = chunks.select("chunk", "doc_ids", "held", "lengths", "ids", "n_words").join(known, "chunk", "left")
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

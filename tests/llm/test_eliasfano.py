@@ -45,6 +45,8 @@ def test_trie(tokens):
         mapped = ef.Trie.mapped(file)
         asked = np.array([(a, b, c) for a in range(10) for b in range(10) for c in range(10)], np.uint32)
         two, three = mapped.find(asked[:, 1], asked[:, 0], asked[:, 2])
+        beyond = mapped.find(asked[:, 1], asked[:, 0] + np.uint32(12), asked[:, 2])
+        assert (beyond[0] == two).all() and not beyond[1].any()
     pairs = Counter()
     for (_, b, c), n in grams.items():
         pairs[b, c] += n
