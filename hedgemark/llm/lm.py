@@ -48,8 +48,8 @@ class Settings:
 
     chunk_tokens: int = 800_000
     shard_tokens: int = 1_000_000
-    m2: float = 30.0
-    m3: float = 10.0
+    m2: float = 1000.0
+    m3: float = 50.0
 
 
 CHUNKS = ("chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, "
