@@ -29,53 +29,63 @@ from hedgemark.sources.tables import stage
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = (1 << 15) - 1
-BLOCK_IDS = 8192
+BLOCK_IDS = 2048
 ROW_IDS = 1 << 18
 
 ROW_SCHEMA = ("shard int, first bigint, n_ids bigint, doc_ids array<bigint>, doc_tokens array<int>, words binary, "
               "escapes binary, block_words binary, block_escapes binary")
 
 
-def _selectors(values: np.ndarray) -> np.ndarray:
-    """For each position, the selector of the word that would begin there: the first whose ids all fit."""
+def _selectors(values: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each position, the selector of the word that would begin there: the first whose ids all fit and are
+    among the ``left`` ids that its block still has."""
     n = len(values)
     width = np.zeros(n, np.uint8)
-    rest = values.copy()
-    while rest.any():
-        width += rest > 0
-        rest >>= 1
+    for bits in range(int(values.max()).bit_length() if n else 0):
+        width += values >= (1 << bits)
     top = {1: width}
     for count in sorted({c for c in COUNTS if 1 < c <= n}):
         half = max(k for k in top if 2 * k >= count)
         top[count] = np.maximum(top[half][:n - count + 1], top[half][count - half:])
     found = np.full(n, len(COUNTS) - 1, np.uint8)
     for selector in range(len(COUNTS) - 2, -1, -1):
-        if COUNTS[selector] in top:
-            fits = top[COUNTS[selector]] <= BITS[selector]
+        count = COUNTS[selector]
+        if count in top:
+            fits = (top[count] <= BITS[selector]) & (left[:n - count + 1] >= count)
             found[:len(fits)][fits] = selector
     return found
 
 
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes) of one block of ids below 2^32."""
-    values = ids.astype(np.uint64)
+def encode_run(ids: np.ndarray) -> dict[str, bytes]:
+    """A run of ids below 2^32, its blocks walked side by side."""
+    n = len(ids)
+    values = ids.astype(np.uint32)
     escaped = values >= ESCAPE
-    escapes = ids[escaped].astype(np.uint32)
+    escapes = values[escaped]
     values[escaped] = ESCAPE
-    best = _selectors(values)
-    step = np.array(COUNTS, np.int64)[best].tolist()
-    starts, at, n = [], 0, len(step)
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts, np.int64)
-    chosen = best[starts] if n else np.zeros(0, np.uint8)
+    begin = np.arange(0, n, BLOCK_IDS)
+    end = np.minimum(begin + BLOCK_IDS, n)
+    best = _selectors(values, np.repeat(end, end - begin) - np.arange(n))
+    step = np.array(COUNTS, np.int64)[best]
+    first = np.zeros(n, bool)  # of a word
+    at, stop = begin, end
+    while len(at):
+        first[at] = True
+        at = at + step[at]
+        more = at < stop
+        if not more.all():
+            at, stop = at[more], stop[more]
+    starts = np.flatnonzero(first)
+    chosen = best[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
         rows = np.flatnonzero(chosen == selector)
         for k in range(COUNTS[selector]):
-            words[rows] |= values[starts[rows] + k] << np.uint64(k * BITS[selector])
-    return words, escapes
+            words[rows] |= values[starts[rows] + k].astype(np.uint64) << np.uint64(k * BITS[selector])
+    bounds = np.append(begin, n)
+    return {"words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u4").tobytes(),
+            "block_words": np.searchsorted(starts, bounds).astype("<u4").tobytes(),
+            "block_escapes": np.searchsorted(np.flatnonzero(escaped), bounds).astype("<u4").tobytes()}
 
 
 def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -93,19 +103,6 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_run(ids: np.ndarray) -> dict[str, bytes]:
-    words, escapes, word_at, escape_at = [], [], [0], [0]
-    for at in range(0, len(ids), BLOCK_IDS):
-        w, e = encode_block(ids[at:at + BLOCK_IDS])
-        words.append(w)
-        escapes.append(e)
-        word_at.append(word_at[-1] + len(w))
-        escape_at.append(escape_at[-1] + len(e))
-    join = lambda parts, kind: np.concatenate(parts).astype(kind).tobytes() if parts else b""
-    return {"words": join(words, "<u8"), "escapes": join(escapes, "<u4"),
-            "block_words": np.array(word_at, "<u4").tobytes(), "block_escapes": np.array(escape_at, "<u4").tobytes()}
-
-
 def decode_run(words: bytes, escapes: bytes) -> np.ndarray:
     return decode(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u4"))
 

@@ -34,6 +34,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"[\x21-\x7e{LETTERS}]+").fullmatch
 #: Anything but printable ASCII, line feeds and Latin characters up to U+024F.
 UNCOMMON = re.compile("[^\x20-\x7e\n¡-¬®-ɏ]").search
+SEPARATORS = re.compile("[\x1c-\x1f]").search
 #: How byte-level vocabularies split a text before merging (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that byte-level vocabularies write as another character: those without a visible one, from U+0100 on.
@@ -82,8 +83,7 @@ class BareWords(_Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.merge = self.tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = _Words(self, {})
         self.merged: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
@@ -98,16 +98,25 @@ class BareWords(_Encoder):
         return merged[word] if len(pieces) == 1 else b"".join([merged[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
         if len(self.known) > MEMORY:
-            self.known, self.before, self.merged = {}, self.known, {}
-        known, before, word_of = self.known, self.before, self.word
-        words: set[str] = set()
-        words.update(*(p for p in parts if p))
-        for word in words.difference(known):
-            known[word] = before.get(word) or word_of(word)
-        get = known.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+            self.known, self.merged = _Words(self, dict(self.known)), {}
+        get = self.known.__getitem__
+        return [self.whole(t) if SEPARATORS(t) else b"".join(map(get, t.split())) for t in texts]
+
+
+class _Words(dict):
+    """Ids by word, filled as words are asked for; ``before`` are those remembered earlier."""
+
+    def __init__(self, encoder: BareWords, before: dict[str, bytes]):
+        super().__init__()
+        self.word, self.before = encoder.word, before
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.word(word)
+        self[word] = found
+        return found
 
 
 _encoders: dict[tuple[type, str], _Encoder] = {}
