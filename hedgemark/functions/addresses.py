@@ -47,7 +47,7 @@ def _full_words(text: Column) -> Column:
 
 
 def address_classes(addresses: Column, allow_loopback: bool = False) -> Column:
-    """For each address why it is not public, or ``public``; null for text that is none.
+    """For each address why it is not public, or ``public``; ``invalid`` for text that is none and for null.
 
     A version 6 address that wraps a version 4 one is judged as the latter.
     """
@@ -67,7 +67,7 @@ def address_classes(addresses: Column, allow_loopback: bool = False) -> Column:
     def judge(s: Column) -> Column:
         rules = [(kind, s["v4"].between(_v4_bound(lo), _v4_bound(hi))) for kind, lo, hi in V4_RANGES]
         rules += [(kind, s["v4"].isNull() & s["v6"].between(lo, hi)) for kind, lo, hi in V6_RANGES]
-        result = F.when(s["v4"].isNull() & s["v6"].isNull(), F.lit(None).cast("string"))
+        result = F.when(s["v4"].isNull() & s["v6"].isNull(), "invalid")
         for kind, test in rules:
             result = result.when(test, F.lit("public" if allow_loopback and kind == "loopback" else kind))
         return result.otherwise("public")
@@ -76,8 +76,9 @@ def address_classes(addresses: Column, allow_loopback: bool = False) -> Column:
 
 
 def has_blocked_address(addresses: Column, allow_loopback: bool = False) -> Column:
-    """True if any address of the array must not be contacted."""
-    blocked = F.exists(
-        address_classes(addresses, allow_loopback), lambda c: F.coalesce(c != "public", F.lit(False))
-    )
-    return F.coalesce(blocked, F.lit(False))
+    """True if any address of the array must not be contacted, or there is none that could be.
+
+    Text that is no address, a missing address and a missing or empty array count as blocked.
+    """
+    blocked = F.exists(address_classes(addresses, allow_loopback), lambda c: c != "public")
+    return F.coalesce(blocked | (F.size(addresses) == 0), F.lit(True))

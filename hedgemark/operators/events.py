@@ -65,7 +65,8 @@ def recompute_event_ids(feed: DataFrame) -> DataFrame:
 
 
 def first_d_tag(tags: Column) -> Column:
-    hits = F.filter(tags, lambda t: (F.get(t, F.lit(0)) == "d") & (F.size(t) > 1))
+    """The first text that follows a ``d``; elements that are no text are null in ``tags`` and passed over."""
+    hits = F.filter(tags, lambda t: (F.get(t, F.lit(0)) == "d") & F.get(t, F.lit(1)).isNotNull())
     return F.get(F.get(hits, F.lit(0)), F.lit(1))
 
 
@@ -136,9 +137,9 @@ def _kept(df: DataFrame, test) -> DataFrame:
 
 def accepted_events(feed: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Typed columns of the events that break no rule."""
-    tags = F.transform(
-        "a_tags", lambda t: F.coalesce(F.try_variant_get(t, "$", "array<string>"), F.array().cast("array<string>"))
-    )
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    tags = F.transform("a_tags", lambda t: F.transform(
+        F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array().cast("array<variant>")), text))
     typed = _judged(feed, limits).select(
         "reason", F.lower("s_id").alias("event_id"), F.lower("s_pubkey").alias("pubkey"),
         F.col("n_created_at").alias("created_at"), F.col("n_kind").cast("int").alias("kind"),

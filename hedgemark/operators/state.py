@@ -210,6 +210,13 @@ def _answered(df: DataFrame) -> DataFrame:
     }).drop("hits")
 
 
+def without_verdict(answered: DataFrame, error: Column) -> DataFrame:
+    """Add ``target_error``; where there is one, nothing is known, so status and flag are null."""
+    known = F.col("target_error").isNull()
+    return answered.withColumn("target_error", error).withColumns({
+        "status": F.when(known, F.col("status")), "blacklisted": F.when(known, F.col("blacklisted"))})
+
+
 def domain_verdicts(targets: DataFrame, hits: DataFrame, tie: list[str]) -> DataFrame:
     """Verdict of each target with a ``domain``; ``hits`` from ``domain_hits``."""
     return _answered(spread_join(targets, hits, "domain", "left", tie))

@@ -68,7 +68,7 @@ def read_events(spark, sf):
 def read_blocklist_bodies(spark, sf):
     path = _path(spark, "bodies")
     feeds.write_list_bodies(inp.bodies(spark, sf), path)
-    return feeds.read_list_bodies(spark, path, inp.LIMITS).select(
+    return feeds.read_list_bodies(spark, path, inp.GUARD).select(
         "blocklist_id", "bytes", F.sha2("body", 256).alias("checksum"))
 
 
@@ -137,7 +137,7 @@ def write_label_drafts(spark, sf):
 
 @query
 def validate_events(spark, sf):
-    return ev.check_events(inp.feed(spark, sf), inp.LIMITS).select(
+    return ev.check_events(inp.feed(spark, sf), inp.GUARD).select(
         F.try_variant_get("event", "$.id", "string").alias("event_id"), "relay", "received_at",
         F.coalesce("reason", F.lit("accepted")).alias("outcome"))
 
@@ -191,7 +191,7 @@ def classify_targets(spark, sf):
 
 @query
 def filter_public_addresses(spark, sf):
-    return red.filter_public_addresses(inp.hop_log(spark, sf)).select("url", "observed_at")
+    return red.filter_public_addresses(inp.observations(spark, sf)).select("url", "observed_at")
 
 
 @query
@@ -328,7 +328,7 @@ def current_policy_rescan(spark, sf):
 
 @query
 def ip_ranges(spark, sf):
-    log = inp.hop_log(spark, sf).withColumn("class", address_classes(F.col("ips")))
+    log = inp.observations(spark, sf).withColumn("class", address_classes(F.col("ips")))
     return log.select("url", F.explode(F.arrays_zip("ips", "class")).alias("z")).select(
         "url", F.col("z.ips").alias("ip"), F.col("z.class").alias("class"))
 
@@ -434,17 +434,17 @@ def current_revisions(spark, sf):
 
 
 def _rules(spark, sf):
-    return pol.distinct_rules(pol.parse_blocklists(inp.bodies(spark, sf), inp.LIMITS))
+    return pol.distinct_rules(pol.parse_blocklists(inp.bodies(spark, sf), inp.GUARD))
 
 
 @query
 def distinct_rules(spark, sf):
-    return _rules(spark, sf)
+    return pol.distinct_rules(pol.parse_blocklists(inp.bodies(spark, sf), inp.LIMITS))
 
 
 @query
 def import_decision(spark, sf):
-    return pol.import_decision(inp.bodies(spark, sf), _rules(spark, sf), inp.previous_counts(spark, sf), inp.LIMITS)
+    return pol.import_decision(inp.bodies(spark, sf), _rules(spark, sf), inp.previous_counts(spark, sf), inp.GUARD)
 
 
 @query
@@ -476,14 +476,16 @@ def article_verdict(spark, sf):
 
 def _domain_answers(spark, sf):
     asked = inp.raw_urls(spark, sf).select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
-    own = F.replace(F.col("host"), F.lit(".example."), F.lit("-example."))
+    n = F.col("page_id")
+    own = F.when(n % 40 == 5, "not a host").when(n % 40 == 15, "").when(n % 40 == 25, F.lit(None).cast("string")).otherwise(
+        F.replace(F.col("host"), F.lit(".example."), F.lit("-example.")))
     return mod.domain_answers(asked.withColumn("query", F.upper(own)), "query", _policy(spark, sf), ["page_id"])
 
 
 @query
 def target_verdict(spark, sf):
     return _domain_answers(spark, sf).withColumn("lists", F.transform("lists", lambda l: l["list_name"])).select(
-        "page_id", "hostname", "domain", "status", "blacklisted", "categories", "lists", "policy_generation")
+        "page_id", "hostname", "domain", "target_error", "status", "blacklisted", "categories", "lists", "policy_generation")
 
 
 def _page_answers(spark, sf):
@@ -512,7 +514,7 @@ def dashboard_stats(spark, sf):
 
 @query
 def ingest_counters(spark, sf):
-    return ev.ingest_counters(ev.check_events(inp.feed(spark, sf), inp.LIMITS))
+    return ev.ingest_counters(ev.check_events(inp.feed(spark, sf), inp.GUARD))
 
 
 @query
@@ -551,13 +553,13 @@ def resolution_timing(spark, sf):
 @query
 def import_lists(spark, sf):
     """Entries of the versions an import of all bodies activates."""
-    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.LIMITS)
+    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.GUARD)
     return done.entries
 
 
 @query
 def imported_versions(spark, sf):
-    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.LIMITS)
+    done = mod.import_lists(inp.bodies(spark, sf), inp.previous_counts(spark, sf), inp.NOW, inp.GUARD)
     return pol.activate_versions(done.versions).select(
         "version_id", "blocklist_id", "status", "entry_count", "error")
 
@@ -640,35 +642,43 @@ def relay_union(spark, sf):
 
 # -- streams ---------------------------------------------------------------------------
 
+#: Files of a micro-batch, so that the landed logs make several.
+PACE = 4
+
+
 @query
 def stream_ingest(spark, sf):
-    accepted, rejected = live.run_ingest(spark, inp.feed_path(spark, sf), _path(spark, "ingest"), inp.LIMITS)
+    accepted, rejected = live.run_ingest(spark, inp.feed_path(spark, sf), _path(spark, "ingest"), inp.GUARD, PACE)
     return accepted.select("event_id", "relay", "received_at", F.lit("accepted").alias("outcome")).unionByName(
         rejected.select("event_id", "relay", "received_at", F.col("reason").alias("outcome")))
 
 
 @query
 def stream_dedup(spark, sf):
-    return live.run_dedup(spark, inp.feed_path(spark, sf), _path(spark, "dedup"), inp.LIMITS)
+    return live.run_dedup(spark, inp.feed_path(spark, sf), _path(spark, "dedup"), inp.LIMITS, PACE)
 
 
 @query
 def stream_first_sight(spark, sf):
-    return live.run_first_sight(spark, inp.feed_path(spark, sf), _path(spark, "sight"), inp.LIMITS)
+    return live.run_first_sight(spark, inp.feed_path(spark, sf), _path(spark, "sight"), inp.LIMITS, PACE)
 
 
 @query
 def stream_current_revision(spark, sf):
-    return live.run_revisions(spark, inp.feed_path(spark, sf), _path(spark, "revisions"), inp.LIMITS)
+    return live.run_revisions(spark, inp.feed_path(spark, sf), _path(spark, "revisions"), inp.LIMITS, PACE)
+
+
+_live: dict[tuple[str, str], str] = {}
 
 
 def _live_states(spark, sf):
-    policy = _policy(spark, sf)
-    root = inp.shared(spark, sf, "live_root", lambda: spark.createDataFrame(
-        [(live.run_scans(
+    key = (tb.run_dir(spark), sf)
+    if key not in _live:
+        policy = _policy(spark, sf)
+        _live[key] = live.run_scans(
             spark, inp.feed_path(spark, sf), _path(spark, "scans"), lambda: policy, inp.edges(spark, sf),
-            inp.skip_hosts(spark, sf), inp.categories(spark, sf), inp.SCANNED, inp.LIMITS),)], "root string")).first()[0]
-    return root
+            inp.skip_hosts(spark, sf), inp.categories(spark, sf), inp.SCANNED, inp.LIMITS, PACE)
+    return _live[key]
 
 
 @query
@@ -694,9 +704,16 @@ def rate_window_audit(spark, sf):
     return audit.rate_window_audit(inp.request_log(spark, sf), inp.LIMITS)
 
 
+def _landed_requests(spark, sf):
+    path = _path(spark, "requests")
+    inp.request_log(spark, sf).repartition(8).write.parquet(path)
+    return path
+
+
 @query
 def stream_rate_windows(spark, sf):
-    return live.run_rate_windows(spark, inp.request_log(spark, sf), _path(spark, "rates"), inp.LIMITS, late="40 days")
+    return live.run_rate_windows(
+        spark, _landed_requests(spark, sf), _path(spark, "rates"), inp.LIMITS, late="40 days", files_per_batch=PACE)
 
 
 @query
@@ -710,12 +727,12 @@ def stream_replays(spark, sf):
     """Files land out of order here, so the window spans the whole log."""
     from dataclasses import replace
     limits = replace(inp.LIMITS, replay_window_s=40 * 86_400)
-    return live.run_replays(spark, inp.request_log(spark, sf), _path(spark, "replays"), limits)
+    return live.run_replays(spark, _landed_requests(spark, sf), _path(spark, "replays"), limits, PACE)
 
 
 @query
 def stream_ingest_counters(spark, sf):
-    return live.run_counters(spark, inp.feed_path(spark, sf), _path(spark, "counters"), inp.LIMITS)
+    return live.run_counters(spark, inp.feed_path(spark, sf), _path(spark, "counters"), inp.GUARD, files_per_batch=PACE)
 
 
 # -- extension points --------------------------------------------------------------------
@@ -735,7 +752,7 @@ def event_source_hook(spark, sf):
     path = _path(spark, "other-source")
     inp.feed_lines(spark, sf).write.parquet(path)
     feed = feeds.parse_feed(spark.read.parquet(path))
-    return ev.ingest_counters(ev.check_events(feed, inp.LIMITS)).filter("counter = 'rejected'")
+    return ev.ingest_counters(ev.check_events(feed, inp.GUARD))
 
 
 @query

@@ -7,11 +7,12 @@ case of the jobs occurs. Tables several jobs share are staged once per session.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hedgemark.config import DEFAULT_CATEGORIES, Limits
+from hedgemark.config import DEFAULT_CATEGORIES, DEFAULTS, Limits
 from hedgemark.operators import events as ev
 from hedgemark.operators import policy as pol
 from hedgemark.operators import redirects as red
@@ -26,10 +27,14 @@ BASE = 1_704_067_200
 NOW = BASE + 86_520
 SCANNED = BASE + 132_800
 GENERATION = 3
-LIMITS = Limits(
+#: Low limits, for the queries whose subject is the limit itself.
+GUARD = Limits(
     max_content_bytes=20_000, max_list_bytes=1_500, max_list_rules=22, lookup_batch=400,
     feed_limit=100, rate_window_s=86_400, rate_limit=20,
 )
+#: What all other inputs are made with: texts and lists up to the default limits.
+LIMITS = replace(GUARD, max_content_bytes=DEFAULTS.max_content_bytes, max_list_bytes=DEFAULTS.max_list_bytes,
+                 max_list_rules=DEFAULTS.max_list_rules)
 NAMESPACE = "content.example"
 
 # id, category, name, source type, format, enabled, active version
@@ -49,7 +54,7 @@ _built: dict[tuple[str, str, str], DataFrame] = {}
 def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame],
            keep: bool = True) -> DataFrame:
     """Build a shared input once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (run_dir(spark), sf, name)  # a new folder after drop_staged, so nothing deleted is read again
     if key not in _built:
         prepare(spark)
         _built[key] = stage(build(), f"input-{name}") if keep else build()
@@ -98,13 +103,11 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return raw_urls(spark, sf).withColumns({**links, "back3": F.lag("raw_url", 3).over(block)})
 
 
-def hop_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Observed hops; pages with ``/es/`` in their URL were never visited."""
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    """What a visit of each page would see; addresses also in forms that are none, or missing."""
     def build() -> DataFrame:
         n = F.col("page_id")
-        seen = with_normal_url(page_links(spark, sf), "raw_url").filter(
-            F.col("normalized_url").isNotNull() & ~F.col("url").contains("/es/")
-        )
+        seen = with_normal_url(page_links(spark, sf), "raw_url").filter(F.col("normalized_url").isNotNull())
         onward = (n % 100).between(60, 79)
         moved = onward | (n % 20).isin(7, 11, 15, 19) | (n % 4 < 3)
         location = (
@@ -115,16 +118,24 @@ def hop_log(spark: SparkSession, sf: str) -> DataFrame:
         ips = (
             F.when(n % 50 == 3, F.array(F.lit("10.0.0.1")))
             .when(n % 50 == 13, F.array(F.lit("93.184.1.1"), F.lit("::ffff:192.168.1.1")))
+            .when(n % 50 == 23, F.array(F.lit("127.1"))).when(n % 50 == 29, F.array(F.lit("999.1.1.1")))
+            .when(n % 50 == 39, F.array(F.lit(None).cast("string"))).when(n % 50 == 43, F.array().cast("array<string>"))
+            .when(n % 50 == 47, F.lit(None).cast("array<string>"))
             .otherwise(F.array(F.concat(F.lit("93.184.0."), (n % 250).cast("string"))))
         )
         return seen.select(
-            F.col("normalized_url").alias("url"), n.alias("observed_at"),
+            F.col("normalized_url").alias("url"), n.alias("observed_at"), F.col("url").contains("/es/").alias("unvisited"),
             F.when(moved, F.when(n % 20 == 7, 302).otherwise(301)).otherwise(200).alias("http_status"),
             location.alias("location"), ips.alias("ips"),
             F.when(n % 50 == 9, "timeout").alias("error"),
             (n % 7 * 20).alias("dns_ms"), (n % 11 * 30).alias("connect_ms"), (n % 13 * 40).alias("head_ms"),
         )
-    return shared(spark, sf, "hop_log", build)
+    return shared(spark, sf, "observations", build)
+
+
+def hop_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Observed hops; pages with ``/es/`` in their URL were never visited."""
+    return observations(spark, sf).filter(~F.col("unvisited")).drop("unvisited")
 
 
 def skip_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,6 +301,8 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(m == 8, at("[", common, "]")).when(m == 9, '"none"')
         .when(m == 11, at('[["d","', d, '"],', common, ',["t","', F.repeat(F.lit("é"), 1100), '"]]'))
         .when(m == 14, at('[["d","', d, '"],', common, ',["n",5],"x"]'))
+        .when(m == 16, at('[["d",5],["d","', d, '"],', common, "]")).when(m == 18, at('[["d",null],["d","', d, '"],', common, "]"))
+        .when(m == 22, at('[["d",5],', common, "]"))
         .otherwise(at('[["d","', d, '"],', common, "]"))
     )
     step = docs.select(
@@ -323,11 +336,11 @@ _feeds: dict[tuple[str, str], str] = {}
 
 def feed_path(spark: SparkSession, sf: str) -> str:
     """Folder of the landed feed, written once per application."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (run_dir(spark), sf)
     if key not in _feeds:
         prepare(spark)
         path = f"{run_dir(spark)}/feed-{len(_feeds)}"
-        feeds.write_feed(feed_lines(spark, sf), path, files=8)
+        feeds.write_feed(feed_lines(spark, sf), path, files=16)
         _feeds[key] = path
     return _feeds[key]
 
@@ -365,7 +378,7 @@ _scans: dict[tuple[str, str], sc.ScanTables] = {}
 
 def scan(spark: SparkSession, sf: str) -> sc.ScanTables:
     """The scan of all stored events, run once per application."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (run_dir(spark), sf)
     if key not in _scans:
         prepare(spark)
         _scans[key] = sc.scan_articles(
@@ -428,7 +441,7 @@ def deliveries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lookup_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Article look-ups in batches; one batch takes a tenth of all and is too large."""
+    """Article look-ups in batches; one batch takes a fifth of all and is too large."""
     n = F.col("doc_id")
     return table(spark, sf, "documents").select(
         F.when(n % 5 == 3, "big").otherwise(F.concat(F.lit("q"), F.floor(n / 400).cast("string"))).alias("batch"),

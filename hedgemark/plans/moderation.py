@@ -34,21 +34,27 @@ class Policy:
         return Policy(snapshot, stage(pol.one_hit_per_category(snapshot), "hits"), generation)
 
 
-def target_verdicts(targets: DataFrame, url: str, hits: DataFrame, tie: list[str]) -> DataFrame:
-    """Verdict of each raw URL by its own domain, without following redirects."""
+def target_verdicts(targets: DataFrame, url: str, hits: DataFrame, tie: list[str], limits: Limits = DEFAULTS) -> DataFrame:
+    """Verdict of each raw URL by its own domain, without following redirects; unusable ones have ``target_error``."""
     known = with_domain(with_normal_url(targets, url))
-    answered = st.domain_verdicts(known, pol.domain_hits(hits), tie)
+    answered = st.without_verdict(
+        st.domain_verdicts(known, pol.domain_hits(hits), tie),
+        F.when(F.octet_length(url) > limits.max_target_bytes, "url_too_long").when(F.col("normalized_url").isNull(), "invalid_url"))
     return answered.withColumn(
-        "verdict", F.when(F.col("normalized_url").isNull(), "invalid").otherwise(
+        "verdict", F.when(F.col("target_error").isNotNull(), "invalid").otherwise(
             st.verdict(F.col("status"), F.col("blacklisted")))
     )
 
 
 def domain_answers(domains: DataFrame, host: str, policy: Policy, tie: list[str]) -> DataFrame:
-    """Domain look-ups: verdict, categories and every list that holds the domain."""
+    """Domain look-ups: verdict, categories and every list that holds the domain.
+
+    A host that is none has ``target_error`` and no verdict: its status and flag are null, not clean.
+    """
     known = with_domain(with_normal_host(domains, host))
     answered = st.domain_verdicts(known, pol.domain_hits(policy.hits), tie)
-    return pol.explain_lists(answered, pol.domain_lists(policy.snapshot), tie).withColumn(
+    explained = pol.explain_lists(answered, pol.domain_lists(policy.snapshot), tie)
+    return st.without_verdict(explained, F.when(F.col("hostname").isNull(), "invalid_domain")).withColumn(
         "policy_generation", F.lit(policy.generation).cast("bigint"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from hedgemark.config import DEFAULTS, Limits
 
 
+#: Ends a landed body; a text file needs something between its rows, and no list holds a zero byte.
+END_MARK = "\0"
+
+
 def parse_feed(lines: DataFrame) -> DataFrame:
     """Landed lines ``{"relay": .., "received_at": .., "event": {..}}`` as columns.
 
@@ -40,17 +44,23 @@ def read_list_bodies(spark: SparkSession, path: str, limits: Limits = DEFAULTS)
     """List bodies landed as ``blocklist_id=<id>/<file>``, one file per list.
 
     The size limit is tested on the file length, so the content of larger files
-    is never read; they keep a null body.
+    is never read; they keep a null body. Bytes that are no UTF-8 become replacement
+    characters, so they spoil their own line and no other list. The end mark that
+    ``write_list_bodies`` sets is not part of a body.
     """
     files = spark.read.format("binaryFile").load(path)
-    within = F.col("length") <= limits.max_list_bytes
-    columns = [F.col("blocklist_id").cast("string"), F.col("length").alias("bytes")]
-    small = files.filter(within).select(*columns, F.decode("content", "UTF-8").alias("body"))
-    large = files.filter(~within).select(*columns, F.lit(None).cast("string").alias("body"))
+    within = F.col("length") <= limits.max_list_bytes + 1
+    name = F.col("blocklist_id").cast("string").alias("blocklist_id")
+    marked = F.expr("substring(content, -1, 1) = X'00'")
+    raw = F.when(marked, F.expr("substring(content, 1, length - 1)")).otherwise(F.col("content"))
+    small = files.filter(within).select(name, raw.alias("raw")).select(
+        "blocklist_id", F.octet_length("raw").cast("bigint").alias("bytes"),
+        F.when(F.octet_length("raw") <= limits.max_list_bytes, F.make_valid_utf8(F.col("raw").cast("string"))).alias("body"))
+    large = files.filter(~within).select(name, (F.col("length") - 1).alias("bytes"), F.lit(None).cast("string").alias("body"))
     return small.unionByName(large)
 
 
 def write_list_bodies(bodies: DataFrame, path: str) -> None:
-    """Land typed-in bodies, one file per list."""
+    """Land typed-in bodies, one file per list, each as it is with a zero byte as end mark."""
     bodies.select("blocklist_id", F.col("body").alias("value")).write.partitionBy("blocklist_id").option(
-        "maxRecordsPerFile", 1).text(path)
+        "maxRecordsPerFile", 1).option("lineSep", END_MARK).text(path)

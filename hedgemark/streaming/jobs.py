@@ -19,7 +19,8 @@ from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.feeds import stream_events
 from hedgemark.sources.tables import append_changes, exists, latest_rows, read_changes, stage
 
-FILES_PER_BATCH = 4
+#: Files of one micro-batch, unless the caller paces it otherwise.
+FILES_PER_BATCH = 1_000
 
 
 def _drain(df: DataFrame, root: str, name: str, on_batch: Callable[[DataFrame, int], None],
@@ -36,24 +37,28 @@ def _log_to(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, batch_id: append_changes(batch.withColumn("seq", F.lit(batch_id)), path, batch_id)
 
 
-def run_ingest(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def run_ingest(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS,
+               files_per_batch: int = FILES_PER_BATCH) -> tuple[DataFrame, DataFrame]:
     """Validate as events land; accepted and rejected rows go to two tables."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        append_changes(ev.accepted_events(batch, limits), f"{root}/accepted", batch_id)
-        append_changes(ev.rejected_events(batch, limits), f"{root}/rejected", batch_id)
-        batch.unpersist()
+        try:
+            append_changes(ev.accepted_events(batch, limits), f"{root}/accepted", batch_id)
+            append_changes(ev.rejected_events(batch, limits), f"{root}/rejected", batch_id)
+        finally:
+            batch.unpersist()
 
-    _drain(stream_events(spark, feed, FILES_PER_BATCH), root, "ingest", on_batch)
+    _drain(stream_events(spark, feed, files_per_batch), root, "ingest", on_batch)
     return read_changes(spark, f"{root}/accepted"), read_changes(spark, f"{root}/rejected")
 
 
-def run_dedup(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS) -> DataFrame:
+def run_dedup(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS,
+              files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """One row per event id: first and last sight and relays, kept up to date.
 
     The state holds an id, two times and its relays, not the event.
     """
-    seen = ev.accepted_events(stream_events(spark, feed, FILES_PER_BATCH), limits).groupBy("event_id").agg(
+    seen = ev.accepted_events(stream_events(spark, feed, files_per_batch), limits).groupBy("event_id").agg(
         F.min("received_at").alias("first_seen_at"), F.max("received_at").alias("last_seen_at"),
         F.array_sort(F.collect_set("relay")).alias("relays"),
     )
@@ -61,21 +66,22 @@ def run_dedup(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAUL
     return latest_rows(read_changes(spark, f"{root}/log"), ["event_id"], ["seq"]).drop("seq", "batch")
 
 
-def run_first_sight(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS) -> DataFrame:
-    """The first row of each event id, with state bounded by the feed window."""
-    fresh = (
-        ev.accepted_events(stream_events(spark, feed, FILES_PER_BATCH), limits)
-        .withColumn("seen", F.timestamp_seconds("received_at"))
-        .withWatermark("seen", f"{limits.feed_window_s} seconds")
-        .dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "article_address", "created_at")
-    )
+def run_first_sight(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS,
+                    files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The first row of each event id, however late it lands.
+
+    Every event is kept, so the state holds all ids seen; it has nothing else.
+    """
+    fresh = ev.accepted_events(stream_events(spark, feed, files_per_batch), limits) \
+        .dropDuplicates(["event_id"]).select("event_id", "article_address", "created_at")
     _drain(fresh, root, "sight", _log_to(f"{root}/log"))
     return read_changes(spark, f"{root}/log").drop("seq", "batch")
 
 
-def run_revisions(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS) -> DataFrame:
+def run_revisions(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS,
+                  files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """The newest revision of each article, whatever the order of arrival."""
-    newest = ev.current_revisions(ev.accepted_events(stream_events(spark, feed, FILES_PER_BATCH), limits))
+    newest = ev.current_revisions(ev.accepted_events(stream_events(spark, feed, files_per_batch), limits))
     _drain(newest, root, "revisions", _log_to(f"{root}/log"), "update")
     return latest_rows(
         read_changes(spark, f"{root}/log"), ["article_address"], ["current_event_created_at", "current_event_id"]
@@ -83,7 +89,8 @@ def run_revisions(spark: SparkSession, feed: str, root: str, limits: Limits = DE
 
 
 def run_scans(spark: SparkSession, feed: str, root: str, load_policy: Callable[[], object], edges: DataFrame,
-              skip_hosts: DataFrame, categories: DataFrame, now: int, limits: Limits = DEFAULTS) -> str:
+              skip_hosts: DataFrame, categories: DataFrame, now: int, limits: Limits = DEFAULTS,
+              files_per_batch: int = FILES_PER_BATCH) -> str:
     """Scan new events and refresh the states of the articles they belong to.
 
     ``load_policy`` runs for every micro-batch, so a new policy generation counts at
@@ -111,7 +118,7 @@ def run_scans(spark: SparkSession, feed: str, root: str, load_policy: Callable[[
         append_changes(
             st.article_states(current, tables.scans, tables.classifications, categories), f"{root}/states", batch_id)
 
-    _drain(ev.accepted_events(stream_events(spark, feed, FILES_PER_BATCH), limits), root, "scan", on_batch)
+    _drain(ev.accepted_events(stream_events(spark, feed, files_per_batch), limits), root, "scan", on_batch)
     return root
 
 
@@ -126,36 +133,38 @@ def article_states(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_counters(spark: SparkSession, feed: str, root: str, limits: Limits = DEFAULTS,
-                 window: str = "300 seconds") -> DataFrame:
-    """Received and rejected rows per tumbling window of arrival time."""
-    checked = ev.check_events(stream_events(spark, feed, FILES_PER_BATCH), limits)
-    counted = (
-        checked.select("relay", "reason", F.timestamp_seconds("received_at").alias("seen"))
-        .withWatermark("seen", f"{limits.feed_window_s} seconds")
-        .groupBy(F.window("seen", window).alias("span"), "relay", "reason").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.unix_timestamp("span.start").alias("window_start"), "relay",
-                F.coalesce("reason", F.lit("accepted")).alias("outcome"), "n")
-    )
-    _drain(counted, root, "counters", _log_to(f"{root}/log"), "update")
-    return latest_rows(read_changes(spark, f"{root}/log"), ["window_start", "relay", "outcome"], ["seq"]).drop("seq", "batch")
+                 window_s: int = 300, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Received and rejected rows per tumbling window of arrival time; rows without a time have a null window.
+
+    Each micro-batch logs its own counts, and reading adds them up: there is no state, and no row is too late.
+    """
+    seen = F.col("received_at")
+    counted = lambda batch: ev.check_events(batch, limits).groupBy(
+        (seen - F.pmod(seen, F.lit(window_s))).alias("window_start"), "relay",
+        F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    _drain(stream_events(spark, feed, files_per_batch), root, "counters",
+           lambda batch, batch_id: append_changes(counted(batch), f"{root}/log", batch_id))
+    return read_changes(spark, f"{root}/log").groupBy("window_start", "relay", "outcome").agg(F.sum("n").alias("n"))
+
+
+def _request_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+    """A landed request log, read where it lies."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_rate_windows(spark: SparkSession, requests: DataFrame, root: str, limits: Limits = DEFAULTS,
-                     late: str = "1 hour") -> DataFrame:
-    """The rate audit over a landed request log; rows may be ``late`` by that much."""
-    landed = f"{root}/requests"
-    requests.repartition(8).write.parquet(landed)
-    log = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(landed)
-    used = audit.rate_window_audit(log.withWatermark("ts", late), limits)
+def run_rate_windows(spark: SparkSession, path: str, root: str, limits: Limits = DEFAULTS,
+                     late: str = "1 hour", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The rate audit over a landed request log (``path``); rows may be ``late`` by that much."""
+    used = audit.rate_window_audit(_request_stream(spark, path, files_per_batch).withWatermark("ts", late), limits)
     _drain(used, root, "rates", _log_to(f"{root}/log"), "update")
     return latest_rows(read_changes(spark, f"{root}/log"), ["key", "window_start"], ["seq"]).drop("seq", "batch")
 
 
-def run_replays(spark: SparkSession, requests: DataFrame, root: str, limits: Limits = DEFAULTS) -> DataFrame:
-    """Requests left after repeats within the replay window are dropped."""
-    landed = f"{root}/requests"
-    requests.repartition(8).write.parquet(landed)
-    log = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(landed)
+def run_replays(spark: SparkSession, path: str, root: str, limits: Limits = DEFAULTS,
+                files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Requests of a landed log (``path``) left after repeats within the replay window are dropped."""
+    log = _request_stream(spark, path, files_per_batch)
     fresh = log.withWatermark("ts", f"{limits.replay_window_s} seconds").dropDuplicatesWithinWatermark(["id"])
     _drain(fresh.select("id"), root, "replays", _log_to(f"{root}/log"))
     return read_changes(spark, f"{root}/log").drop("seq", "batch")

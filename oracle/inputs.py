@@ -77,17 +77,20 @@ CTES["links"] = """
     lead(raw_url, 4) OVER w AS u4, lag(raw_url, 3) OVER w AS back3
   FROM pg WINDOW w AS (PARTITION BY page_id // 100 ORDER BY page_id)"""
 normal("nl", "links", "raw_url")
-CTES["hop_log"] = """
-  SELECT normalized_url AS url, page_id AS observed_at,
+CTES["hop_all"] = """
+  SELECT normalized_url AS url, page_id AS observed_at, contains(url, '/es/') AS unvisited,
     CASE WHEN page_id % 100 BETWEEN 60 AND 79 OR page_id % 20 IN (7, 11, 15, 19) OR page_id % 4 < 3
       THEN CASE WHEN page_id % 20 = 7 THEN 302 ELSE 301 END ELSE 200 END AS http_status,
     CASE WHEN page_id % 100 BETWEEN 60 AND 79 THEN u1 WHEN page_id % 20 = 7 THEN back3 WHEN page_id % 20 = 11 THEN NULL
       WHEN page_id % 20 = 15 THEN '/moved?x=1' WHEN page_id % 20 = 19 THEN 'ftp://x/' WHEN page_id % 4 < 3 THEN u1 END AS location,
     CASE WHEN page_id % 50 = 3 THEN ['10.0.0.1'] WHEN page_id % 50 = 13 THEN ['93.184.1.1', '::ffff:192.168.1.1']
+      WHEN page_id % 50 = 23 THEN ['127.1'] WHEN page_id % 50 = 29 THEN ['999.1.1.1'] WHEN page_id % 50 = 39 THEN [NULL]
+      WHEN page_id % 50 = 43 THEN [] WHEN page_id % 50 = 47 THEN NULL
       ELSE ['93.184.0.' || (page_id % 250)] END AS ips,
     CASE WHEN page_id % 50 = 9 THEN 'timeout' END AS error,
     page_id % 7 * 20 AS dns_ms, page_id % 11 * 30 AS connect_ms, page_id % 13 * 40 AS head_ms
-  FROM nl WHERE normalized_url IS NOT NULL AND NOT contains(url, '/es/')"""
+  FROM nl WHERE normalized_url IS NOT NULL"""
+CTES["hop_log"] = "SELECT * EXCLUDE (unvisited) FROM hop_all WHERE NOT unvisited"
 _V4 = [
     ("unspecified", "0.0.0.0", "0.0.0.0"), ("loopback", "127.0.0.0", "127.255.255.255"),
     ("private", "10.0.0.0", "10.255.255.255"), ("private", "192.168.0.0", "192.168.255.255"),
@@ -103,12 +106,15 @@ def _number(ip: str) -> int:
 
 
 _CASES = " ".join(f"WHEN v BETWEEN {_number(lo)} AND {_number(hi)} THEN '{kind}'" for kind, lo, hi in _V4)
-CTES["ip_rows"] = "SELECT url, observed_at, unnest(ips) AS ip FROM hop_log"
+CTES["ip_rows"] = "SELECT url, observed_at, unnest(ips) AS ip FROM hop_all"
 CTES["ip_parts"] = "SELECT *, string_split(replace(ip, '::ffff:', ''), '.') AS q FROM ip_rows"
 CTES["ip_numbers"] = """
-  SELECT *, ((q[1]::BIGINT * 256 + q[2]::BIGINT) * 256 + q[3]::BIGINT) * 256 + q[4]::BIGINT AS v FROM ip_parts"""
-CTES["ip_class"] = f"SELECT url, observed_at, ip, CASE {_CASES} ELSE 'public' END AS class FROM ip_numbers"
-CTES["blocked"] = "SELECT DISTINCT url, observed_at FROM ip_class WHERE class <> 'public'"
+  SELECT *, CASE WHEN regexp_full_match(replace(ip, '::ffff:', ''), '[0-9]+(\.[0-9]+){3}') AND list_max(q::BIGINT[]) < 256
+    THEN ((q[1]::BIGINT * 256 + q[2]::BIGINT) * 256 + q[3]::BIGINT) * 256 + q[4]::BIGINT END AS v FROM ip_parts"""
+CTES["ip_class"] = f"SELECT url, observed_at, ip, CASE WHEN v IS NULL THEN 'invalid' {_CASES} ELSE 'public' END AS class FROM ip_numbers"
+CTES["blocked"] = """
+  SELECT DISTINCT url, observed_at FROM ip_class WHERE class <> 'public'
+  UNION SELECT url, observed_at FROM hop_all WHERE coalesce(len(ips), 0) = 0"""
 CTES["skip_hosts"] = "SELECT DISTINCT hostname AS host FROM pu WHERE starts_with(hostname, 'm.')"
 CTES["hop_latest"] = """
   SELECT h.*, b.url IS NOT NULL AS blocked FROM (
@@ -275,6 +281,8 @@ CTES["event_tags"] = r"""
     WHEN 8 THEN '[' || common || ']' WHEN 9 THEN '"none"'
     WHEN 11 THEN '[["d","' || d || '"],' || common || ',["t","' || repeat('é', 1100) || '"]]'
     WHEN 14 THEN '[["d","' || d || '"],' || common || ',["n",5],"x"]'
+    WHEN 16 THEN '[["d",5],["d","' || d || '"],' || common || ']' WHEN 18 THEN '[["d",null],["d","' || d || '"],' || common || ']'
+    WHEN 22 THEN '[["d",5],' || common || ']'
     ELSE '[["d","' || d || '"],' || common || ']' END AS tags FROM event_parts"""
 CTES["event_ids"] = r"""
   SELECT *, CASE WHEN m = 1 THEN sha256(doc_id || '') ELSE
@@ -309,10 +317,11 @@ CTES["checked"] = r"""
     WHEN computed_id <> lower(id) THEN 'id_mismatch' END AS reason FROM opened"""
 CTES["checked"] = CTES["checked"].replace(
     "regexp_matches(CAST(tags AS VARCHAR), 'é{1025}')", "contains(CAST(tags AS VARCHAR), repeat('é', 1025))")
+CTES["checked_all"] = CTES["checked"].replace("> 20000", "> 512000")
 CTES["valid"] = r"""
   SELECT lower(id) AS event_id, lower(pubkey) AS pubkey, CAST(created_at AS BIGINT) AS created_at, CAST(kind AS BIGINT) AS kind,
     tags, content, relay, received_at,
-    nullif(regexp_extract(CAST(tags AS VARCHAR), '\["d","([^"]*)"', 1), '') AS d_tag FROM checked WHERE reason IS NULL"""
+    nullif(regexp_extract(CAST(tags AS VARCHAR), '\["d","([^"]*)"', 1), '') AS d_tag FROM checked_all WHERE reason IS NULL"""
 CTES["stored"] = r"""
   SELECT event_id, any_value(pubkey) AS pubkey, any_value(created_at) AS created_at, any_value(kind) AS kind, any_value(tags) AS tags,
     any_value(content) AS content, any_value(d_tag) AS d_tag,

@@ -423,4 +423,4 @@ def test_bodies_over_the_limit_are_not_read(spark, tmp_path):
     path = str(tmp_path / "bodies")
     feeds.write_list_bodies(bodies(spark, ("s", "domains", "a.com"), ("l", "domains", "x" * 100)), path)
     got = {r.blocklist_id: (r.bytes, r.body) for r in feeds.read_list_bodies(spark, path, Limits(max_list_bytes=50)).collect()}
-    assert got == {"s": (6, "a.com\n"), "l": (101, None)}
+    assert got == {"s": (5, "a.com"), "l": (100, None)}
