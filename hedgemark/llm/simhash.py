@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import lower_ascii
+from hedgemark.llm.common import bounded_batches, lower_ascii
+from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.tables import stage
 
 DISTANCE = 4
@@ -168,6 +169,7 @@ def classes(rows: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCKE
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text")).alias("fp")),
                  "fingerprints")
 
@@ -203,8 +205,13 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCK
     kept = docs.join(single, "doc_id", "left_semi").select(*docs.columns)
     several = ids.where(F.col("stands") & ((F.col("n") > 1) | F.col("doc_id").isNull())) \
         .select(F.col("doc_id").alias("again"))
-    rest = docs.join(several, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi") \
-        .select(F.struct(*docs.columns).alias("whole"), fingerprints(F.col("text")).alias("fp"))
+    if several.isEmpty():
+        return kept
+    few = F.broadcast(several) if fits_broadcast(several) else several
+    # written first, or the planner works the fingerprints out below the join, for all rows
+    rest = stage(docs.join(few, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+                 .select(F.struct(*docs.columns).alias("whole")), "repeated")
+    rest = rest.select("whole", fingerprints(F.col("whole.text")).alias("fp"))
     chosen = rest.join(of_fp, "fp").where(F.col("whole.doc_id").eqNullSafe(F.col("component_id"))) \
         .dropDuplicates(["root", "fp"])
     # rows of one id in several fingerprints of one component: the least fingerprint stands for it
