@@ -15,6 +15,15 @@ LOWER = UPPER.lower()
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+#: Most rows of a batch that goes to Python: texts differ in length a thousandfold, so few rows bound the bytes best.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that tasks hand to Python small, so that a worker's memory follows single texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -> DataFrame:
     """Named columns of a given table; other columns, whatever their names, are not read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -35,7 +44,7 @@ def crc_fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def text_blocks(texts: Sequence[str | None], max_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(texts: Sequence[str | None], max_chars: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``max_chars`` together: (index of the first, texts).
 
     A longer text makes a run of its own, so memory is bounded by the longest text.

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import text_blocks
+from hedgemark.llm.common import bounded_batches, text_blocks
 from hedgemark.llm.tokens import public_path
 
 BEGIN = "▁"
@@ -100,6 +100,7 @@ def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
     Whole texts; null and empty texts have none. No shuffle: rows, repeated or not, are
     counted where they lie. Other columns are dropped first, so their names cannot clash.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = path or public_path("piece_bpe_32k.model")
 
     def counted(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import code_points, sums_between, text_blocks
+from hedgemark.llm.common import bounded_batches, code_points, sums_between, text_blocks
 from hedgemark.sources.tables import stage
 
 UNKNOWN = "und"
@@ -103,7 +103,7 @@ def _places(hashes: np.ndarray, settings: Settings) -> list[np.ndarray]:
 def _counted(frames: Iterator[pd.DataFrame], sizes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lang, part in frame.groupby("lang"):
-            for _, texts in text_blocks(part["text"].tolist(), 1 << 21):
+            for _, texts in text_blocks(part["text"].tolist()):
                 for hashes, _ in grams(texts, sizes):
                     found, n = np.unique(hashes, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": found.view(np.int64), "n": n})
@@ -151,6 +151,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     driver is bounded too: it comes as one row per occupied place of the filter, at most ``places``.
     """
     spark = labelled.sparkSession
+    bounded_batches(spark)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     keys = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
     sizes = keys.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST + 1).collect()
@@ -190,6 +191,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
 
 def predicted(text: Column, filters: Filters, spark: SparkSession) -> Column:
     """Struct ``lang_pred, score`` for a text column; "und" with score 0 where there is no letter (or nothing was learned)."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((filters.langs, filters.masks.tobytes(), filters.settings))
 
     def judge(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

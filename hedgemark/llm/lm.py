@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import sums_between
+from hedgemark.llm.common import bounded_batches, sums_between
 from hedgemark.llm.eliasfano import Trie, least, most
 from hedgemark.sources.tables import stage
 
@@ -272,6 +272,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     learning. Repeated rows learn and score each for itself. With nothing to learn from, all
     words are unknown. An empty table gives no rows. Other columns are dropped first.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.coalesce("held_out", F.lit(False)).alias("held_out"))
     # texts are read twice: bytes first, for the number of shards

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import text_blocks
+from hedgemark.llm.common import bounded_batches, text_blocks
 from hedgemark.llm.tokens import SpacedBytes, encoder, public_path
 from hedgemark.sources.tables import stage
 
@@ -146,6 +146,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ca
     for itself; null ids are kept. An empty table packs nothing. Columns other than
     doc_id and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = path or public_path("byte_bpe_50k.json")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = stage(slim.mapInPandas(

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hedgemark.llm.common import bounded_batches
 from hedgemark.sources.tables import stage
 
 #: Kinds in the order in which equal starts are listed (fixed values).
@@ -126,6 +127,7 @@ def scan(docs: DataFrame, keep: list[str], reach: int = SCOPE_CHARS) -> DataFram
     are judged each for itself. Positions are code points, ends exclusive. Other columns
     are dropped first, so their names cannot clash.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("doc"), parts_of(F.col("text")).alias("parts"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "parts")
     base = F.filter("parts", lambda p: p["rank"] <= 2)

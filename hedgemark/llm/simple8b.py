@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgemark.llm.common import text_blocks
+from hedgemark.llm.common import bounded_batches, text_blocks
 from hedgemark.llm.tokens import BareWords, encoder, public_path
 from hedgemark.sources.tables import stage
 
@@ -147,6 +147,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
     their texts' hash, so any number of them can be split between shards; null ids come
     first. An empty table writes no rows. Other columns are dropped before the shuffle.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = path or public_path("word_bpe_49k.json")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc(), F.col("tie").asc()) \
