@@ -43,14 +43,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _windows_in(length: int, known: list[int] | None) -> Column:
-    """Windows of ``length`` of a row (``w`` words, ``h`` their hashes) that are in the set, or all without a set."""
-    starts = F.when(F.size("h") >= length, F.sequence(F.lit(1), F.size("h") - length + 1)) \
+    """Windows of ``length`` of a row (``__w`` words, ``__h`` their hashes) that are in the set, or all without a set."""
+    starts = F.when(F.size("__h") >= length, F.sequence(F.lit(1), F.size("__h") - length + 1)) \
         .otherwise(F.array().cast("array<int>"))
     if known is not None:
-        starts = F.filter(starts, lambda at: F.xxhash64(F.slice("h", at, F.lit(length))).isin(known))
+        starts = F.filter(starts, lambda at: F.xxhash64(F.slice("__h", at, F.lit(length))).isin(known))
     return F.transform(starts, lambda at: F.struct(
         at.alias("at"), F.lit(length).alias("length"),
-        F.concat_ws(" ", F.slice("w", at, F.lit(length))).alias("window_text")))
+        F.concat_ws(" ", F.slice("__w", at, F.lit(length))).alias("window_text")))
 
 
 def _candidates(keys: dict[int, list[int] | None]) -> Column:
@@ -77,9 +77,9 @@ class Benchmark:
         A filter on ``__found`` must name ``__row`` as well (see ``_with_candidates``): the planner then
         cannot copy the costly columns into the filter, where they would be worked out for each word.
         """
-        words = docs.withColumn("w", words_of(F.col("text")))
-        hashed = words.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-        return hashed.select(*docs.columns, F.monotonically_increasing_id().alias("__row"), F.size("w").cast("long").alias("__n_words"),
+        words = docs.withColumn("__w", words_of(F.col("text")))
+        hashed = words.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+        return hashed.select(*docs.columns, F.monotonically_increasing_id().alias("__row"), F.size("__w").cast("long").alias("__n_words"),
                              _candidates(self.keys).alias("__found"))
 
 

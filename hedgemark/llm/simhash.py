@@ -204,12 +204,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCK
     single = ids.where((F.col("n") == 1) & F.col("stands") & F.col("doc_id").isNotNull()).select("doc_id")
     kept = docs.join(single, "doc_id", "left_semi").select(*docs.columns)
     several = ids.where(F.col("stands") & ((F.col("n") > 1) | F.col("doc_id").isNull())) \
-        .select(F.col("doc_id").alias("again"))
+        .select(F.col("doc_id").alias("__again"))
     if several.isEmpty():
         return kept
     few = F.broadcast(several) if fits_broadcast(several) else several
     # written first, or the planner works the fingerprints out below the join, for all rows
-    rest = stage(docs.join(few, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+    rest = stage(docs.join(few, F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi")
                  .select(F.struct(*docs.columns).alias("whole")), "repeated")
     rest = rest.select("whole", fingerprints(F.col("whole.text")).alias("fp"))
     chosen = rest.join(of_fp, "fp").where(F.col("whole.doc_id").eqNullSafe(F.col("component_id"))) \
