@@ -14,7 +14,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 HEADLINE = (
-    "page_verdicts", "read_events", "validate_events", "recompute_event_ids", "dedup_events", "current_revisions",
+    "article_verdicts", "page_verdicts", "read_events", "validate_events", "recompute_event_ids", "dedup_events", "current_revisions",
     "ingest_filter", "extract_urls", "cap_urls", "normalize_urls", "registrable_domains", "parse_blocklists",
     "import_decision", "policy_snapshot", "match_targets", "explain_lists", "domain_tree_match", "ip_ranges",
     "resolve_redirects", "scan", "match_hops", "scan_summary", "classify_events", "latest_scans", "article_states",
@@ -39,7 +39,7 @@ def main() -> None:
     def run(df) -> None:
         df.write.format("noop").mode("overwrite").save()
 
-    # inputs the queries share are made first and reported apart
+    # inputs the queries share are made first; they count in the total and are reported apart, too
     start = time.time()
     inputs.feed_path(spark, sf)
     for build in (inputs.stored, inputs.addresses, inputs.hits, inputs.edges):
@@ -56,7 +56,7 @@ def main() -> None:
         seconds[name] = round(time.time() - start, 3)
     drop_staged(spark)
     print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline_queries_total", "value": round(setup + sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"), "setup_sec": round(setup, 3),
     }))
     spark.stop()

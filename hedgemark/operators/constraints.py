@@ -104,4 +104,4 @@ def locked_slug_changes(before: DataFrame, after: DataFrame, labels: DataFrame)
     """Categories whose slug was changed although labels already use it."""
     old = before.select("category_id", F.col("slug").alias("old_slug"))
     changed = after.select("category_id", "slug").join(old, "category_id").filter(F.col("slug") != F.col("old_slug"))
-    return changed.join(labels.select("category_id"), "category_id", "left_semi")
+    return changed.join(labels.select("category_id").distinct(), "category_id", "left_semi")

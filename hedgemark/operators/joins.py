@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from hedgemark.sources.tables import stage
 
-# A right side of at most this many rows is broadcast; the bound is checked.
+# A right side of at most so many rows and bytes is broadcast; both bounds are checked.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 # Only keys above this many left rows are spread, and at most HOT_KEYS of them:
 # any key outside the top HOT_KEYS holds less than one part in HOT_KEYS of the rows.
 HOT_ROWS = 2_000_000
@@ -19,9 +20,16 @@ SPREAD = 64
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """True if the table has at most ``rows`` rows; reads no more than that."""
+    """True if the table has at most ``rows`` rows, which as text take at most ``BROADCAST_BYTES``; reads no more than that."""
     rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, used = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and used <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None, nulls: bool = False) -> list:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hedgemark.config import DEFAULT_CATEGORIES, DEFAULTS, Limits
 from hedgemark.functions.hosts import registrable_domain, trimmed
 from hedgemark.functions.urls import with_normal_url
-from hedgemark.operators.joins import spread_join
+from hedgemark.operators.joins import small_side, spread_join
 from hedgemark.operators.urls import with_normal_host
 from hedgemark.sources.tables import merge_rows
 
@@ -195,7 +195,7 @@ def dedup_blocklists(blocklists: DataFrame) -> DataFrame:
 
 def drop_rows_of(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent key was not removed."""
-    return child.join(gone.select(key), key, "left_anti")
+    return child.join(small_side(gone.select(key).distinct()), key, "left_anti")
 
 
 def delete_blocklist(gone: DataFrame, blocklists: DataFrame, versions: DataFrame,
@@ -214,15 +214,15 @@ def delete_blocklist(gone: DataFrame, blocklists: DataFrame, versions: DataFrame
 
 def undeletable_categories(categories: DataFrame, blocklists: DataFrame) -> DataFrame:
     """Categories that cannot be removed because lists still use them."""
-    return categories.join(blocklists.select("category_id"), "category_id", "left_semi")
+    return categories.join(blocklists.select("category_id").distinct(), "category_id", "left_semi")
 
 
 def set_enabled(blocklists: DataFrame, enabled: bool, only: DataFrame | None = None) -> DataFrame:
     """Switch all lists, or the lists in ``only``, on or off."""
     if only is None:
         return blocklists.withColumn("enabled", F.lit(enabled))
-    chosen = only.select("blocklist_id", F.lit(True).alias("chosen"))
-    return blocklists.join(chosen, "blocklist_id", "left").withColumn(
+    chosen = only.select("blocklist_id").distinct().withColumn("chosen", F.lit(True))
+    return blocklists.join(small_side(chosen), "blocklist_id", "left").withColumn(
         "enabled", F.when(F.col("chosen"), F.lit(enabled)).otherwise(F.col("enabled"))
     ).drop("chosen")
 

@@ -9,6 +9,7 @@ from hedgemark.config import ARTICLE_KIND, DEFAULTS, Limits
 from hedgemark.functions.hosts import registrable_domain
 from hedgemark.operators.joins import narrowed, spread_join
 from hedgemark.operators.redirects import chain_hops
+from hedgemark.sources.tables import stage
 
 TERMINAL = ("clean", "matched", "partial", "failed")
 
@@ -169,9 +170,10 @@ def recent_events(events: DataFrame, relays: DataFrame, scans: DataFrame,
 def recent_matches(matches: DataFrame, categories: DataFrame, blocklists: DataFrame, scans: DataFrame,
                    limits: Limits = DEFAULTS) -> DataFrame:
     """The newest evidence rows with category, list and scan status."""
-    top = matches.orderBy(
+    top = stage(matches.orderBy(
         F.desc("inserted_at"), "scan_id", "position", "hop_index", "category_id"
-    ).limit(limits.recent_matches)
+    ).limit(limits.recent_matches), "recent-matches")
+    scans = scans.join(F.broadcast(top.select("scan_id").distinct()), "scan_id", "left_semi")
     return (
         top.join(categories.select("category_id", "slug"), "category_id", "left")
         .join(blocklists.select("blocklist_id", F.col("name").alias("list_name")), "blocklist_id", "left")

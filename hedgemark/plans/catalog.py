@@ -693,6 +693,22 @@ def stream_article_state(spark, sf):
         "article_address", "event_id", "status", "blacklisted", "categories", "policy_generation")
 
 
+@query
+def article_verdicts(spark, sf):
+    """The main path in one job: landed feed to the state of every article."""
+    states = mod.article_verdicts(
+        inp.feed(spark, sf), inp.edges(spark, sf), inp.skip_hosts(spark, sf), _policy(spark, sf), inp.categories(spark, sf),
+        inp.SCANNED, inp.LIMITS)
+    return states.select("article_address", "event_id", "status", "blacklisted", "categories", "policy_generation")
+
+
+@query
+def category_listing(spark, sf):
+    """Categories that registered lists use."""
+    used = inp.registry(spark, sf).select("category_id").distinct()
+    return pol.list_categories(inp.categories(spark, sf).join(used, "category_id", "left_semi"))
+
+
 @query
 def freshness_classes(spark, sf):
     return ev.freshness_classes(inp.request_log(spark, sf), "arrived_at").groupBy("freshness", "in_feed_window").agg(

@@ -287,6 +287,14 @@ answer("stream_article_state", """
   FROM addresses a JOIN scans3 s ON s.event_id = a.current_event_id
   LEFT JOIN (SELECT k.scan_id, bool_or(c.blocks_serving) AS blacklisted, string_agg(DISTINCT c.slug, ',' ORDER BY c.slug) AS categories
     FROM classified3 k JOIN cats c USING (category_id) WHERE c.enabled GROUP BY 1) v ON v.scan_id = s.scan_id""")
+answer("article_verdicts", """
+  SELECT a.article_address, a.current_event_id AS event_id, s.status, coalesce(v.blacklisted, false) AS blacklisted,
+    coalesce(v.categories, '') AS categories, CAST(3 AS BIGINT) AS policy_generation
+  FROM addresses a JOIN scans3 s ON s.event_id = a.current_event_id
+  LEFT JOIN (SELECT k.scan_id, bool_or(c.blocks_serving) AS blacklisted, string_agg(DISTINCT c.slug, ',' ORDER BY c.slug) AS categories
+    FROM classified3 k JOIN cats c USING (category_id) WHERE c.enabled GROUP BY 1) v ON v.scan_id = s.scan_id""")
+answer("category_listing", """
+  SELECT category_id, slug, name, enabled, blocks_serving FROM cats WHERE category_id IN (SELECT category_id FROM registry)""")
 answer("freshness_classes", f"""
   SELECT CASE WHEN created_at < arrived_at - 65 THEN 'stale' WHEN created_at > arrived_at + 5 THEN 'future' ELSE 'ok' END AS freshness,
     created_at >= arrived_at - 86400 AS in_feed_window, {N} AS n FROM requests GROUP BY 1, 2""")
