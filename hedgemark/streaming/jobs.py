@@ -17,7 +17,7 @@ from hedgemark.config import DEFAULTS, Limits
 from hedgemark.operators import audit, events as ev, scan as sc, state as st
 from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.feeds import stream_events
-from hedgemark.sources.tables import append_changes, exists, latest_rows, read_changes, stage
+from hedgemark.sources.tables import append_changes, exists, latest_rows, read_changes, scratch, stage
 
 #: Files of one micro-batch, unless the caller paces it otherwise.
 FILES_PER_BATCH = 1_000
@@ -98,6 +98,11 @@ def run_scans(spark: SparkSession, feed: str, root: str, load_policy: Callable[[
     read the tables with ``scanned`` and ``article_states``.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        policy = load_policy()
+        with scratch(spark):
+            scan_batch(batch, batch_id, policy)
+
+    def scan_batch(batch: DataFrame, batch_id: int, policy) -> None:
         landed = ev.dedup_events(batch)
         earlier = f"{root}/events"
         if exists(spark, earlier):
@@ -110,7 +115,6 @@ def run_scans(spark: SparkSession, feed: str, root: str, load_policy: Callable[[
                 known = known.join(F.broadcast(ids), "event_id", "left_semi")
             landed = landed.join(known, "event_id", "left_anti")
         fresh = stage(landed, "live-events")
-        policy = load_policy()
         tables = sc.scan_articles(fresh, edges, policy.hits, skip_hosts, policy.generation, now, limits)
         current = ev.current_revisions(fresh)
         append_changes(fresh.select("event_id", "article_address"), earlier, batch_id)

@@ -8,7 +8,7 @@ from hedgemark.functions.addresses import has_blocked_address
 from hedgemark.operators import events as ev
 from hedgemark.plans import inputs as inp, moderation as mod
 from hedgemark.sources import feeds
-from hedgemark.sources.tables import run_dir
+from hedgemark.sources.tables import run_dir, scratch, stage
 from hedgemark.streaming import jobs as live
 from tests.test_jobs import event, feed_of, small_policy
 
@@ -91,3 +91,27 @@ def test_addresses_that_are_none_are_blocked(spark):
     rows = [(["999.1.1.1"],), (["junk"],), (["127.1"],), (["0x7f.1"],), ([None],), ([],), (None,), (["93.184.1.1", None],), (["93.184.1.1"],)]
     got = spark.createDataFrame(rows, "ips array<string>").select(has_blocked_address(F.col("ips"))).collect()
     assert [r[0] for r in got] == [True] * 8 + [False]
+
+
+def test_a_long_run_does_not_fill_the_folder(spark, sf, tmp_path):
+    policy, categories = small_policy(spark, [("v1", "domain", "evil.com", "evil.com")])
+    skip = spark.createDataFrame([], "host string")
+    edges = inp.edges(spark, sf)
+    path = landed(spark, sf)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = {str(s.getPath()) for s in files.listStatus(root)}
+    live.run_scans(spark, path, str(tmp_path), lambda: policy, edges, skip, categories, 1, files_per_batch=12)
+    assert live.scanned(spark, str(tmp_path)).count() == inp.stored(spark, sf).count()
+    left = {str(s.getPath()) for s in files.listStatus(root)} - before
+    assert not [p for p in left if "live-" in p or "finds" in p or "chains" in p], left
+
+
+def test_scratch_deletes_what_was_staged_inside(spark):
+    outside = stage(spark.range(3), "outside")
+    with scratch(spark):
+        inside = stage(spark.range(3), "inside")
+        path = inside.inputFiles()[0].rsplit("/", 1)[0]
+        assert feeds_exist(spark, path)
+    assert not feeds_exist(spark, path) and outside.count() == 3
