@@ -151,7 +151,7 @@ def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, details
 
 def recent_events(events: DataFrame, relays: DataFrame, scans: DataFrame,
                   limits: Limits = DEFAULTS) -> DataFrame:
-    """The last seen events with their relays and number of scans.
+    """The last seen events with their relays and their scans, oldest first.
 
     The top rows are chosen first; only their children are then read.
     """
@@ -162,9 +162,10 @@ def recent_events(events: DataFrame, relays: DataFrame, scans: DataFrame,
     ids = F.broadcast(top.select("event_id"))
     sources = relays.join(ids, "event_id", "left_semi").groupBy("event_id").agg(
         F.array_sort(F.collect_set("relay_url")).alias("relays"))
-    counts = scans.join(ids, "event_id", "left_semi").groupBy("event_id").agg(F.count(F.lit(1)).alias("scans"))
-    return top.join(sources, "event_id", "left").join(counts, "event_id", "left").withColumn(
-        "scans", F.coalesce("scans", F.lit(0)))
+    known = scans.join(ids, "event_id", "left_semi").groupBy("event_id").agg(F.array_sort(F.collect_list(
+        F.struct("inserted_at", "scan_id", "status", "policy_generation", "completed_at"))).alias("scans"))
+    joined = top.join(sources, "event_id", "left").join(known, "event_id", "left")
+    return joined.withColumn("scans", F.coalesce("scans", F.array().cast(joined.schema["scans"].dataType)))
 
 
 def recent_matches(matches: DataFrame, categories: DataFrame, blocklists: DataFrame, scans: DataFrame,

@@ -49,8 +49,14 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{tb.run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+_policies: dict[tuple[str, str], mod.Policy] = {}
+
+
 def _policy(spark: SparkSession, sf: str) -> mod.Policy:
-    return mod.Policy(inp.snapshot(spark, sf), inp.hits(spark, sf), inp.GENERATION)
+    key = (tb.run_dir(spark), sf)
+    if key not in _policies:
+        _policies[key] = mod.Policy.of(inp.snapshot(spark, sf), inp.hits(spark, sf), inp.GENERATION)
+    return _policies[key]
 
 
 # -- sources and sinks ------------------------------------------------------------
@@ -601,7 +607,8 @@ def activate_versions(spark, sf):
 
 @query
 def recent_events(spark, sf):
-    return st.recent_events(inp.stored(spark, sf), ev.event_relays(inp.valid(spark, sf)), inp.scan_log(spark, sf))
+    rows = st.recent_events(inp.stored(spark, sf), ev.event_relays(inp.valid(spark, sf)), inp.scan_log(spark, sf))
+    return rows.withColumn("scans", F.transform("scans", lambda s: F.concat_ws(":", s["scan_id"], s["status"])))
 
 
 @query

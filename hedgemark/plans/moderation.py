@@ -26,12 +26,20 @@ class Policy:
     snapshot: DataFrame
     hits: DataFrame
     generation: int
+    domain_hits: DataFrame
+    domain_lists: DataFrame
+
+    @staticmethod
+    def of(snapshot: DataFrame, hits: DataFrame, generation: int) -> Policy:
+        """Build the look-up tables once; joins check their size and then read them, so they are staged."""
+        return Policy(snapshot, hits, generation, stage(pol.domain_hits(hits), "domain-hits"),
+                      stage(pol.domain_lists(snapshot), "domain-lists"))
 
     @staticmethod
     def load(entries: DataFrame, versions: DataFrame, blocklists: DataFrame,
              categories: DataFrame, generation: int) -> Policy:
         snapshot = stage(pol.policy_snapshot(entries, versions, blocklists, categories), "snapshot")
-        return Policy(snapshot, stage(pol.one_hit_per_category(snapshot), "hits"), generation)
+        return Policy.of(snapshot, stage(pol.one_hit_per_category(snapshot), "hits"), generation)
 
 
 def target_verdicts(targets: DataFrame, url: str, hits: DataFrame, tie: list[str], limits: Limits = DEFAULTS) -> DataFrame:
@@ -52,8 +60,8 @@ def domain_answers(domains: DataFrame, host: str, policy: Policy, tie: list[str]
     A host that is none has ``target_error`` and no verdict: its status and flag are null, not clean.
     """
     known = with_domain(with_normal_host(domains, host))
-    answered = st.domain_verdicts(known, pol.domain_hits(policy.hits), tie)
-    explained = pol.explain_lists(answered, pol.domain_lists(policy.snapshot), tie)
+    answered = st.domain_verdicts(known, policy.domain_hits, tie)
+    explained = pol.explain_lists(answered, policy.domain_lists, tie)
     return st.without_verdict(explained, F.when(F.col("hostname").isNull(), "invalid_domain")).withColumn(
         "policy_generation", F.lit(policy.generation).cast("bigint"))
 
@@ -65,8 +73,8 @@ def url_answers(urls: DataFrame, edges: DataFrame, skip_hosts: DataFrame, policy
     ``urls`` has ``normalized_url, hostname``, one row per URL.
     """
     chains = red.resolve_redirects(urls, edges, skip_hosts, limits)
-    verdicts = st.url_verdicts(chains, pol.domain_hits(policy.hits))
-    explained = st.explain_chain(chains, pol.domain_lists(policy.snapshot))
+    verdicts = st.url_verdicts(chains, policy.domain_hits)
+    explained = st.explain_chain(chains, policy.domain_lists)
     return with_domain(verdicts.join(urls, "normalized_url").join(explained, "normalized_url")).withColumn(
         "policy_generation", F.lit(policy.generation).cast("bigint"))
 

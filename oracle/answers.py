@@ -255,9 +255,10 @@ answer("primary_occurrence", """
   SELECT e.event_id, e.normalized_url, e.primary_position, c.status, c.redirect_count FROM event_urls e JOIN chains c USING (normalized_url)""")
 answer("activate_versions", "SELECT version_id, blocklist_id, new_status AS status, active_version_id FROM activated")
 answer("recent_events", """
-  SELECT s.event_id, s.kind, s.article_address, s.last_seen_at, s.relays, CAST(coalesce(n.n, 0) AS BIGINT) AS scans
+  SELECT s.event_id, s.kind, s.article_address, s.last_seen_at, s.relays, coalesce(n.n, '') AS scans
   FROM (SELECT * FROM stored ORDER BY last_seen_at DESC, event_id LIMIT 100) s
-  LEFT JOIN (SELECT event_id, count(*) AS n FROM scan_log GROUP BY 1) n USING (event_id)""")
+  LEFT JOIN (SELECT event_id, string_agg(scan_id || ':' || status, ',' ORDER BY inserted_at, scan_id) AS n
+    FROM scan_log GROUP BY 1) n USING (event_id)""")
 answer("recent_matches", """
   SELECT m.scan_id, m.position, m.hop_index, m.category_id, c.slug, l.name AS list_name, s.status AS scan_status, m.inserted_at
   FROM (SELECT m.*, e.last_seen_at AS inserted_at FROM matches m JOIN stored e USING (event_id)
