@@ -108,7 +108,7 @@ def _number(ip: str) -> int:
 _CASES = " ".join(f"WHEN v BETWEEN {_number(lo)} AND {_number(hi)} THEN '{kind}'" for kind, lo, hi in _V4)
 CTES["ip_rows"] = "SELECT url, observed_at, unnest(ips) AS ip FROM hop_all"
 CTES["ip_parts"] = "SELECT *, string_split(replace(ip, '::ffff:', ''), '.') AS q FROM ip_rows"
-CTES["ip_numbers"] = """
+CTES["ip_numbers"] = r"""
   SELECT *, CASE WHEN regexp_full_match(replace(ip, '::ffff:', ''), '[0-9]+(\.[0-9]+){3}') AND list_max(q::BIGINT[]) < 256
     THEN ((q[1]::BIGINT * 256 + q[2]::BIGINT) * 256 + q[3]::BIGINT) * 256 + q[4]::BIGINT END AS v FROM ip_parts"""
 CTES["ip_class"] = f"SELECT url, observed_at, ip, CASE WHEN v IS NULL THEN 'invalid' {_CASES} ELSE 'public' END AS class FROM ip_numbers"
