@@ -202,7 +202,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCK
     ids = stage(marked.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stands")), "ids")
     single = ids.where((F.col("n") == 1) & F.col("stands") & F.col("doc_id").isNotNull()).select("doc_id")
-    kept = docs.join(single, "doc_id", "left_semi").select(*docs.columns)
+    # the ids grow with the documents, so they are merged at every size, never broadcast because they happen to be few
+    kept = docs.join(single.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     several = ids.where(F.col("stands") & ((F.col("n") > 1) | F.col("doc_id").isNull())) \
         .select(F.col("doc_id").alias("__again"))
     if several.isEmpty():
