@@ -105,3 +105,12 @@ def test_no_python_on_the_main_path(docs, bench):
     for df in (decontaminate.judge(docs, decontaminate.Benchmark(bench), ["doc_id"]), quality.judge(docs, ["doc_id"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_symbols_of_a_group_without_any(spark):
+    def text(k, every):
+        return " ".join(f"w{k}x{j}" + ("|" if every and j % every == 0 else "") for j in range(60))
+
+    rows = [(k, text(k, 0), "x", "a") for k in range(300)] + [(300, text(300, 3), "x", "a"), (301, text(301, 0), "x", "a")]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    assert {r.doc_id: r.reasons for r in judged.where(~F.col("kept")).collect()} == {300: ["symbol_share"]}
