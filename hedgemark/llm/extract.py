@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,10 @@ MARKS = frozenset(
     "navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond replies reply cookie cookies "
     "consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription share sharing social related "
     "recommended widget widgets login signin signup register search toolbar pagination pager alert skip disclaimer".split())
+#: Marks of other people's prose, which may outweigh the page's own.
+OTHERS = frozenset("comment comments disqus respond replies reply related recommended".split())
+#: What a page says it has or lacks: "has-sidebar" names no sidebar.
+_ABOUT = re.compile(r"(?:^|(?<=[-_\s]))(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -106,34 +111,71 @@ def parse(page: str) -> Node:
         node = child
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether an element is furniture: by its name, role, visibility, or a word of its class or id."""
-    if node.tag in DROPPED or node.tag == "header" and not inside:
+def _dropped(node: Node, inside: bool, core: Callable[[float], bool]) -> bool:
+    """Whether an element is furniture: by its name, role, visibility, or a word of its class or id.
+
+    Names say nothing against an element that ``core`` finds to hold the page's text (more than a given share of it).
+    """
+    if node.tag == "form" and core(0.5):
+        pass
+    elif node.tag in DROPPED or node.tag == "header" and not inside:
         return True
     if not node.attributes or node.tag in ("article", "main"):
         return False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(node.attributes)}
-    if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
     if "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
+    if found.get("role", "").lower() in ROLES and not core(0.5):
+        return True
+    names = _ABOUT.sub(" ", found.get("class", "") + " " + found.get("id", ""))
+    words = {w.lower() for w in _WORDS.findall(names)}
     if inside and node.tag in ("header", "hgroup"):
         words -= {"header"}
-    return bool(words & MARKS)
+    return bool(words & MARKS) and not core(0.9 if words & OTHERS else 0.5)
 
 
 def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def _prose(root: Node) -> tuple[dict[int, int], set[int]]:
+    """Characters outside links below each element (names that are always furniture have none), and what holds the largest article."""
+    order, open_ = [], [root]
+    while open_:
+        node = open_.pop()
+        order.append(node)
+        open_ += [c for c in node.children if not isinstance(c, str)]
+    prose: dict[int, int] = {}
+    largest, most = None, 0
+    for node in reversed(order):
+        own = 0 if node.tag == "a" or node.tag in DROPPED and node.tag != "form" else sum(
+            len(c.strip()) if isinstance(c, str) else prose[id(c)] for c in node.children)
+        prose[id(node)] = own
+        if node.tag in ("article", "main") and own >= most:
+            largest, most = node, own
+    around = set()
+    while largest is not None:
+        around.add(id(largest))
+        largest = largest.parent
+    return prose, around
+
+
 def _prune(root: Node) -> None:
-    """Take furniture out of the tree, and lists inside that are nothing but links."""
+    """Take furniture out of the tree."""
+    prose, around = _prose(root)
+
+    def core(node: Node, inside: bool, share: float) -> bool:
+        # beside an article, size alone makes no text of the page
+        return id(node) in around or (inside or not around) and prose[id(node)] > share * prose[id(root)]
+
     open_ = [(root, False)]
     while open_:
         node, inside = open_.pop()
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, inside)]
+        node.children = [c for c in node.children
+                         if isinstance(c, str) or not _dropped(c, inside, partial(core, c, inside))]
         open_ += [(c, inside) for c in node.children if not isinstance(c, str)]
 
 

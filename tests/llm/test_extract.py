@@ -48,3 +48,19 @@ def test_deep_and_broken_pages_end():
     assert extract("</p></div>" * 5_000 + f"<p>{LONG}") == LONG
     assert extract("<a href='" * 3_000 + LONG) is not None
     assert extract(f"<p>{LONG}</p>" * 3000).count("\n\n") == 2999
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='content has-sidebar'", "div class='no-sidebar'", "div class='with-header'", "div id='search-page'", "form action=x",
+    "div role=form"])
+def test_a_wrapper_does_not_take_the_text_along(wrapper):
+    end = wrapper.split()[0]
+    menu = "<div class=sidebar><a href=1>Home</a></div>"
+    for inner in (f"<article><p>{LONG}</p><p>{MORE}</p></article>", f"<div><p>{LONG}</p><p>{MORE}</p></div>"):
+        assert extract(f"<body><{wrapper}>{menu}{inner}</{end}><footer>x</footer>") == f"{LONG}\n\n{MORE}"
+
+
+def test_long_comments_stay_out():
+    comments = f"<div class=comments>{f'<p>{MORE}</p>' * 9}</div>"
+    assert extract(f"<body><article><p>{LONG}</p></article>{comments}") == LONG
+    assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{comments}") == "\n\n".join([LONG] * 3)
