@@ -34,6 +34,8 @@ ENDED_BY = {
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
+#: Elements that hold running text, lists or tables.
+WRITTEN = frozenset("p ul ol dl pre blockquote table figure".split())
 #: Ends inside these do not reach outside.
 FENCES = frozenset("table td th article section main ul ol".split())
 DROPPED = frozenset("head nav footer aside form button select menu dialog svg canvas template object embed audio video "
@@ -282,6 +284,28 @@ def _texts(node: Node) -> list[str]:
     return [t for t in (_clean(text) for _, text in _runs(node)) if t]
 
 
+def _belongs(node: Node, best: Node, sizes: dict[int, tuple[int, int, int]]) -> bool:
+    """Whether a sibling of the best container is text of the same page: written as such, or a like element with such parts."""
+    chars, linked, _ = sizes[id(node)]
+    if best.tag in ("article", "main"):  # it is whole already, but may have a like one beside it
+        return node.tag == "p" and chars > 80 and linked <= 0.25 * chars or \
+            node.tag == best.tag and node.points >= max(10.0, 0.2 * best.points) and linked <= 0.5 * chars
+    if re.fullmatch("h[1-6]", node.tag):
+        return True
+    if not chars or linked > (0.25 if node.tag == "p" else 0.5) * chars:
+        return False
+    if node.tag in WRITTEN or node.tag == best.tag and node.points >= max(10.0, 0.2 * best.points):
+        return True
+    open_ = [node] if node.tag in ("div", "section", best.tag) else []
+    while open_:
+        for c in open_.pop().children:
+            if not isinstance(c, str):
+                if c.tag in WRITTEN and sizes[id(c)][0]:
+                    return True
+                open_.append(c)
+    return False
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, its blocks joined by an empty line; empty if there is none."""
     if not page:
@@ -293,19 +317,20 @@ def extract(page: str | None) -> str:
     best = _container(root, sizes)
     if best is None:
         return "\n\n".join(_texts(root))
+    while best.parent is not None and best.tag not in ("article", "main") and sizes[id(best)][0] == sizes[id(best.parent)][0]:
+        best = best.parent  # it is all there is in there
     if best.parent is None:
         return "\n\n".join(_texts(best))
-    blocks = []
-    for c in best.parent.children:
-        if c is best:
-            blocks += _texts(best)
-        elif not isinstance(c, str):
-            chars, linked, _ = sizes[id(c)]
-            heading = bool(re.fullmatch("h[1-6]", c.tag)) and best.tag not in ("article", "main")
-            prose = c.tag == "p" and chars > 80 and linked <= 0.25 * chars
-            if heading or prose or c.tag == best.tag and c.points >= max(10.0, 0.2 * best.points) and linked <= 0.5 * chars:
-                blocks += _texts(c)
-    return "\n\n".join(blocks)
+    around = best.parent.children
+    taken = [k for k, c in enumerate(around) if c is best or not isinstance(c, str) and _belongs(c, best, sizes)]
+    whole = Node(best.parent.tag, "", None)
+    for k in range(taken[0], taken[-1] + 1):
+        c = around[k]
+        if best.tag in ("article", "main"):
+            whole.children += [c] if k in taken else []
+        elif c is best or isinstance(c, str) or sizes[id(c)][1] <= 0.5 * sizes[id(c)][0]:
+            whole.children.append(c)
+    return "\n\n".join(_texts(whole))
 
 
 def _extracted(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -64,3 +64,17 @@ def test_long_comments_stay_out():
     comments = f"<div class=comments>{f'<p>{MORE}</p>' * 9}</div>"
     assert extract(f"<body><article><p>{LONG}</p></article>{comments}") == LONG
     assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{comments}") == "\n\n".join([LONG] * 3)
+
+
+def test_all_blocks_of_a_page_without_article():
+    page = (f"<body><div><h1>Head</h1><section>{f'<p>{LONG}</p>' * 5}</section><p>Short.</p><ul><li>one<li>two</ul>"
+            f"<blockquote>said</blockquote><pre>x = 1</pre><table><tr><td>cell</table><section><p>{MORE}</p></section>"
+            "<section><p>Bye.</p></section></div>")
+    assert extract(page).split("\n\n") == ["Head", *[LONG] * 5, "Short.", "one", "two", "said", "x = 1", "cell", MORE, "Bye."]
+    nested = f"<body><div><div><div><p>{LONG}</p><p>{LONG}</p></div></div><div><div><p>{MORE}</p></div></div></div>"
+    assert extract(nested).split("\n\n") == [LONG, LONG, MORE]
+
+
+def test_like_articles_beside_each_other_stay():
+    first, second = f"<article>{f'<p>{LONG}</p>' * 5}</article>", f"<article><p>{LONG}</p><p>{MORE}</p></article>"
+    assert extract(f"<body>{first}<div>Teaser</div>{second}").split("\n\n") == [LONG] * 6 + [MORE]
