@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgemark.llm import counts, decontaminate, extract, languages, lm, packing, quality, secrets, simhash, simple8b
-from hedgemark.llm.answers import DECONTAMINATION
+from hedgemark.llm import (
+    counts,
+    decontaminate,
+    extract,
+    languages,
+    lm,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    simple8b,
+    spelling,
+    whitening,
+)
+from hedgemark.llm.answers import DECONTAMINATION, REPEATS
 from hedgemark.llm.common import crc_fold, table
 
 
@@ -61,6 +75,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), ["doc_id"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 LLM_QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_packing": op2_packing,
@@ -72,8 +99,12 @@ LLM_QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 LLM_ANSWERS = {
     "op4_decontamination": DECONTAMINATION,
+    "op13_substring_dedup": REPEATS,
 }
