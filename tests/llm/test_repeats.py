@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +93,27 @@ def test_odd_texts(spark, odd_docs, empty_docs):
 
 
 def test_other_text_of_the_same_key():
-    """A find that is no window of this text by its hash takes nothing out of it."""
-    words = [b"%d" % k for k in range(50)]
-    text, n = repeats._kept(words, [(3, 12345), (40, 7), (900, 1)], 35)
-    assert (text, n) == (b" ".join(words), 0)
+    """A find that is no window of a text by its hash takes nothing out of it."""
+    block = next(repeats._blocks(pa.RecordBatch.from_pydict({"text": [" ".join(map(str, range(50)))]})))
+    assert repeats._staying(block, np.array([12345, 7]), np.ones(1, bool), 35).all()
+
+
+def test_words_of_blocks(monkeypatch):
+    """Words and hashes do not depend on the block or the place in it; different words have different hashes."""
+    texts = ["a b", None, "", " b\ta ", "b", "ab", "b a", "\u00a0 \u3000x\x1cy a", "a" * 300, "a" * 299, *map(str, range(3000))]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    of_hash, of_word = {}, {}
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(repeats, "BLOCK", size)
+        seen = []
+        for block in repeats._blocks(batch):
+            for row, (a, z) in enumerate(pairwise(block.bounds)):
+                words = block.joined(row).split(b" ") if a < z else []
+                assert words == (texts[block.first + row] or "").encode().split()
+                seen.append(block.first + row)
+                for word, h in zip(words, block.hashes[a:z].tolist(), strict=True):
+                    assert of_word.setdefault(word, h) == h and of_hash.setdefault(h, word) == word
+        assert seen == list(range(len(texts)))
 
 
 def test_texts_are_shuffled_once(spark, sf):
