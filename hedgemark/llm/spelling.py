@@ -25,46 +25,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import bounded_batches, code_points
 from hedgemark.sources.tables import stage
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Runs of letters in Latin-1, where a code point is a byte and only A-Z is made lower case.
+RUN = re.compile(rb"[a-z\xC0-\xFF]+")
 LEAST_LETTERS, LEAST_COUNT, RATIO, SLIPS = 5, 3, 2, 97
 #: Words that a task counts before it hands them on.
 MEMORY = 300_000
 
 
-def _frame(counts: Counter[str]) -> pd.DataFrame:
-    return pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype=np.int64)})
+def _frame(counts: Counter[bytes], least_letters: int) -> pd.DataFrame:
+    words = [w for w in counts if len(w) >= least_letters]
+    return pd.DataFrame({"word": pd.Series([w.decode("latin-1") for w in words], dtype=object),
+                         "n": pd.Series([counts[w] for w in words], dtype=np.int64)})
 
 
-def _counted(frames: Iterator[pd.DataFrame], slips: int) -> Iterator[pd.DataFrame]:
-    total: Counter[str] = Counter()
+def _counted(frames: Iterator[pd.DataFrame], slips: int, least_letters: int) -> Iterator[pd.DataFrame]:
+    total, crc = Counter(), zlib.crc32
     for frame in frames:
         for doc_id, text in zip(frame["doc_id"], frame["text"]):
-            # bytes know upper case for A-Z only
-            runs = Counter(RUN.findall(text.encode("utf-8").lower().decode("utf-8")))
-            before = zlib.crc32(f"{doc_id}:".encode())
+            runs = Counter(RUN.findall(text.encode("latin-1", "replace").lower()))  # other characters become "?"
+            before = crc(f"{doc_id}:".encode())
             for run, n in runs.items():
-                h = zlib.crc32(run.encode("utf-8"), before)
-                if slips and not h % slips:
-                    at = h % len(run)
-                    run = run[:at] + run[at + 1:]
-                total[run] += n
+                if len(run) >= least_letters:  # a slip only shortens
+                    h = crc(run if run.isascii() else run.decode("latin-1").encode("utf-8"), before)
+                    if slips and not h % slips:
+                        at = h % len(run)
+                        run = run[:at] + run[at + 1:]
+                    total[run] += n
             if len(total) > MEMORY:
-                yield _frame(total)
+                yield _frame(total, least_letters)
                 total.clear()
-    yield _frame(total)
+    yield _frame(total, least_letters)
 
 
 def vocabulary(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, slips: int = SLIPS) -> DataFrame:
     """``word, n, id``: the words of all texts, counted in the tasks before anything is shuffled."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text").where("text IS NOT NULL")
-    counts = texts.mapInPandas(lambda frames: _counted(frames, slips), "word string, n bigint")
-    words = counts.where(F.length("word") >= least_letters).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInPandas(lambda frames: _counted(frames, slips, least_letters), "word string, n bigint")
+    words = counts.groupBy("word").agg(F.sum("n").alias("n"))
     return stage(words.where(F.col("n") >= least_count).withColumn("id", F.monotonically_increasing_id()), "words")
 
 
@@ -79,37 +83,35 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_hashes(words: list[str]) -> list[np.ndarray]:
-    """For each word the hashes of its prefixes, the empty one first, in time linear in its length."""
+def prefix_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all prefixes of all words, the empty ones first, and where those of each word begin; in time linear in the letters."""
     points, bounds = code_points(words)
-    if not len(points):
-        return [np.zeros(1, np.int64) for _ in words]
     sizes = np.diff(bounds)
+    offsets = bounds + np.arange(len(bounds))
     place = np.arange(len(points)) - np.repeat(bounds[:-1], sizes)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), _BASE)]))
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max(initial=0)), _BASE)]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread(points.astype(np.uint64)) * powers[place])])
-    found = []
-    for first, end in zip(bounds[:-1], bounds[1:]):
-        of_word = sums[first:end + 1] - sums[first]
-        found.append(_spread(of_word ^ _spread(np.arange(len(of_word), dtype=np.uint64))).view(np.int64))
-    return found
+    depth = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes + 1)
+    at = np.repeat(bounds[:-1], sizes + 1)
+    return _spread((sums[at + depth] - sums[at]) ^ _spread(depth.astype(np.uint64))).view(np.int64), offsets
 
 
-def _prefixes(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for words in columns:
-        yield pd.Series(prefix_hashes(list(words)))
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, offsets = prefix_hashes(batch.column("letters").to_pylist())
+        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("letters"), nodes], ["id", "letters", "nodes"])
 
 
 def _rest(text: Column, taken: Column) -> Column:
     return F.substring(text, taken + 1, F.length(text))
 
 
-def _trie(words: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The compressed trie of ``words`` (id, letters) below the level of their shortest half: its edges, and a first state per word.
+def _trie(hashed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The compressed trie of words (id, letters, nodes) below the level of their shortest half: its edges, and a first state per word.
 
     Edges: level, node, label, child, ends (some word ends at the child). States: level, id, rest, node, edits, ends.
     """
-    hashed = stage(words.select("id", "letters", F.pandas_udf(_prefixes, "array<bigint>")("letters").alias("nodes")), f"{name}-nodes")
     least = LEAST_LETTERS // 2
     each = hashed.select("id", F.posexplode("nodes").alias("depth", "node"), "letters").where(F.col("depth") >= least) \
         .select("id", "depth", "node", F.substring("letters", F.col("depth") + 1, F.lit(1)).alias("next"))
@@ -155,9 +157,9 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
         .select("id", "move.rest", "node", "move.edits", "ends")
 
 
-def _found(words: DataFrame, name: str) -> DataFrame:
+def _found(hashed: DataFrame, name: str) -> DataFrame:
     """``id, node``: the words, and the ends of those that differ from them by one letter in the second half."""
-    edges, starts = _trie(words, name)
+    edges, starts = _trie(hashed, name)
     last = edges.agg(F.max("level")).first()[0]
     names = ["id", "rest", "node", "edits", "ends"]
     frontier, states = None, []
@@ -179,10 +181,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     """``a, b``: each pair of ids of ``words`` (word, id) that differ by one inserted, deleted or replaced code point, both ways."""
     found = None
     for name, letters in (("forward", F.col("word")), ("backward", F.reverse("word"))):
-        spelt = words.select("id", letters.alias("letters"))
-        ends = words.select(F.col("id").alias("b"), F.element_at(
-            F.pandas_udf(_prefixes, "array<bigint>")(letters), -1).alias("node"))
-        pairs = _found(spelt, name).join(ends.hint("merge"), "node").select(F.col("id").alias("a"), "b")
+        hashed = stage(words.select("id", letters.alias("letters"))
+                       .mapInArrow(_prefixes, "id bigint, letters string, nodes array<bigint>"), f"{name}-nodes")
+        ends = hashed.select(F.col("id").alias("b"), F.element_at("nodes", -1).alias("node"))
+        pairs = _found(hashed, name).join(ends.hint("merge"), "node").select(F.col("id").alias("a"), "b")
         found = pairs if found is None else found.unionByName(pairs)
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     spelt = words.select(F.col("id").alias("a"), F.col("word").alias("word_a"))

@@ -78,7 +78,7 @@ def test_query(spark, sf):
     assert rows_of(got) == plain_variants(words)
 
 
-@pytest.mark.parametrize("letters, seed", [("ab", 1), ("aé×", 2), ("abcd", 3), ("aabbz", 4)])
+@pytest.mark.parametrize("letters, seed", [("ab", 1), ("aé×z", 2)])
 def test_crowded_words(spark, letters, seed):
     """Few letters, so that most words have many neighbours, runs of one letter, and chains of forms."""
     pick = random.Random(seed)
@@ -137,12 +137,16 @@ def test_slips(spark):
 
 
 def test_prefix_hashes():
+    def each(words):
+        values, offsets = spelling.prefix_hashes(words)
+        return [values[a:z].tolist() for a, z in pairwise(offsets)]
+
     words = ["", "a", "ab", "abc", "b", "aé🙂"]
-    found = spelling.prefix_hashes(words)
+    found = each(words)
     assert [len(f) for f in found] == [1, 2, 3, 4, 2, 4]
     by_prefix = {}
     for word, hashes in zip(words, found):
-        for k, h in enumerate(hashes.tolist()):
+        for k, h in enumerate(hashes):
             assert by_prefix.setdefault(word[:k], h) == h
     assert len(set(by_prefix.values())) == len(by_prefix)
-    assert [h.tolist() for h in spelling.prefix_hashes(words[::-1])] == [h.tolist() for h in found[::-1]]
+    assert each(words[::-1]) == found[::-1] and each([]) == []
