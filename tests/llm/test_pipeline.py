@@ -4,8 +4,8 @@ import corpus_pipeline
 from hedgemark.llm import languages
 from hedgemark.sources.tables import stage
 from tests.llm.test_native import plain_judge
+from tests.llm.test_neardup import plain_least
 from tests.llm.test_secrets import plain_base
-from tests.llm.test_simhash import plain_fingerprint, plain_parts
 
 
 def test_stages(spark, sf):
@@ -21,11 +21,7 @@ def test_stages(spark, sf):
     kept = {r.doc_id for r, n, s in zip(rows["start"], names, scores) if n != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE}
     assert {r.doc_id for r in rows["language_id"]} == kept
 
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows["language_id"]}
-    parts, least = plain_parts(set(fps.values()), 4), {}
-    for doc_id, fp in fps.items():
-        least[parts[fp]] = min(doc_id, least.get(parts[fp], doc_id))
-    assert sorted(r.doc_id for r in rows["near_dedup"]) == sorted(least.values())
+    assert sorted(r.doc_id for r in rows["near_dedup"]) == plain_least([(r.doc_id, r.text) for r in rows["language_id"]])
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {x[0] for x in plain_judge([(r.doc_id, r.text) for r in rows["near_dedup"]], items) if not x[5]}
