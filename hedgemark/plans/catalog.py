@@ -651,6 +651,7 @@ def relay_union(spark, sf):
 
 #: Files of a micro-batch, so that the landed logs make several.
 PACE = 4
+LANDINGS = 8
 
 
 @query
@@ -727,16 +728,29 @@ def rate_window_audit(spark, sf):
     return audit.rate_window_audit(inp.request_log(spark, sf), inp.LIMITS)
 
 
-def _landed_requests(spark, sf):
+def _landed_requests(spark, sf, delayed=False):
+    """The request log, landed in the order of time, a file for each of eight stretches; some requests two files late."""
     path = _path(spark, "requests")
-    inp.request_log(spark, sf).repartition(8).write.parquet(path)
+    log = inp.request_log(spark, sf).withColumn("us", F.unix_micros("ts"))
+    low, high = log.agg(F.min("us"), F.max("us")).first()
+    file = F.floor((F.col("us") - low) * LANDINGS / (high - low + 1))
+    if delayed:
+        file = F.when(F.col("id") % 50 == 7, F.least(file + 2, F.lit(LANDINGS - 1))).otherwise(file)
+    log = tb.stage(log.withColumn("file", file), "request-log")
+    for n in range(LANDINGS):
+        log.where(F.col("file") == n).drop("us", "file").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 @query
 def stream_rate_windows(spark, sf):
-    return live.run_rate_windows(
-        spark, _landed_requests(spark, sf), _path(spark, "rates"), inp.LIMITS, late="40 days", files_per_batch=PACE)
+    """Windows that closed or are open, and beside them what came too late for them."""
+    root = _path(spark, "rates")
+    windows = live.run_rate_windows(spark, _landed_requests(spark, sf, delayed=True), root, inp.LIMITS, files_per_batch=1)
+    length = inp.LIMITS.rate_window_s
+    late = live.late_requests(spark, root).groupBy(
+        "key", (F.floor(F.unix_timestamp("ts") / length) * length).alias("window_start")).agg(F.sum("cost").alias("late_used"))
+    return windows.join(late, ["key", "window_start"], "full")
 
 
 @query
@@ -747,10 +761,7 @@ def replay_detection(spark, sf):
 
 @query
 def stream_replays(spark, sf):
-    """Files land out of order here, so the window spans the whole log."""
-    from dataclasses import replace
-    limits = replace(inp.LIMITS, replay_window_s=40 * 86_400)
-    return live.run_replays(spark, _landed_requests(spark, sf), _path(spark, "replays"), limits, PACE)
+    return live.run_replays(spark, _landed_requests(spark, sf), _path(spark, "replays"), inp.LIMITS, files_per_batch=1)
 
 
 @query

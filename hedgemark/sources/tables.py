@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +104,38 @@ def write_entries(entries: DataFrame, path: str) -> None:
     )
 
 
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders below ``path``; none if it is not there."""
+    _, root, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already. Of several who try at once only one gets it."""
+    jvm, hpath, fs = _fs(spark, path)
+    fs.mkdirs(hpath.getParent())
+    if fs.getScheme() == "file":
+        return jvm.java.io.File(hpath.toUri().getPath()).createNewFile()
+    try:
+        return fs.createNewFile(hpath)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
+
+
 def publish_snapshot(df: DataFrame, path: str) -> int:
-    """Write a complete table under the next version number of ``path``."""
-    version = (latest_snapshot(df.sparkSession, path) or 0) + 1
+    """Write a complete table under the next free version number of ``path``.
+
+    The number is claimed first, so writers at the same time get different versions; a
+    version whose writer dies is never read, and its number is not used again.
+    """
+    spark = df.sparkSession
+    while True:
+        taken = [int(n[2:12]) for n in listing(spark, path) if re.fullmatch(r"(v=|c-)\d{10}", n)]
+        version = max(taken, default=0) + 1
+        if claim(spark, f"{path}/c-{version:010d}"):
+            break
     df.write.parquet(f"{path}/v={version:010d}")
     return version
 
@@ -135,6 +166,25 @@ def append_changes(changes: DataFrame, path: str, batch_id: int) -> None:
     changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    """Keep what a stream carries from one micro-batch to the next; that of the batch before stays, for a repeat."""
+    state.write.mode("overwrite").parquet(f"{path}/state-{batch_id}")
+    spark = state.sparkSession
+    for name in listing(spark, path):
+        if name.startswith("state-") and int(name[6:]) < batch_id - 1:
+            _, hpath, fs = _fs(spark, f"{path}/{name}")
+            fs.delete(hpath, True)
+
+
+def read_state(spark: SparkSession, path: str, before: int | None, schema: str) -> DataFrame:
+    """The state that the batch ``before`` this one left (none before the first); without it, that of the last batch."""
+    if before is None:
+        before = 1 + max((int(n[6:]) for n in listing(spark, path) if n.startswith("state-")), default=-1)
+    if before == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/state-{before - 1}")
+
+
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

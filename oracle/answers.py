@@ -303,10 +303,19 @@ RATES = """
   SELECT key, CAST(arrived_at // 86400 * 86400 AS BIGINT) AS window_start, CAST(sum(cost) AS BIGINT) AS used, sum(cost) > 20 AS limited
   FROM requests GROUP BY 1, 2"""
 answer("rate_window_audit", RATES)
-answer("stream_rate_windows", RATES)
+answer("stream_rate_windows", """
+  SELECT key, window_start, CAST(sum(cost) FILTER (NOT late) AS BIGINT) AS used, sum(cost) FILTER (NOT late) > 20 AS limited,
+    CASE WHEN bool_or(NOT late) THEN (window_start + 86400) * 1000000 <= (SELECT max(us) FROM landings) - 3600000000 END AS closed,
+    CAST(sum(cost) FILTER (late) AS BIGINT) AS late_used
+  FROM (SELECT l.*, coalesce((window_start + 86400) * 1000000 <= clock, false) AS late FROM landings l JOIN
+    (SELECT file, max(max(us)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS clock
+     FROM landings GROUP BY file) c USING (file))
+  GROUP BY key, window_start""")
 answer("replay_detection", f"""
   SELECT id, {N} AS times, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM requests GROUP BY id HAVING count(*) > 1""")
-answer("stream_replays", "SELECT DISTINCT id FROM requests")
+answer("stream_replays", """
+  SELECT id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY id ORDER BY ts) < 120000000
+    THEN 'replay' ELSE 'fresh' END AS outcome FROM requests""")
 answer("stream_ingest_counters", f"""
   SELECT received_at // 300 * 300 AS window_start, relay, coalesce(reason, 'accepted') AS outcome, {N} AS n
   FROM checked GROUP BY 1, 2, 3""")

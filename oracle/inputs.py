@@ -422,6 +422,10 @@ CTES["keys"] = """
 CTES["requests"] = """
   SELECT CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS id, user_id AS key, ts, event_id % 5 + 1 AS cost,
     epoch_us(ts) // 1000000 - event_id % 140 + 10 AS created_at, epoch_us(ts) // 1000000 AS arrived_at FROM events"""
+CTES["landings"] = """
+  SELECT key, cost, us, us // 86400000000 * 86400 AS window_start, CASE WHEN id % 50 = 7 THEN least(file + 2, 7) ELSE file END AS file
+  FROM (SELECT id, key, cost, epoch_us(ts) AS us, (epoch_us(ts) - low) * 8 // (high - low + 1) AS file
+    FROM requests, (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM requests))"""
 
 _WORD = re.compile(r"\b[a-z_0-9]+\b")
 
