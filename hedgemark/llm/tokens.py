@@ -42,12 +42,14 @@ BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1)
 
 
 class _Encoder:
-    """Ids of texts; special-token strings in a text are ordinary text."""
+    """Ids of texts by the tokenizer as it is: a text that holds an added token's string is always encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # a lower-casing vocabulary may know them by any case
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)", re.I).search
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,7 +69,7 @@ class SpacedBytes(_Encoder):
         self.merge = made.encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.whole(t) if UNCOMMON(t) else array("I", self.merge(t)).tobytes() for t in texts]
+        return [self.whole(t) if UNCOMMON(t) or self.added(t) else array("I", self.merge(t)).tobytes() for t in texts]
 
 
 class BareWords(_Encoder):
@@ -101,7 +103,7 @@ class BareWords(_Encoder):
         if len(self.known) > MEMORY:
             self.known, self.merged = _Words(self, dict(self.known)), {}
         get = self.known.__getitem__
-        return [self.whole(t) if SEPARATORS(t) else b"".join(map(get, t.split())) for t in texts]
+        return [self.whole(t) if SEPARATORS(t) or self.added(t) else b"".join(map(get, t.split())) for t in texts]
 
 
 class _Words(dict):

@@ -16,7 +16,6 @@ WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 def plain(name):
     made = Tokenizer.from_file(public_path(name))
-    made.encode_special_tokens = True
     return lambda text, end: np.array([*made.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -28,6 +27,17 @@ def test_ids_are_those_of_the_tokenizer(odd_docs, sample, kind, name):
         assert found == ids(text, 0)[:-1].tobytes()
 
 
+@pytest.mark.parametrize(("kind", "name"), [(BareWords, WORD), (SpacedBytes, BYTE)])
+def test_added_tokens_in_texts(kind, name):
+    """Strings of added tokens get the ids that the unmodified tokenizer gives them, wherever they stand."""
+    ids = plain(name)
+    added = [t.content for t in Tokenizer.from_file(public_path(name)).get_added_tokens_decoder().values()]
+    assert added
+    texts = [made for a in added for made in (a, f"a {a} b", f"a{a}b", f"{a}{a} x", f"  {a}\n", a.upper(), f"é{a}漢", a[:-1], f"x y {a[1:]}")]
+    for text, found in zip(texts, encoder(kind, public_path(name)).encode(texts)):
+        assert found == ids(text, 0)[:-1].tobytes(), text
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=400))
 def test_simple8b_round_trip(ids):
