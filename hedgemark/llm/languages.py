@@ -20,17 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import bounded_batches, code_points, sums_between, text_blocks
+from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.tables import stage
 
 UNKNOWN = "und"
-#: Languages that the masks can hold.
-MOST = 64
+#: Languages of one mask word, and most of all: each word of 64 takes eight bytes a place in every task.
+WORD, MOST = 64, 4096
 HASHES = 1 << 31
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: most labelled texts per language that are learned from (those of smallest id hash).
+    """``sample``: most labelled texts per language that are learned from (those of smallest hash of id and text).
     ``share``: a language holds an n-gram if its rate there is at least this part of the rates of all.
     ``least``: and if it occurs so often in its sample. ``places``: size of the filter; ``hashes``: places per n-gram."""
 
@@ -111,14 +112,21 @@ def _counted(frames: Iterator[pd.DataFrame], sizes: tuple[int, ...]) -> Iterator
 
 @dataclass
 class Filters:
-    """Masks by place, the learned languages in order of their bits, and each one's expected false-positive rate."""
+    """Masks by place (of the first 64 languages, and ``further`` ones), and the learned languages in order of their bits."""
 
     langs: list[str]
     masks: np.ndarray
     settings: Settings
+    further: tuple[np.ndarray, ...] = ()
+
+    def _bits(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        """For each mask word its masks, and the first and the end of its languages."""
+        for k, masks in enumerate((self.masks, *self.further)):
+            yield masks, k * WORD, min((k + 1) * WORD, len(self.langs))
 
     def rates(self) -> np.ndarray:
-        filled = [float(((self.masks >> np.uint64(b)) & np.uint64(1)).mean()) for b in range(len(self.langs))]
+        """Each language's expected rate of false positives."""
+        filled = [float(((masks >> np.uint64(b)) & np.uint64(1)).mean()) for masks, a, z in self._bits() for b in range(z - a)]
         return np.array(filled) ** self.settings.hashes
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -129,12 +137,14 @@ class Filters:
         for first, run in text_blocks(texts):
             n, hits = np.zeros(len(run), np.int64), np.zeros((len(self.langs), len(run)), np.int64)
             for hashes, bounds in grams(run, self.settings.sizes):
-                mask = np.full(len(hashes), ~np.uint64(0))
-                for place in _places(hashes, self.settings):
-                    mask &= self.masks[place]
+                places = _places(hashes, self.settings)
                 n += np.diff(bounds)
-                for bit in range(len(self.langs)):
-                    hits[bit] += sums_between((mask >> np.uint64(bit)) & np.uint64(1), bounds)
+                for masks, a, z in self._bits():
+                    mask = np.full(len(hashes), ~np.uint64(0))
+                    for place in places:
+                        mask &= masks[place]
+                    for bit in range(z - a):
+                        hits[a + bit] += sums_between((mask >> np.uint64(bit)) & np.uint64(1), bounds)
             # of n look-ups, those that miss still hit by chance at the filter's rate
             held = np.clip((hits - rates[:, None] * n) / (1 - np.minimum(rates, 0.99))[:, None], 0, None)
             best = held.argmax(0)
@@ -148,24 +158,28 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     """Learn from ``doc_id, text, lang``; rows without a language or text teach nothing.
 
     The texts are a bounded sample per language, so the n-gram table that reaches the
-    driver is bounded too: it comes as one row per occupied place of the filter, at most ``places``.
+    driver is bounded too: it comes as one row per occupied place of the filter, at most
+    ``places`` for each 64 languages. Rows are chosen by a hash of id and text, so null and
+    equal ids are rows like any other; rows repeated in both count once. An empty table
+    teaches nothing. Other columns are not read, so their names cannot clash.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
-    sizes = keys.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST + 1).collect()
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()) \
+        .select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    keys = labelled.select("lang", "key", F.pmod("key", F.lit(HASHES)).alias("h"))
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("key").alias("rows")).limit(MOST + 1).collect()
     if len(sizes) > MOST:
-        raise ValueError(f"more than {MOST} languages do not fit the masks")
+        raise ValueError(f"more than {MOST} languages")
     langs = sorted(r["lang"] for r in sizes)
-    # of a large language only about twice the sample is ranked, chosen by id hash without touching the texts
-    below = [(r["lang"], min(HASHES, 2 * settings.sample * HASHES // r["rows"] + 1)) for r in sizes]
+    # of a large language only about twice the sample is ranked, chosen by the hash
+    below = [(r["lang"], min(HASHES, 2 * settings.sample * HASHES // max(r["rows"], 1) + 1)) for r in sizes]
     keys = keys.join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang") \
-        .where(F.col("h") < F.col("below"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = stage(keys.withColumn("rank", rank).where(F.col("rank") <= settings.sample), "sample")
-    chosen = chosen.select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+        .where(F.col("h") < F.col("below")).select("lang", "key", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
+    chosen = stage(keys.withColumn("rank", rank).where(F.col("rank") <= settings.sample), "sample").select("lang", "key")
+    chosen = F.broadcast(chosen) if fits_broadcast(chosen) else chosen
+    sample = labelled.join(chosen, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text"))
     counts = stage(sample.mapInPandas(lambda frames: _counted(frames, settings.sizes), "lang string, gram bigint, n bigint")
                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -174,29 +188,31 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     bits = spark.createDataFrame(list(enumerate(langs)), "bit int, lang string")
     held = rates.join(overall, "gram").where(
         (F.col("rate") >= settings.share * F.col("rates")) & (F.col("n") >= settings.least)).join(F.broadcast(bits), "lang")
-    by_gram = held.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    by_gram = held.groupBy("gram", F.floor(F.col("bit") / WORD).cast("int").alias("word")) \
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {WORD})")).alias("mask"))
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for place in _places(frame["gram"].to_numpy().view(np.uint64), settings):
-                yield pd.DataFrame({"place": place, "mask": frame["mask"]})
+                yield pd.DataFrame({"place": place, "word": frame["word"], "mask": frame["mask"]})
 
-    rows = by_gram.mapInPandas(placed, "place bigint, mask bigint") \
-        .groupBy("place").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros(settings.places, np.uint64)
+    rows = by_gram.mapInPandas(placed, "place bigint, word int, mask bigint") \
+        .groupBy("place", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    masks = np.zeros((max(1, -(-len(langs) // WORD)), settings.places), np.uint64)
     if len(rows):
-        masks[rows["place"].to_numpy()] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return Filters(langs, masks, settings)
+        masks[rows["word"].to_numpy(), rows["place"].to_numpy()] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return Filters(langs, masks[0], settings, tuple(masks[1:]))
 
 
 def predicted(text: Column, filters: Filters, spark: SparkSession) -> Column:
     """Struct ``lang_pred, score`` for a text column; "und" with score 0 where there is no letter (or nothing was learned)."""
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((filters.langs, filters.masks.tobytes(), filters.settings))
+    shared = spark.sparkContext.broadcast((filters.langs, filters.settings, [m.tobytes() for m in (filters.masks, *filters.further)]))
 
     def judge(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, masks, settings = shared.value
-        own = Filters(langs, np.frombuffer(masks, np.uint64), settings)
+        langs, settings, words = shared.value
+        masks = [np.frombuffer(w, np.uint64) for w in words]
+        own = Filters(langs, masks[0], settings, tuple(masks[1:]))
         for texts in columns:
             names, scores = own.predict([t or "" for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": scores})

@@ -63,3 +63,27 @@ def test_odd_texts(spark, odd_docs, sample):
 def test_nothing_to_learn(spark, empty_docs, odd_docs):
     filters = languages.fit(empty_docs)
     assert {r.p.lang_pred for r in odd_docs.select(languages.predicted(F.col("text"), filters, spark).alias("p")).collect()} == {"und"}
+
+
+def test_rows_without_an_id_teach(spark):
+    """Null, equal and repeated ids are rows like any other, and a repeated row counts once."""
+    english, french = "hello there friend how are you today number", "bonjour mon ami comment vas tu ce matin"
+    rows = [(None, f"{english} {k}", "en") for k in range(50)] + [(k, f"{french} {k}", "fr") for k in range(50)]
+    rows += [(7, f"{word} unser guter freund wie geht es dir", "de") for word in ("hallo", "ach", "nun", "so", "ja")] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit(1)).withColumn("h", F.lit(1))
+    for sample in (2000, 20, 4):
+        filters = languages.fit(docs, languages.Settings(places=1 << 16, sample=sample, least=1))
+        assert filters.langs == ["de", "en", "fr"]
+        assert filters.predict(["hello there friend how are you", "mon ami comment vas tu", "guter freund wie geht es"])[0] == ["en", "fr", "de"]
+
+
+def test_many_languages(spark):
+    """Two hundred languages, each with letters of its own."""
+    letters = [chr(0x4E00 + 10 * k) + chr(0x4E05 + 10 * k) for k in range(200)]
+    rows = [(k, f"{word} " * 9, f"l{k:03}") for k, word in enumerate(letters)]
+    filters = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), SMALL)
+    assert len(filters.langs) == 200 and len(filters.further) == 3
+    assert filters.predict([word * 2 for word in letters])[0] == [f"l{k:03}" for k in range(200)]
+    docs = spark.createDataFrame([(t,) for t in letters], "text string")
+    got = docs.select(languages.predicted(F.col("text"), filters, spark).alias("p")).collect()
+    assert sorted(r.p.lang_pred for r in got) == filters.langs
