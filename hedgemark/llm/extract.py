@@ -39,15 +39,20 @@ WRITTEN = frozenset("p ul ol dl pre blockquote table figure".split())
 #: Ends inside these do not reach outside.
 FENCES = frozenset("table td th article section main ul ol".split())
 DROPPED = frozenset("head nav footer aside form button select menu dialog svg canvas template object embed audio video "
-                    "label input datalist".split()) | RAW
+                    "input datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond replies reply cookie cookies "
+    "navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond replies reply cookie cookies "
     "consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription share sharing social related "
     "recommended widget widgets login signin signup register search toolbar pagination pager alert skip disclaimer".split())
 #: Marks of other people's prose, which may outweigh the page's own.
-OTHERS = frozenset("comment comments disqus respond replies reply related recommended".split())
+OTHERS = frozenset("comment comments commentlist disqus respond replies reply related recommended".split())
+#: Words that say nothing of their own beside a mark: inside the article a name is furniture only if it is made of such and marks.
+PLAIN = frozenset(
+    "area bar block body box btn button buttons card cards container content entry footer form frame group head holder icon icons inline "
+    "inner item items js label large layer left line link links list main media mid middle bottom page panel placeholder post right row "
+    "section site slot small small tag text title top unit wrap wrapper zone".split())
 #: What a page says it has or lacks: "has-sidebar" names no sidebar.
 _ABOUT = re.compile(r"(?:^|(?<=[-_\s]))(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -133,8 +138,12 @@ def _dropped(node: Node, inside: bool, core: Callable[[float], bool]) -> bool:
         return True
     names = _ABOUT.sub(" ", found.get("class", "") + " " + found.get("id", ""))
     words = {w.lower() for w in _WORDS.findall(names)}
-    if inside and node.tag in ("header", "hgroup"):
-        words -= {"header"}
+    if inside:
+        marked = False
+        for name in names.split():
+            of_name = {w.lower() for w in _WORDS.findall(name)} - ({"header"} if node.tag in ("header", "hgroup") else set())
+            marked |= bool(of_name & MARKS) and all(w in MARKS or w in PLAIN or len(w) == 1 or w.isdigit() for w in of_name)
+        return marked and not core(0.9 if words & OTHERS else 0.5)
     return bool(words & MARKS) and not core(0.9 if words & OTHERS else 0.5)
 
 
@@ -204,9 +213,12 @@ def _sizes(root: Node) -> dict[int, tuple[int, int, int]]:
 
 
 def _drop_link_lists(root: Node, sizes: dict[int, tuple[int, int, int]]) -> None:
+    """Lists of links are menus, except in an article."""
     open_ = [root]
     while open_:
         node = open_.pop()
+        if node.tag in ("article", "main"):
+            continue
         kept = []
         for c in node.children:
             if not isinstance(c, str) and c.tag in ("ul", "ol", "dl"):
@@ -272,11 +284,6 @@ def _container(root: Node, sizes: dict[int, tuple[int, int, int]]) -> Node | Non
         node.points *= 1 - linked / chars if chars else 0
         if node.points > most:
             best, most = node, node.points
-    up = best
-    while up is not None:  # the article around it holds its heading and what else belongs to it
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
     return best
 
 
@@ -284,17 +291,54 @@ def _texts(node: Node) -> list[str]:
     return [t for t in (_clean(text) for _, text in _runs(node)) if t]
 
 
+def _articles(root: Node, sizes: dict[int, tuple[int, int, int]]) -> list[Node]:
+    """The outermost articles in page order; one whose whole text is links only points to another."""
+    found, open_ = [], [root]
+    while open_:
+        node = open_.pop()
+        if node.tag in ("article", "main"):
+            chars, linked, _ = sizes[id(node)]
+            if linked < chars:
+                found.append(node)
+        else:
+            open_ += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return found
+
+
+def _heading_only(node: Node, sizes: dict[int, tuple[int, int, int]]) -> bool:
+    """Whether all text of an element is in headings."""
+    headings, open_ = 0, [node]
+    while open_:
+        at = open_.pop()
+        if re.fullmatch("h[1-6]", at.tag):
+            headings += sizes[id(at)][0]
+        else:
+            open_ += [c for c in at.children if not isinstance(c, str)]
+    return 0 < headings == sizes[id(node)][0]
+
+
+def _around_articles(articles: list[Node], sizes: dict[int, tuple[int, int, int]]) -> list[Node]:
+    """The articles, each with the heading right before it and long paragraphs beside it."""
+    taken = []
+    for article in articles:
+        around = [c for c in article.parent.children if not isinstance(c, str) and sizes[id(c)][0]] if article.parent else [article]
+        own = around.index(article)
+        for k, c in enumerate(around):
+            chars, linked, _ = sizes[id(c)]
+            if c is article or c.tag == "p" and chars > 80 and linked <= 0.25 * chars or k == own - 1 and _heading_only(c, sizes):
+                if not any(c is t for t in taken):
+                    taken.append(c)
+    return taken
+
+
 def _belongs(node: Node, best: Node, sizes: dict[int, tuple[int, int, int]]) -> bool:
     """Whether a sibling of the best container is text of the same page: written as such, or a like element with such parts."""
     chars, linked, _ = sizes[id(node)]
-    if best.tag in ("article", "main"):  # it is whole already, but may have a like one beside it
-        return node.tag == "p" and chars > 80 and linked <= 0.25 * chars or \
-            node.tag == best.tag and node.points >= max(10.0, 0.2 * best.points) and linked <= 0.5 * chars
-    if re.fullmatch("h[1-6]", node.tag):
+    if re.fullmatch("h[1-6]", node.tag) or _heading_only(node, sizes):
         return True
     if not chars or linked > (0.25 if node.tag == "p" else 0.5) * chars:
         return False
-    if node.tag in WRITTEN or node.tag == best.tag and node.points >= max(10.0, 0.2 * best.points):
+    if node.tag in WRITTEN or node.tag == best.tag and node.points >= 0.2 * best.points:
         return True
     open_ = [node] if node.tag in ("div", "section", best.tag) else []
     while open_:
@@ -307,17 +351,23 @@ def _belongs(node: Node, best: Node, sizes: dict[int, tuple[int, int, int]]) ->
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page, its blocks joined by an empty line; empty if there is none."""
+    """The main text of a page, its blocks joined by an empty line; empty if there is none.
+
+    Articles, where a page has them, are kept whole but for furniture inside them; only other pages are scored.
+    """
     if not page:
         return ""
     root = parse(page)
     _prune(root)
     sizes = _sizes(root)
+    articles = _articles(root, sizes)
+    if articles:
+        return "\n\n".join(t for node in _around_articles(articles, sizes) for t in _texts(node))
     _drop_link_lists(root, sizes)
     best = _container(root, sizes)
     if best is None:
         return "\n\n".join(_texts(root))
-    while best.parent is not None and best.tag not in ("article", "main") and sizes[id(best)][0] == sizes[id(best.parent)][0]:
+    while best.parent is not None and sizes[id(best)][0] == sizes[id(best.parent)][0]:
         best = best.parent  # it is all there is in there
     if best.parent is None:
         return "\n\n".join(_texts(best))
@@ -326,9 +376,7 @@ def extract(page: str | None) -> str:
     whole = Node(best.parent.tag, "", None)
     for k in range(taken[0], taken[-1] + 1):
         c = around[k]
-        if best.tag in ("article", "main"):
-            whole.children += [c] if k in taken else []
-        elif c is best or isinstance(c, str) or sizes[id(c)][1] <= 0.5 * sizes[id(c)][0]:
+        if c is best or isinstance(c, str) or c.tag == "p" or sizes[id(c)][1] <= 0.5 * sizes[id(c)][0]:
             whole.children.append(c)
     return "\n\n".join(_texts(whole))
 
@@ -339,5 +387,8 @@ def _extracted(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def main_text(page: Column) -> Column:
-    """``extract`` of each page; null and empty pages give the empty text."""
+    """``extract`` of each page; null and empty pages give the empty text, equal pages equal texts.
+
+    It is a column: repeated rows, empty tables and columns of any name are those of the caller's table.
+    """
     return F.pandas_udf(_extracted, "string")(page)

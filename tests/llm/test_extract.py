@@ -1,6 +1,7 @@
 """Main text of pages: the given pages against a plain reading, and hand-made pages."""
 
 import html
+import random
 import re
 
 import pytest
@@ -34,7 +35,8 @@ def test_like_a_plain_reading_of_the_given_pages(spark, sf):
      f"Title\n\n{LONG}\n\none\n\ntwo\n\nx\n\ny"),
     (f"<body><div class='cookie-notice'>{MORE}</div><div class=content><h2>Head</h2>{LONG}<br>next&nbsp;line<p>{MORE}</div></body>",
      f"Head\n\n{LONG} next line\n\n{MORE}"),
-    (f"<article><p>{LONG}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p hidden>x</p></article>", LONG),
+    (f"<article><p>{LONG}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p hidden>x</p></article>",
+     f"{LONG}\n\none\n\ntwo\n\nthree"),
     (f"<article><p>{LONG} 1 &lt; 2 &#233; &amp</p><p>{MORE[:20]}&am", f"{LONG} 1 < 2 é &\n\n{MORE[:20]}&am"),
     (f"<ARTICLE><P>{LONG}<P>{MORE}</ARTICLE><SCRIPT>var x = 1", f"{LONG}\n\n{MORE}"),
     (f"<article><p>{LONG}</p><p title='a > b'>{MORE}</p></article>", f"{LONG}\n\n{MORE}"),
@@ -78,3 +80,65 @@ def test_all_blocks_of_a_page_without_article():
 def test_like_articles_beside_each_other_stay():
     first, second = f"<article>{f'<p>{LONG}</p>' * 5}</article>", f"<article><p>{LONG}</p><p>{MORE}</p></article>"
     assert extract(f"<body>{first}<div>Teaser</div>{second}").split("\n\n") == [LONG] * 6 + [MORE]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><p>Short.</p></article><ol class='commentlist'>{f'<li><p>{MORE}</p></li>' * 8}</ol>", "Short."),
+    ("<body><article><p>One.</p></article><article><p>Two.</p></article>", "One.\n\nTwo."),
+    (f"<article><p>{LONG}</p><ol>{''.join(f'<li><a href={k}>Source {k}</a></li>' for k in range(4))}</ol></article>",
+     "\n\n".join([LONG, *(f"Source {k}" for k in range(4))])),
+    (f"<article><p class='social-history'>{LONG}</p><p class='skip-ahead'>{MORE}</p><dl><dt>Level</dt><dd class='alert-level'>high</dd></dl></article>",
+     f"{LONG}\n\n{MORE}\n\nLevel\n\nhigh"),
+    (f"<article><p>{LONG}</p><p><label>Note</label> said the fox.</p></article>", f"{LONG}\n\nNote said the fox."),
+    (f"<body><div><h1>Title</h1></div><div><p>{LONG}</p><p>{MORE}</p></div>", f"Title\n\n{LONG}\n\n{MORE}"),
+    (f"<body><div><h1>Title</h1></div><article><p>{LONG}</p></article>", f"Title\n\n{LONG}"),
+    (f"<body><div><p>{LONG}</p><p><a href=x>{MORE}</a></p><p>{LONG}</p></div>", f"{LONG}\n\n{MORE}\n\n{LONG}"),
+    (f"<body><nav><article><a href=1>Home</a></article></nav><div><p>{LONG}</p></div>", LONG),
+])
+def test_nothing_of_the_article_is_lost(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_generated_pages(seed):
+    """Articles of random blocks in random wrappers and with random furniture, against what was put in."""
+    pick = random.Random(seed)
+    said = iter(range(10 ** 6))
+    words = lambda n: " ".join(f"word{next(said)}" for _ in range(n))
+    want, body = [], []
+    names = ["", " class='lead'", " class='social-history'", " id='search-results-explained'", " class='widget-theory'", " class='header-art'"]
+    def blocks(depth):
+        for _ in range(pick.randrange(1, 5)):
+            kind, name = pick.choice(["p", "h2", "li", "refs", "quote", "table", "div", "section", "furniture"]), pick.choice(names)
+            text = words(pick.choice([1, 3, 30]))
+            if kind in ("div", "section") and depth < 3:
+                body.append(f"<{kind}{name}>")
+                blocks(depth + 1)
+                body.append(f"</{kind}>")
+            elif kind == "furniture":
+                body.append(pick.choice(["<div class='share-buttons'>{}</div>", "<aside>{}</aside>", "<div class='ad'>{}</div>",
+                                         "<form>{}</form>", "<script>{}</script>", "<div id='newsletter-box'>{}</div>"]).format(text))
+            else:
+                made = {"p": f"<p{name}>{text}</p>", "h2": f"<h2>{text}</h2>", "li": f"<ul{name}><li>{text}</ul>", "quote": f"<blockquote>{text}</blockquote>",
+                        "refs": f"<ol><li><a href=x>{text}</a></ol>", "table": f"<table><tr><td>{text}</table>"}
+                body.append(made.get(kind, f"<p>{text}</p>"))
+                want.append(text)
+    for _ in range(pick.randrange(1, 3)):
+        body.append("<article>")
+        blocks(0)
+        want.append(words(20))
+        body.append(f"<p>{want[-1]}</p></article>")
+    wrapper = pick.choice(["div", "div class='has-sidebar'", "section", "div id=page"])
+    menu = f"<nav>{words(4)}</nav><div class='sidebar'><p>{words(30)}</p></div>"
+    comments = f"<section class='comments'><p>{words(200)}</p></section>"
+    page = f"<body>{menu}<{wrapper}>{''.join(body)}</{wrapper.split()[0]}>{comments}<footer>{words(9)}</footer>"
+    assert extract(page).split("\n\n") == want
+
+
+def test_tables_of_pages(spark):
+    """Repeated rows, an empty table, and columns that bear the operator's words."""
+    page = f"<article><p>{LONG}</p></article>"
+    pages = spark.createDataFrame([(1, page, "a"), (1, page, "a"), (None, None, "b")], "page_id long, html string, text string")
+    got = pages.select("page_id", "text", main_text(pages["html"]).alias("found")).collect()
+    assert sorted((r.page_id or 0, r.text, r.found) for r in got) == [(0, "b", ""), (1, "a", LONG), (1, "a", LONG)]
+    assert pages.where("false").select(main_text(pages["html"])).collect() == []
