@@ -5,6 +5,7 @@ The ranges are a short fixed list, so they are compared in place: no join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,6 +47,32 @@ def _full_words(text: Column) -> Column:
     return F.concat(head, gap, tail)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _six_bits(text: Column) -> Column:
+    """The bits of a version 6 address after a 6, of a wrapped version 4 one after a 4; null for text that is none."""
+    def told(six: Column, words: Column) -> Column:
+        given = F.size(F.filter(F.split(six, ":"), lambda w: w != ""))
+        full = six.contains("::") & (given < 8) | (F.size(F.split(six, ":")) == 8)
+        return full & ~six.rlike("::.*::|:::|^:[^:]|[^:]:$") & (F.size(words) == 8) & F.forall(words, lambda w: w.rlike("^[0-9a-f]{1,4}$"))
+
+    half = lambda digits, at: F.lpad(F.conv(F.substring(digits, at, 16), 16, 2), 64, "0")
+    spelt = lambda digits: F.when(
+        digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("4"), F.lpad(F.conv(F.substring(digits, 25, 8), 16, 2), 32, "0"))
+    ).otherwise(F.concat(F.lit("6"), half(digits, 1), half(digits, 17)))
+    digits = lambda words: F.array_join(F.transform(words, lambda w: F.lpad(w, 4, "0")), "")
+    return once(_v6_words(F.lower(text)), lambda six: once(
+        _full_words(six), lambda words: F.when(told(six, words), once(digits(words), spelt))))
+
+
+def address_bits(address: Column) -> Column:
+    """The bits of an address as text after its family (4 or 6), null for text that is none; a wrapped version 4 address is one of version 4."""
+    return F.when(address.contains(":"), _six_bits(address)).otherwise(F.concat(F.lit("4"), F.lpad(F.bin(v4_number(address)), 32, "0")))
+
+
 def address_classes(addresses: Column, allow_loopback: bool = False) -> Column:
     """For each address why it is not public, or ``public``; ``invalid`` for text that is none and for null.
 

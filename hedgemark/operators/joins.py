@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -46,18 +47,27 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None, nulls: bool =
     return [row[key] for row in top.collect()]
 
 
+_WORK = re.compile(r"^[\s:|+-]*(Join|Aggregate|Window|Generate|Distinct|Deduplicate|Union|Sort|MapInPandas|\w*EvalPython)\b", re.M)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, staged first unless it only reads, selects and filters a table: who looks at it twice must not work it out twice."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return stage(df, name) if _WORK.search(plan) else df
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, tie: Sequence[str],
                 hot_rows: int | None = None, broadcast_rows: int | None = None,
                 spread: int = SPREAD) -> DataFrame:
     """Join a possibly skewed left side to a right side with few rows per key.
 
-    The size of ``right`` is checked first, so it should be a staged or small table:
-    up to ``broadcast_rows`` rows are broadcast. Otherwise rows of hot keys are dealt
+    The size of ``right`` is checked first, so it is staged unless it is a plain table: up to ``broadcast_rows`` rows are broadcast. Otherwise rows of hot keys are dealt
     out over ``spread`` sub-keys by a hash of ``tie``, and only the right rows of those
     keys are repeated; without hot keys it is a plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join type not supported: {how}")
+    right = written(right, "right")
     if fits_broadcast(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
     # a left join keeps rows without a key, which would all meet in one task

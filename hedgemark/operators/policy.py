@@ -73,23 +73,28 @@ def import_decision(bodies: DataFrame, rules: DataFrame, active: DataFrame,
     """Per body: activate it, or why not.
 
     ``rules`` are the distinct rules; ``active`` has ``blocklist_id`` and the
-    ``previous_count`` of the version in force.
+    ``previous_count`` of the version in force. If it has ``active_checksum`` too, a body
+    with that content is ``unchanged``: no error and no new version.
     """
     counts = rules.groupBy("blocklist_id").agg(F.count(F.lit(1)).alias("entry_count"))
+    known = F.col("active_checksum") if "active_checksum" in active.columns else F.lit(None).cast("string")
     step = list_checksums(bodies).join(counts, "blocklist_id", "left").join(
-        active.select("blocklist_id", "previous_count"), "blocklist_id", "left"
+        active.select("blocklist_id", "previous_count", known.alias("active_checksum")), "blocklist_id", "left"
     )
+    same = F.coalesce(F.col("checksum") == F.col("active_checksum"), F.lit(False))
     n = F.coalesce("entry_count", F.lit(0))
     decrease = (F.col("previous_count") > 0) & (n / F.col("previous_count") < limits.min_size_ratio)
     error = (
-        F.when(F.col("bytes") > limits.max_list_bytes, TOO_LARGE)
+        F.when(same, F.lit(None).cast("string"))
+        .when(F.col("bytes") > limits.max_list_bytes, TOO_LARGE)
         .when(n > limits.max_list_rules, TOO_MANY)
         .when(n == 0, NO_ENTRIES)
         .when(F.coalesce(decrease, F.lit(False)), DECREASE)
     )
     return step.select(
         "blocklist_id", "bytes", "checksum", n.cast("bigint").alias("entry_count"), "previous_count",
-        error.alias("error"), F.when(error.isNull(), "activate").otherwise("reject").alias("decision"),
+        error.alias("error"),
+        F.when(same, "unchanged").when(error.isNull(), "activate").otherwise("reject").alias("decision"),
     )
 
 

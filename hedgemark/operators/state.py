@@ -110,15 +110,15 @@ def batch_lookup(keys: DataFrame, addresses: DataFrame, states: DataFrame,
     )
 
 
-def scan_detail(scans: DataFrame, occurrences: DataFrame, resolutions: DataFrame, hops: DataFrame,
+def scan_detail(scans: DataFrame, occurrences: DataFrame, resolutions: DataFrame, chains: DataFrame,
                 matches: DataFrame, classifications: DataFrame) -> DataFrame:
     """One row per scan with all its evidence nested.
 
-    Every array is bounded by the caps of a scan; hops are nested per URL first.
+    Every array is bounded by the caps of a scan; the hops of a URL come nested in its chain.
     """
-    chain = hops.groupBy("normalized_url").agg(F.array_sort(F.collect_list(F.struct(
-        "hop_index", F.col("url").alias("hop_url"), "hostname", "http_status", "location",
-    ))).alias("hops"))
+    chain = chains.select("normalized_url", F.transform("hops", lambda h: F.struct(
+        h["hop_index"].alias("hop_index"), h["url"].alias("hop_url"), h["hostname"].alias("hostname"),
+        h["http_status"].alias("http_status"), h["location"].alias("location"))).alias("hops"))
     placed = spread_join(resolutions, chain, "normalized_url", "left", tie=["event_id"])
     with_hops = placed.groupBy("scan_id").agg(
         F.array_sort(F.collect_list(F.struct(
@@ -136,17 +136,18 @@ def scan_detail(scans: DataFrame, occurrences: DataFrame, resolutions: DataFrame
     return detail
 
 
-def event_detail(events: DataFrame, relays: DataFrame, scans: DataFrame, details: DataFrame) -> DataFrame:
-    """Stored events with their relays, their number of scans and the latest scan.
+def event_detail(events: DataFrame, relays: DataFrame, details: DataFrame) -> DataFrame:
+    """Stored events with their relays and all their scans, oldest first, each with its evidence.
 
-    The latest scan carries its evidence (``scan_detail``); older scans of an event,
-    which may be many, stay one row each in that table.
+    ``details`` is ``scan_detail`` with ``event_id, inserted_at, scan_id``. An event has as many
+    scans as it was scanned times, each of bounded size.
     """
-    newest = latest_scans(scans.select("event_id", "scan_id", "inserted_at")).select("event_id", "scan_id")
-    counts = scans.groupBy("event_id").agg(F.count(F.lit(1)).alias("scans"))
-    latest = newest.join(details.drop("event_id"), "scan_id").withColumnRenamed("status", "scan_status")
+    first = ["inserted_at", "scan_id"]
+    rest = [c for c in details.columns if c not in ("event_id", *first)]
+    nested = details.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("scans"))
     sources = relays.groupBy("event_id").agg(F.array_sort(F.collect_set("relay_url")).alias("relays"))
-    return events.join(sources, "event_id", "left").join(counts, "event_id", "left").join(latest, "event_id", "left")
+    joined = events.join(sources, "event_id", "left").join(nested, "event_id", "left")
+    return joined.withColumn("scans", F.coalesce("scans", F.array().cast(joined.schema["scans"].dataType)))
 
 
 def recent_events(events: DataFrame, relays: DataFrame, scans: DataFrame,
@@ -243,10 +244,21 @@ def url_verdicts(chains: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def explain_chain(chains: DataFrame, lists: DataFrame) -> DataFrame:
-    """Per URL every list that hits one of its hosts, once, and the hosts hit."""
-    hosts = F.array_distinct(F.transform("hops", lambda h: h["hostname"]))
-    step = chains.select("normalized_url", F.filter(hosts, lambda h: h != "").alias("hosts"))
-    return step.join(_chain_arrays(chains, lists, "lists"), "normalized_url", "left")
+    """Per URL its hosts, every list that hits one of them, once, and for each host its domain and lists.
+
+    ``explained`` keeps the order in which the chain met the hosts; a host that no list hits has no lists.
+    """
+    hosts = F.filter(F.array_distinct(F.transform("hops", lambda h: h["hostname"])), lambda h: h != "")
+    met = chains.select("normalized_url", hosts.alias("hosts"))
+    placed = met.select("normalized_url", F.posexplode("hosts").alias("pos", "host")).withColumn(
+        "domain", registrable_domain(F.col("host")))
+    found = narrowed(placed, lists, "domain", "lists-met")
+    each = spread_join(placed, found, "domain", "left", tie=["normalized_url", "pos"])
+    own = F.coalesce("lists", F.array().cast(lists.schema["lists"].dataType))
+    nested = each.groupBy("normalized_url").agg(F.array_sort(F.collect_list(
+        F.struct("pos", "host", "domain", F.array_sort(F.array_distinct(own)).alias("lists")))).alias("explained"))
+    merged = F.array_sort(F.array_distinct(F.flatten(F.transform("explained", lambda e: e["lists"]))))
+    return met.join(nested, "normalized_url", "left").withColumn("lists", F.when(F.size(merged) > 0, merged))
 
 
 def _part(value: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hedgemark.functions.addresses import address_classes
 from hedgemark.operators import audit, constraints, events as ev, labels as lab
-from hedgemark.operators import policy as pol, redirects as red, scan as sc, state as st
+from hedgemark.operators import policy as pol, ranges as rng, redirects as red, scan as sc, state as st
 from hedgemark.operators import urls as url_jobs
 from hedgemark.plans import inputs as inp, moderation as mod
 from hedgemark.session import prepare
@@ -339,6 +339,13 @@ def ip_ranges(spark, sf):
         "url", F.col("z.ips").alias("ip"), F.col("z.class").alias("class"))
 
 
+@query
+def narrowest_ranges(spark, sf):
+    """Addresses of all order lines against a range table with one row per order."""
+    found = rng.narrowest_ranges(inp.range_addresses(spark, sf), inp.address_ranges(spark, sf), "ip", ["orderkey", "linenumber"])
+    return found.select("orderkey", "linenumber", "ip", F.col("range.range_id"), F.col("range.cidr"))
+
+
 @query
 def resolve_redirects(spark, sf):
     urls = inp.page_urls(spark, sf).filter("normalized_url is not null").select("normalized_url", "hostname").distinct()
@@ -348,19 +355,36 @@ def resolve_redirects(spark, sf):
         F.transform("hops", lambda h: h["url"]).alias("hops"))
 
 
+def _listed(column: str, text) -> Column:
+    """An array as one text, in its own order; empty if missing."""
+    return F.coalesce(F.array_join(F.transform(column, text), ";"), F.lit(""))
+
+
+def _spelled(*parts) -> Column:
+    return F.concat_ws("=", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
 @query
 def event_detail(spark, sf):
+    """All scans of all events with the contents of their evidence, as one text per event."""
     s = inp.scan(spark, sf)
-    details = st.scan_detail(s.scans, s.occurrences, s.resolutions, s.hops, s.matches, s.classifications)
+    logged = inp.scan_log(spark, sf).select("scan_id", "event_id", "inserted_at", "status", "policy_generation")
+    details = st.scan_detail(logged, s.occurrences, s.resolutions, s.chains, s.matches, inp.classification_log(spark, sf))
     detail = st.event_detail(
-        inp.stored(spark, sf).select("event_id", "article_address"), ev.event_relays(inp.valid(spark, sf)),
-        s.scans, details)
-    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+        inp.stored(spark, sf).select("event_id", "article_address"), ev.event_relays(inp.valid(spark, sf)), details)
+    one = lambda scan: F.concat_ws(
+        "|", scan["scan_id"], scan["status"], scan["policy_generation"].cast("string"),
+        _listed(scan["occurrences"], lambda o: _spelled(o["position"], o["normalized_url"], o["source_type"])),
+        _listed(scan["resolutions"], lambda r: _spelled(
+            r["primary_position"], r["normalized_url"], r["status"], r["final_url"], r["redirect_count"],
+            F.array_join(F.transform(r["hops"], lambda h: h["hop_url"]), ">"))),
+        _listed(scan["matches"], lambda m: _spelled(
+            m["position"], m["hop_index"], m["category_id"], m["blocklist_id"], m["matched_hostname"])),
+        F.coalesce(F.array_join(scan["categories"], ","), F.lit("")))
+    text = F.array_join(F.transform("scans", one), "\n")
     return detail.select(
-        "event_id", "article_address", "relays", "scans", F.col("scan_status").alias("status"),
-        count("occurrences").alias("occurrences"), count("resolutions").alias("resolutions"),
-        F.coalesce(F.aggregate("resolutions", F.lit(0), lambda a, r: a + F.size(r["hops"])), F.lit(0)).alias("hops"),
-        count("matches").alias("matches"), "categories")
+        "event_id", "article_address", "relays", F.size("scans").alias("scans"), F.length(text).alias("letters"),
+        F.sha2(text, 256).alias("content"))
 
 
 @query
@@ -508,9 +532,11 @@ def url_verdict(spark, sf):
 
 @query
 def explain_chain(spark, sf):
-    return _page_answers(spark, sf).withColumn(
-        "lists", F.transform("lists", lambda l: F.concat_ws(":", l["category_slug"], l["list_name"]))).select(
-        "normalized_url", "hosts", F.coalesce("lists", F.array().cast("array<string>")).alias("lists"))
+    named = lambda lists: F.transform(lists, lambda l: F.concat_ws(":", l["category_slug"], l["list_name"]))
+    host = lambda e: F.concat_ws("=", e["host"], F.coalesce(e["domain"], F.lit("")), F.array_join(named(e["lists"]), "+"))
+    return _page_answers(spark, sf).select(
+        "normalized_url", "hosts", F.coalesce(named("lists"), F.array().cast("array<string>")).alias("lists"),
+        F.transform("explained", host).alias("explained"))
 
 
 @query
@@ -556,6 +582,34 @@ def resolution_timing(spark, sf):
         "normalized_url", "final_hostname", "dns_ms", "connect_ms", "head_ms", "duration_ms")
 
 
+@query
+def refresh_outcome(spark, sf):
+    """All registered lists after a refresh: new, rejected, unchanged and those that offered nothing."""
+    active = inp.checksums_in_force(spark, sf)
+    decisions = pol.import_decision(inp.bodies(spark, sf), _rules(spark, sf), active, inp.GUARD)
+    after = pol.finish_refresh(inp.registry(spark, sf), decisions.drop("checksum"), inp.NOW)
+    return after.join(decisions.select("blocklist_id", "decision"), "blocklist_id", "left").select(
+        "blocklist_id", "decision", "refresh_status", "last_error", "next_refresh_at")
+
+
+@query
+def seed_categories(spark, sf):
+    """The built-in categories beside those made from the languages of the documents; English is the adult one."""
+    slug = F.when(F.col("lang") == "en", "adult").otherwise(F.col("lang"))
+    known = inp.table(spark, sf, "documents").filter("lang is not null").select(slug.alias("slug")).distinct().select(
+        F.concat(F.lit("own-"), "slug").alias("category_id"), "slug", F.upper("slug").alias("name"), F.lit("").alias("description"),
+        F.lit(False).alias("enabled"), F.lit(False).alias("blocks_serving"))
+    return pol.seed_categories(known).drop("description")
+
+
+@query
+def seed_skip_hosts(spark, sf):
+    """The built-in skip hosts beside all hosts of pages."""
+    hosts = inp.page_urls(spark, sf).filter("hostname is not null").groupBy(F.col("hostname").alias("host")).agg(
+        F.count(F.lit(1)).alias("pages"))
+    return red.default_skip_hosts(hosts)
+
+
 @query
 def import_lists(spark, sf):
     """Entries of the versions an import of all bodies activates."""

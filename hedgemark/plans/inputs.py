@@ -23,6 +23,7 @@ from hedgemark.session import prepare
 from hedgemark.sources import feeds
 from hedgemark.sources.tables import run_dir, stage
 
+SPREAD = 2_654_435_761  # deals numbers out over the space of version 4 addresses
 BASE = 1_704_067_200
 NOW = BASE + 86_520
 SCANNED = BASE + 132_800
@@ -145,6 +146,33 @@ def skip_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "skip_hosts", build)
 
 
+def _quad(n: Column) -> Column:
+    byte = lambda place: (F.floor(n / place) % 256).cast("string")
+    return F.concat_ws(".", byte(1 << 24), byte(1 << 16), byte(1 << 8), byte(1))
+
+
+def _six(a: Column, b: Column) -> Column:
+    return F.concat(F.lit("2001:db8:"), F.lower(F.hex(a)), F.lit(":"), F.lower(F.hex(b)), F.lit("::"))
+
+
+def address_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """One range per order: two of three of version 4 (/8 to /32, host bits set), one of version 6 (/32 to /64)."""
+    k = F.col("o_orderkey")
+    four = F.concat(_quad(k * SPREAD % (1 << 32)), F.lit("/"), (8 + k % 25).cast("string"))
+    six = F.concat(_six(k * 40_503 % 65_536, k * 30_011 % 65_536), F.lit("/"), (32 + k % 33).cast("string"))
+    return table(spark, sf, "orders").select(k.alias("range_id"), F.when(k % 3 == 0, six).otherwise(four).alias("cidr"))
+
+
+def range_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """One address per order line, near the range of its order; some wrapped, missing or none."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
+    four = _quad((k * SPREAD + n * n * n * 97) % (1 << 32))
+    six = F.concat(F.upper(_six(k * 40_503 % 65_536, (k * 30_011 + n) % 65_536)), n.cast("string"))
+    ip = F.when(k % 50 == 7, F.lit(None).cast("string")).when(k % 50 == 8, "999.1.1.1").when(n % 3 == 0, six) \
+        .when(k % 50 == 9, F.concat(F.lit("::ffff:"), four)).otherwise(four)
+    return table(spark, sf, "lineitem").select(k.alias("orderkey"), n.alias("linenumber"), ip.alias("ip"))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "edges", lambda: red.hop_edges(hop_log(spark, sf), skip_hosts(spark, sf)))
 
@@ -272,6 +300,13 @@ def previous_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def checksums_in_force(spark: SparkSession, sf: str) -> DataFrame:
+    """``previous_counts`` with the content in force; every fifth list still offers the same body."""
+    block = F.substring("blocklist_id", 2, 20).cast("bigint")
+    same = bodies(spark, sf).select("blocklist_id", F.when(block % 5 == 2, F.sha2("body", 256)).otherwise("other").alias("active_checksum"))
+    return same.join(previous_counts(spark, sf), "blocklist_id", "left")
+
+
 # -- events -----------------------------------------------------------------------
 
 def _json_text(c: Column) -> Column:

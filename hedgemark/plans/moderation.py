@@ -105,11 +105,12 @@ def import_lists(bodies: DataFrame, active: DataFrame, now: int, limits: Limits
     """Parse list bodies, apply the guards, and build the new versions and entries.
 
     A rejected body yields a failed version and no entries, so the version in force
-    stays as it is. ``active`` has ``blocklist_id, previous_count``.
+    stays as it is; a body equal to the one in force (``active_checksum``) yields neither.
+    ``active`` has ``blocklist_id, previous_count`` and may have ``active_checksum``.
     """
     rules = stage(pol.distinct_rules(pol.parse_blocklists(bodies, limits)), "rules")
     decisions = stage(pol.import_decision(bodies, rules, active, limits), "decisions")
-    versions = decisions.select(
+    versions = decisions.filter("decision <> 'unchanged'").select(
         version_id().alias("version_id"), "blocklist_id", "checksum", "error",
         F.when(F.col("error").isNull(), "validated").otherwise("failed").alias("status"),
         F.when(F.col("error").isNull(), F.col("entry_count")).otherwise(0).alias("entry_count"),

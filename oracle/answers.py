@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hedgemark.config import DEFAULT_SKIP_HOSTS
 from oracle.inputs import BASE, NOW, SCANNED, domain, sql
 
 ANSWERS: dict[str, str] = {}
@@ -119,14 +120,30 @@ answer("current_policy_rescan", """
   SELECT event_id, 'existing' AS mode FROM stored
   UNION ALL SELECT current_event_id, 'listed' FROM states WHERE status = 'pending'""")
 answer("ip_ranges", "SELECT url, ip, class FROM ip_class")
+answer("narrowest_ranges", """
+  SELECT a.orderkey, a.linenumber, a.ip, b.range_id, b.cidr FROM range_addresses a LEFT JOIN (
+    SELECT v, arg_min(range_id, place) AS range_id, arg_min(cidr, place) AS cidr FROM (
+      SELECT a.v, r.range_id, r.cidr, -r.size * 1000000000000 + r.range_id AS place
+      FROM (SELECT DISTINCT v FROM range_addresses WHERE v IS NOT NULL) a JOIN address_ranges r ON a.v BETWEEN r.low AND r.low + r.width - 1)
+    GROUP BY 1) b USING (v)""")
 answer("resolve_redirects", """
   SELECT normalized_url, status, final_url, final_hostname, http_status, redirect_count, error, array_to_string(path, ',') AS hops FROM page_chains""")
 answer("event_detail", """
-  SELECT s.event_id, s.article_address, s.relays, CAST(1 AS BIGINT) AS scans, c.status, CAST(c.urls_discovered AS BIGINT) AS occurrences,
-    CAST(c.urls_resolved AS BIGINT) AS resolutions, CAST(coalesce(h.hops, 0) AS BIGINT) AS hops, c.matches_found AS matches, k.categories
-  FROM stored s JOIN scans3 c USING (event_id)
-  LEFT JOIN (SELECT event_id, sum(redirect_count + 1) AS hops FROM event_urls JOIN chains USING (normalized_url) GROUP BY 1) h USING (event_id)
-  LEFT JOIN (SELECT event_id, string_agg(category_id, ',' ORDER BY category_id) AS categories FROM classified3 GROUP BY 1) k USING (event_id)""")
+  SELECT s.event_id, s.article_address, s.relays, d.scans, d.letters, d.content FROM stored s JOIN (
+    SELECT event_id, CAST(count(*) AS BIGINT) AS scans, CAST(length(string_agg(one, chr(10) ORDER BY inserted_at, scan_id)) AS BIGINT) AS letters,
+      sha256(string_agg(one, chr(10) ORDER BY inserted_at, scan_id)) AS content
+    FROM (SELECT l.event_id, l.inserted_at, l.scan_id, concat_ws('|', l.scan_id, l.status, l.policy_generation,
+        coalesce(o.text, ''), coalesce(r.text, ''), coalesce(m.text, ''), coalesce(k.text, '')) AS one
+      FROM scan_log l
+      LEFT JOIN (SELECT event_id || ':3' AS scan_id, string_agg(concat_ws('=', position, normalized_url, source_type), ';' ORDER BY position) AS text
+        FROM occ GROUP BY 1) o USING (scan_id)
+      LEFT JOIN (SELECT event_id || ':3' AS scan_id, string_agg(concat_ws('=', primary_position, normalized_url, status, coalesce(final_url, ''),
+          redirect_count, array_to_string(path, '>')), ';' ORDER BY primary_position, normalized_url) AS text
+        FROM event_urls JOIN chains USING (normalized_url) GROUP BY 1) r USING (scan_id)
+      LEFT JOIN (SELECT scan_id, string_agg(concat_ws('=', position, hop_index, category_id, blocklist_id, matched_hostname), ';'
+          ORDER BY position, hop_index, category_id, blocklist_id) AS text FROM matches GROUP BY 1) m USING (scan_id)
+      LEFT JOIN (SELECT scan_id, string_agg(DISTINCT category_id, ',' ORDER BY category_id) AS text FROM class_log GROUP BY 1) k USING (scan_id))
+    GROUP BY 1) d USING (event_id)""")
 answer("batch_lookup", """
   SELECT k.batch, k.pos, k.kind, e.error, CASE WHEN e.error IS NULL THEN k.kind || ':' || k.pubkey || ':' || k.d_tag END AS article_address,
     CASE WHEN e.error IS NULL THEN coalesce(s.status, 'unknown') END AS status, CASE WHEN e.error IS NULL THEN s.blacklisted END AS blacklisted,
@@ -203,9 +220,13 @@ answer("write_target_results", f"""
     FROM {WALK} JOIN hits USING (domain) GROUP BY 1) v ON v.start_url = c.normalized_url
   LEFT JOIN {CHAIN_LISTS} l ON l.start_url = c.normalized_url""")
 answer("explain_chain", f"""
-  SELECT c.normalized_url, h.hosts, coalesce(l.lists, '') AS lists FROM page_chains c
-  JOIN (SELECT start_url, string_agg(host, ',' ORDER BY first) AS hosts FROM (
-    SELECT start_url, host, min(idx) AS first FROM page_chain_walk GROUP BY 1, 2) GROUP BY 1) h ON h.start_url = c.normalized_url
+  SELECT c.normalized_url, h.hosts, coalesce(l.lists, '') AS lists, h.explained FROM page_chains c
+  JOIN (SELECT start_url, string_agg(host, ',' ORDER BY first) AS hosts,
+      string_agg(concat_ws('=', host, coalesce(domain, ''), coalesce(own, '')), ',' ORDER BY first) AS explained FROM (
+    SELECT start_url, host, any_value(domain) AS domain, min(idx) AS first FROM {WALK} GROUP BY 1, 2)
+    LEFT JOIN (SELECT domain, string_agg(named, '+' ORDER BY category_slug, list_name) AS own FROM (
+      SELECT DISTINCT domain, category_slug, list_name, category_slug || ':' || list_name AS named FROM snapshot) GROUP BY 1) USING (domain)
+    GROUP BY 1) h ON h.start_url = c.normalized_url
   LEFT JOIN (SELECT start_url, string_agg(named, ',' ORDER BY category_slug, list_name) AS lists FROM (
     SELECT DISTINCT start_url, category_slug, list_name, category_slug || ':' || list_name AS named FROM {WALK} JOIN snapshot USING (domain))
     GROUP BY 1) l ON l.start_url = c.normalized_url""")
@@ -228,6 +249,21 @@ ERRORS = f"""(SELECT b.blocklist_id, sha256(b.blocklist_id || ':' || sha256(b.bo
       WHEN p.previous_count > 0 AND r.n * 2 < p.previous_count THEN 'suspicious entry count decrease' END AS error
     FROM bodies b LEFT JOIN (SELECT blocklist_id, {N} AS n FROM {DISTINCT} GROUP BY 1) r USING (blocklist_id)
     LEFT JOIN previous p USING (blocklist_id))"""
+answer("refresh_outcome", f"""
+  SELECT r.blocklist_id, e.decision, CASE WHEN e.decision IS NULL THEN r.refresh_status WHEN e.error IS NULL THEN 'ok' ELSE 'rejected' END AS refresh_status,
+    CASE WHEN e.decision IS NULL THEN r.last_error ELSE e.error END AS last_error,
+    CASE WHEN e.decision IS NOT NULL AND e.error IS NULL THEN {NOW} + r.refresh_interval_s ELSE r.next_refresh_at END AS next_refresh_at
+  FROM registry r LEFT JOIN (SELECT blocklist_id, CASE WHEN same THEN 'unchanged' WHEN error IS NULL THEN 'activate' ELSE 'reject' END AS decision,
+    CASE WHEN NOT same THEN error END AS error FROM (SELECT *, CAST(blocklist_id[2:] AS BIGINT) % 5 = 2 AS same FROM {ERRORS})) e USING (blocklist_id)""")
+answer("seed_categories", """
+  SELECT DISTINCT 'own-' || slug AS category_id, slug, upper(slug) AS name, false AS enabled, false AS blocks_serving
+  FROM (SELECT CASE WHEN lang = 'en' THEN 'adult' ELSE lang END AS slug FROM documents WHERE lang IS NOT NULL)
+  UNION ALL SELECT category_id, slug, name, enabled, blocks_serving FROM cats
+  WHERE slug <> 'legacy' AND (slug <> 'adult' OR NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'en'))""")
+answer("seed_skip_hosts", f"""
+  SELECT hostname AS host, {N} AS pages FROM pu WHERE hostname IS NOT NULL GROUP BY 1
+  UNION ALL SELECT host, NULL FROM (VALUES {", ".join(f"('{h}')" for h in DEFAULT_SKIP_HOSTS)}) AS v(host)
+  WHERE host NOT IN (SELECT hostname FROM pu WHERE hostname IS NOT NULL)""")
 answer("import_lists", f"""
   SELECT e.version_id || ':' || r.line_no AS entry_id, e.version_id AS blocklist_version_id, r.rule_type, r.normalized_value, r.registrable_domain
   FROM {DISTINCT} r JOIN {ERRORS} e USING (blocklist_id) WHERE e.error IS NULL""")

@@ -112,6 +112,21 @@ CTES["ip_numbers"] = r"""
   SELECT *, CASE WHEN regexp_full_match(replace(ip, '::ffff:', ''), '[0-9]+(\.[0-9]+){3}') AND list_max(q::BIGINT[]) < 256
     THEN ((q[1]::BIGINT * 256 + q[2]::BIGINT) * 256 + q[3]::BIGINT) * 256 + q[4]::BIGINT END AS v FROM ip_parts"""
 CTES["ip_class"] = f"SELECT url, observed_at, ip, CASE WHEN v IS NULL THEN 'invalid' {_CASES} ELSE 'public' END AS class FROM ip_numbers"
+_QUAD = "concat_ws('.', n // 16777216, n // 65536 % 256, n // 256 % 256, n % 256)"
+CTES["address_ranges"] = f"""
+  SELECT range_id, 64 - bits AS size, cidr, place + n - n % (1::BIGINT << bits) AS low, 1::BIGINT << bits AS width FROM (
+    SELECT k AS range_id, n, 0 AS place, 24 - k % 25 AS bits, {_QUAD} || '/' || (8 + k % 25) AS cidr
+    FROM (SELECT o_orderkey AS k, o_orderkey * 2654435761 % 4294967296 AS n FROM orders) WHERE k % 3 <> 0
+    UNION ALL
+    SELECT k, a * 65536 + b, 1::BIGINT << 40, 32 - k % 33, printf('2001:db8:%x:%x::/%d', a, b, 32 + k % 33)
+    FROM (SELECT o_orderkey AS k, o_orderkey * 40503 % 65536 AS a, o_orderkey * 30011 % 65536 AS b FROM orders) WHERE k % 3 = 0)"""
+CTES["range_addresses"] = f"""
+  SELECT k AS orderkey, l AS linenumber,
+    CASE WHEN k % 50 = 7 THEN NULL WHEN k % 50 = 8 THEN '999.1.1.1' WHEN l % 3 = 0 THEN upper(printf('2001:db8:%x:%x::', a, b)) || l
+      WHEN k % 50 = 9 THEN '::ffff:' || {_QUAD} ELSE {_QUAD} END AS ip,
+    CASE WHEN k % 50 IN (7, 8) THEN NULL WHEN l % 3 = 0 THEN (1::BIGINT << 40) + a * 65536 + b ELSE n END AS v
+  FROM (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS l, (l_orderkey * 2654435761 + l * l * l * 97) % 4294967296 AS n,
+    l_orderkey * 40503 % 65536 AS a, (l_orderkey * 30011 + l) % 65536 AS b FROM lineitem)"""
 CTES["blocked"] = """
   SELECT DISTINCT url, observed_at FROM ip_class WHERE class <> 'public'
   UNION SELECT url, observed_at FROM hop_all WHERE coalesce(len(ips), 0) = 0"""
