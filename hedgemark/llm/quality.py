@@ -3,14 +3,17 @@
 One pass works out the measures of each text inside its row (no shuffle of words or
 texts) and stages them; mergeable quantile sketches of the measures are then built per
 language and source. A group of few rows takes the merged sketch of its language, and
-that of few rows the merged sketch of all. The fences that follow are joined back.
+that of few rows the merged sketch of all. The quartiles that follow are joined back. A
+fence lies ``reach`` spreads outside them, where the spread is the quartile distance of
+the group or, if larger, the noise of a count in a text of that length; no cutoff is fixed.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import split_words
@@ -20,22 +23,25 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Base rule: at least so many words, and at most so many per cent of them in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: measure -> (judged below its fence, judged above it, least distance between the quartiles)
-MEASURES = {
-    "word_length": (True, True, 0.25),
-    "symbol_share": (False, True, 0.01),
-    "dup_line_share": (False, True, 0.1),
-    "repeat_share": (False, True, 0.05),
+#: share -> (counted, out of, how many one event adds): a window found twice covers six words
+SHARES = {
+    "symbol_share": ("n_symbols", "n_words", 1.0),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1.0),
+    "repeat_share": ("n_repeat_words", "n_words", 6.0),
 }
+MEASURES = ("word_length", *SHARES)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Fences lie ``reach`` quartile distances outside the quartiles; a group below ``min_rows`` uses a wider one."""
+    """Fences lie ``reach`` spreads outside the quartiles; a group below ``min_rows`` uses a wider one.
 
-    reach: float = 6.0
+    Sketches tell values apart that differ by ``accuracy`` of themselves.
+    """
+
+    reach: float = 5.0
     min_rows: int = 200
-    sketch_k: int = 400
+    accuracy: float = 0.002
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -81,41 +87,67 @@ def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _shares(rows: DataFrame) -> DataFrame:
+def _scaled(rows: DataFrame) -> DataFrame:
+    """Adds each measure on a scale where its noise does not depend on its size, and that noise (``noise_<measure>``).
+
+    Shares become square roots (Anscombe's transform of a count): their noise follows the
+    length alone, and most texts having none does not make the quartiles coincide. The
+    noise of a mean word length is that of a Poisson length.
+    """
     over = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return rows.withColumns({
-        "word_length": F.col("word_chars") / over, "symbol_share": F.col("n_symbols") / over,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeat_share": F.col("n_repeat_words") / over, "base_failed": _base_failed()})
+    made = {"base_failed": _base_failed(), "word_length": F.col("word_chars") / over,
+            "noise_word_length": F.sqrt(F.col("word_chars")) / over}
+    for share, (count, total, unit) in SHARES.items():
+        out_of = F.col(total) / F.lit(unit) + F.lit(0.75)
+        made[share] = F.sqrt((F.col(count) / F.lit(unit) + F.lit(0.375)) / out_of)
+        made[f"noise_{share}"] = F.lit(0.5) / F.sqrt(out_of)
+    return rows.withColumns(made)
+
+
+def sketches(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Logarithmic buckets of each measure per language and source: g_lang, g_source, measure, bucket, n.
+
+    A quantile sketch with a relative error of half ``accuracy`` that merges by adding up,
+    so it does not depend on the order or number of tasks. Combined before the shuffle;
+    a group has at most a few thousand buckets a measure, and no more than rows.
+    """
+    step = math.log1p(rules.accuracy)
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.log(F.col(m)) / F.lit(step)).alias("bucket"))
+                       for m in MEASURES])
+    fit = rows.where(~F.col("base_failed")).select("g_lang", "g_source", F.explode(values).alias("v"))
+    return fit.groupBy("g_lang", "g_source", "v.measure", "v.bucket").agg(F.count("*").alias("n"))
+
+
+def _quartiles(cells: DataFrame, keys: list[str], rules: Rules, name: str) -> DataFrame:
+    """Per ``keys``: struct ``name`` of n and, for each measure, its quartiles q1_ and q3_."""
+    step = math.log1p(rules.accuracy)
+    merged = cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "measure")
+    merged = merged.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket")), "total": F.sum("n").over(whole)})
+    value = F.exp((F.col("bucket") + F.lit(0.5)) * F.lit(step))
+    found = [F.max("total").alias("n")]
+    for m in MEASURES:
+        for q, part in (("q1", 0.25), ("q3", 0.75)):
+            reached = (F.col("measure") == m) & (F.col("upto") >= F.lit(part) * F.col("total"))
+            found.append(F.min(F.when(reached, value)).alias(f"{q}_{m}"))
+    made = merged.groupBy(*keys).agg(*found)
+    return made.select(*keys, F.struct(*[c for c in made.columns if c not in keys]).alias(name))
 
 
 def fences(rows: DataFrame, rules: Rules) -> DataFrame:
-    """Per ``g_lang`` and ``g_source``: ``low_<measure>`` and ``high_<measure>``.
+    """Quartiles ``q1_<measure>``, ``q3_<measure>`` that hold for each ``g_lang`` and ``g_source``.
 
     One row per pair of values that occurs, so its size follows the sources, not the texts.
     """
-    fit = rows.where(~F.col("base_failed"))
-    own = fit.groupBy("g_lang", "g_source").agg(
-        F.first("g_all").alias("g_all"), F.count("*").alias("n"),
-        *[F.kll_sketch_agg_double(m, F.lit(rules.sketch_k)).alias(m) for m in MEASURES])
-    own = stage(own, "sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES]]
-    by_lang = own.groupBy("g_lang").agg(*merged).select(
-        "g_lang", F.struct("n", *MEASURES).alias("lang"))
-    overall = own.groupBy("g_all").agg(*merged).select("g_all", F.struct("n", *MEASURES).alias("total"))
+    cells = stage(sketches(rows, rules).withColumn("g_all", F.lit(0)), "sketches")
     pairs = rows.groupBy("g_lang", "g_source").agg(F.first("g_all").alias("g_all"))
-    found = pairs.join(own.select("g_lang", "g_source", F.struct("n", *MEASURES).alias("own")),
-                       ["g_lang", "g_source"], "left") \
-        .join(by_lang, "g_lang", "left").join(overall, "g_all", "left")
+    found = pairs.join(_quartiles(cells, ["g_lang", "g_source"], rules, "own"), ["g_lang", "g_source"], "left") \
+        .join(_quartiles(cells, ["g_lang"], rules, "lang"), "g_lang", "left") \
+        .join(_quartiles(cells, ["g_all"], rules, "total"), "g_all", "left")
     used = F.when(F.col("own.n") >= rules.min_rows, F.col("own")) \
         .when(F.col("lang.n") >= rules.min_rows, F.col("lang")).otherwise(F.col("total"))
-    found = found.select("g_lang", "g_source", used.alias("s"))
-    limits = []
-    for m, (_, _, least) in MEASURES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col("s")[m], F.lit(q)) for q in (0.25, 0.75))
-        reach = rules.reach * F.greatest(q3 - q1, F.lit(least))
-        limits += [(q1 - reach).alias(f"low_{m}"), (q3 + reach).alias(f"high_{m}")]
-    return found.select("g_lang", "g_source", *limits)
+    return found.select("g_lang", "g_source", used.alias("s")).select(
+        "g_lang", "g_source", *[f"s.{q}_{m}" for m in MEASURES for q in ("q1", "q3")])
 
 
 def judge(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame:
@@ -128,15 +160,15 @@ def judge(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame
     """
     groups = docs.select(F.struct(*keep).alias("doc"), "text", F.to_json(F.struct("lang")).alias("g_lang"),
                          F.to_json(F.struct("source")).alias("g_source"))
-    rows = stage(_shares(measured(groups, ["doc", "g_lang", "g_source"])).withColumn("g_all", F.lit(0)), "measures")
+    rows = stage(_scaled(measured(groups, ["doc", "g_lang", "g_source"])).withColumn("g_all", F.lit(0)), "measures")
     joined = rows.join(fences(rows, rules), ["g_lang", "g_source"], "left")
     reasons = [F.when(F.col("base_failed"), F.lit("base"))]
-    for m, (below, above, _) in MEASURES.items():
-        out = F.lit(False)
-        if below:
-            out = out | (F.col(m) < F.col(f"low_{m}"))
-        if above:
-            out = out | (F.col(m) > F.col(f"high_{m}"))
+    for m in MEASURES:
+        q1, q3 = F.col(f"q1_{m}"), F.col(f"q3_{m}")
+        reach = F.lit(rules.reach) * F.greatest(q3 - q1, F.col(f"noise_{m}"))
+        out = F.col(m) > q3 + reach
+        if m not in SHARES:
+            out = out | (F.col(m) < q1 - reach)
         reasons.append(F.when(out, F.lit(m)))
     joined = joined.withColumn("reasons", F.array_compact(F.array(*reasons)))
     return joined.select("doc.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

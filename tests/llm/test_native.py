@@ -1,6 +1,8 @@
 """Decontamination and quality rules against plain versions, and their plans."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -114,3 +116,70 @@ def test_symbols_of_a_group_without_any(spark):
     rows = [(k, text(k, 0), "x", "a") for k in range(300)] + [(300, text(300, 3), "x", "a"), (301, text(301, 0), "x", "a")]
     judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
     assert {r.doc_id: r.reasons for r in judged.where(~F.col("kept")).collect()} == {300: ["symbol_share"]}
+
+
+def plain_kept(docs, rules=quality.Rules()):
+    """(row, kept) by sorted lists: quartile = middle of the bucket of the least value that a quarter or three do not pass."""
+    step, rows = math.log1p(rules.accuracy), []
+    for r in docs:
+        n, chars, symbols, dup, rep, failed = plain_measures(r.text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n"))
+        v = {"w": (chars / max(n, 1), math.sqrt(chars) / max(n, 1))}
+        for name, count, total in (("s", symbols, n), ("d", dup, lines), ("r", rep / 6, n / 6)):
+            v[name] = math.sqrt((count + 0.375) / (total + 0.75)), 0.5 / math.sqrt(total + 0.75)
+        rows.append((r, v, failed))
+
+    def quartiles(group, m):
+        at = sorted(math.floor(math.log(v[m][0]) / step) for _, v, _ in group)
+        return [math.exp((at[math.ceil(q * len(at)) - 1] + 0.5) * step) for q in (0.25, 0.75)]
+
+    fit, known = [x for x in rows if not x[2]], {}
+    for r, v, failed in rows:
+        if (r.lang, r.source) not in known:
+            levels = [[x for x in fit if (x[0].lang, x[0].source) == (r.lang, r.source)], [x for x in fit if x[0].lang == r.lang], fit]
+            group = next((x for x in levels if len(x) >= rules.min_rows), fit)
+            known[r.lang, r.source] = {m: quartiles(group, m) for m in v} if group else {}
+        kept = not failed
+        for m, (q1, q3) in known[r.lang, r.source].items():
+            reach = rules.reach * max(q3 - q1, v[m][1])
+            kept = kept and v[m][0] <= q3 + reach and (m != "w" or v[m][0] >= q1 - reach)
+        yield r, kept
+
+
+def noisy(spark):
+    """Three sources of one language: plain prose, tables full of marks, and verse of repeated lines; and strangers in each."""
+    rng, rows = random.Random(7), []
+
+    def prose(n, marks=0.0, again=0.0):
+        words = [rng.choice("abcdefgh") * rng.randint(2, 8) + str(rng.randrange(9000)) + ("|" if rng.random() < marks else "")
+                 for _ in range(n)]
+        lines = [" ".join(words[i:i + 8]) for i in range(0, n, 8)]
+        return "\n".join(lines[rng.randrange(k)] if k and rng.random() < again else line for k, line in enumerate(lines))
+
+    for source, marks, again in (("prose", 0.0, 0.0), ("tables", 0.5, 0.0), ("verse", 0.0, 0.2)):
+        rows += [(prose(rng.randint(100, 900), marks * rng.uniform(0.3, 1), again * rng.random()), source) for _ in range(220)]
+        rows += [(prose(300, 0.5, 0.0), source), (prose(300, 0.0, 0.2), source), (prose(300), source), (None, source)]
+    rows += [(prose(200), None), (prose(200, 0.9), None), ("few words", "prose")]
+    return spark.createDataFrame([(k, text, "xx" if k % 50 else None, source, "x") for k, (text, source) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, g_all string")
+
+
+def test_verdicts_like_plain(spark, sample):
+    for docs in (noisy(spark), sample.select("doc_id", "text", "lang", "source")):
+        for rules in (quality.Rules(min_rows=30), quality.Rules(reach=1.5, min_rows=20)):
+            found = sorted((r.doc_id, r.kept) for r in quality.judge(docs, ["doc_id"], rules).collect())
+            assert found == sorted((r.doc_id, kept) for r, kept in plain_kept(docs.collect(), rules))
+            assert len({kept for _, kept in found}) == 2
+
+
+def test_what_is_usual_in_one_source_is_not_in_another(spark):
+    judged = {(r.source, r.doc_id % 224): r for r in quality.judge(noisy(spark), ["doc_id", "source"]).collect() if r.doc_id < 672}
+    assert "symbol_share" in judged["prose", 220].reasons and "symbol_share" in judged["verse", 220].reasons
+    assert judged["tables", 220].kept
+    assert all(judged[source, 222].kept for source in ("prose", "verse"))
+
+
+def test_verdicts_do_not_depend_on_the_partitions(spark):
+    docs = noisy(spark)
+    runs = [sorted((r.doc_id, r.kept) for r in quality.judge(docs.repartition(n), ["doc_id"]).collect()) for n in (1, 13)]
+    assert runs[0] == runs[1]
