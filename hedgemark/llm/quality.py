@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import split_words
+from hedgemark.operators.joins import spread_join
 from hedgemark.sources.tables import stage
 
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -150,6 +151,10 @@ def fences(rows: DataFrame, rules: Rules) -> DataFrame:
         "g_lang", "g_source", *[f"s.{q}_{m}" for m in MEASURES for q in ("q1", "q3")])
 
 
+def _pair() -> Column:
+    return F.to_json(F.struct("g_lang", "g_source"))
+
+
 def judge(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame:
     """One row per document row: ``keep``, the measures, ``base_failed``, ``kept``, and ``reasons``.
 
@@ -161,7 +166,8 @@ def judge(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame
     groups = docs.select(F.struct(*keep).alias("doc"), "text", F.to_json(F.struct("lang")).alias("g_lang"),
                          F.to_json(F.struct("source")).alias("g_source"))
     rows = stage(_scaled(measured(groups, ["doc", "g_lang", "g_source"])).withColumn("g_all", F.lit(0)), "measures")
-    joined = rows.join(fences(rows, rules), ["g_lang", "g_source"], "left")
+    limits = fences(rows, rules).withColumn("g_pair", _pair()).drop("g_lang", "g_source")
+    joined = spread_join(rows.withColumn("g_pair", _pair()), limits, "g_pair", "left", tie=["doc", "n_words", "word_chars"])
     reasons = [F.when(F.col("base_failed"), F.lit("base"))]
     for m in MEASURES:
         q1, q3 = F.col(f"q1_{m}"), F.col(f"q3_{m}")
