@@ -15,7 +15,7 @@ from hedgemark.operators import policy as pol, ranges as rng, redirects as red,
 from hedgemark.operators import urls as url_jobs
 from hedgemark.plans import inputs as inp, moderation as mod
 from hedgemark.session import prepare
-from hedgemark.sources import feeds, tables as tb
+from hedgemark.sources import buckets, feeds, tables as tb
 from hedgemark.streaming import jobs as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,25 @@ def changed_articles(spark, sf):
         "article_address", "fingerprint")
 
 
+@query
+def article_change_feed(spark, sf):
+    """Results that came, went or changed between two snapshots, by the digests of their buckets.
+
+    The earlier one lacks the events of one first digit and knows no newest generation; the later one lacks those of another.
+    """
+    states, first = inp.states(spark, sf), F.substring("event_id", 1, 1)
+    def written(df, generation, name):
+        path = _path(spark, name)
+        marked = df.withColumn("fingerprint", st.article_fingerprint(F.col("event_id"), F.col("scan_id"), generation))
+        buckets.write_bucketed(marked.select("article_address", "fingerprint"), path, ["article_address"], 64)
+        return path
+    now = F.col("policy_generation")
+    before = written(states.where(first != "0"), F.when(now > inp.GENERATION, inp.GENERATION).otherwise(now), "results-before")
+    after = written(states.where(first != "1"), now, "results-after")
+    feed = buckets.change_feed(spark, before, after, ["article_address"])
+    return feed.select("article_address", "kind", F.col("before.fingerprint").alias("old"), F.col("after.fingerprint").alias("new"))
+
+
 @query
 def verdicts(spark, sf):
     targets = mod.target_verdicts(inp.raw_urls(spark, sf), "raw_url", inp.hits(spark, sf), ["page_id"])

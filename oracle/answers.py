@@ -95,6 +95,13 @@ answer("result_fingerprints", f"""
 answer("changed_articles", """
   SELECT s.article_address, sha256(s.current_event_id || ':' || coalesce(s.scan_id, '') || ':' || coalesce(s.policy_generation || '', '')) AS fingerprint
   FROM states s WHERE s.policy_generation > 3""")
+answer("article_change_feed", """
+  SELECT article_address, CASE digit WHEN '0' THEN 'insert' WHEN '1' THEN 'delete' ELSE 'update' END AS kind,
+    CASE WHEN digit <> '0' THEN old END AS old, CASE WHEN digit <> '1' THEN new END AS new
+  FROM (SELECT article_address, left(current_event_id, 1) AS digit,
+      sha256(current_event_id || ':' || coalesce(scan_id, '') || ':' || coalesce(CASE WHEN policy_generation > 3 THEN 3 ELSE policy_generation END || '', '')) AS old,
+      sha256(current_event_id || ':' || coalesce(scan_id, '') || ':' || coalesce(policy_generation || '', '')) AS new FROM states) marked
+  WHERE digit IN ('0', '1') OR old <> new""")
 answer("verdicts", f"""
   SELECT CASE WHEN normalized_url IS NULL THEN 'invalid' WHEN blacklisted THEN 'blocked' WHEN blacklisted IS NOT NULL THEN 'listed'
     ELSE 'clean' END AS verdict, {N} AS n FROM pu LEFT JOIN domain_answer USING (domain) GROUP BY 1""")
