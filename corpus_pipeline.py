@@ -28,7 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard at least 0.8), that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id.
+
+    SimHash classes and MinHash bands give the candidates; exact Jaccard similarity of 5-word shingles, at least 0.8, decides.
+    """
     return neardup.keep_one(docs)
 
 

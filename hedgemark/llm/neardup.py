@@ -1,10 +1,11 @@
 """Near copies for the corpus pipeline: 5-word shingles, Jaccard similarity of at least 0.8.
 
-SimHash needs 10 to 14 of 64 bits for that similarity, whose pigeonhole blocks are too
-coarse to be buckets. So candidates come from MinHash bands: of two texts at 0.8, all but
-one pair in 1,500 share a band. A band's bucket is linked as a star, so buckets of any size
-cost one link per text. What these links connect is a candidate group, and only texts of
-groups travel. Each group is compared by exact Jaccard similarity, in blocks of bounded
+Candidates are what the operator of ``simhash`` links: fingerprints at four or fewer
+differing bits, found by pigeonhole blocks and checked bit by bit. That similarity needs 10
+to 14 bits, whose blocks are too coarse to be buckets, so MinHash bands add what lies
+further apart: of two texts at 0.8, all but one pair in 1,500 share a band. A class of
+fingerprints and a band's bucket are linked as stars, so any size costs one link per text.
+What these links connect is a candidate group, and only texts of groups travel. Each group is compared by exact Jaccard similarity, in blocks of bounded
 size that all meet each other, and gives back a tree of links for each part.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgemark.llm.common import bounded_batches, lower_ascii
-from hedgemark.llm.simhash import components
+from hedgemark.llm.simhash import classes, components, fingerprint
 from hedgemark.operators.joins import fits_broadcast
 from hedgemark.sources.tables import stage
 
@@ -81,7 +82,8 @@ def _signed(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in columns:
         sets = [shingles(t) for t in texts]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"node": node, "bands": [bands(s) for s in sets]})
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        yield pd.DataFrame({"node": node, "bands": [bands(s) for s in sets], "fp": fps})
 
 
 def _tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -119,12 +121,21 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def close_fingerprints(rows: DataFrame) -> DataFrame:
+    """Links ``a, b`` from the least shingle set of each SimHash class of ``rows`` (doc_id, node, fp) to its others."""
+    held = rows.select("node", "fp").distinct().join(classes(rows.select("doc_id", "fp")).select("fp", "root").hint("merge"), "fp")
+    held = stage(held.select("root", "node").distinct(), "fingerprint-classes")
+    least = held.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z"))
+    return held.join(least.select("root", "a").hint("merge"), "root").where(F.col("node") != F.col("a")) \
+        .select("a", F.col("node").alias("b"))
+
+
 def links_between(docs: DataFrame, rows: DataFrame, nodes: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links ``a, b`` between shingle sets, enough to connect all that chains of similar pairs connect."""
     keyed = rows.select("node", F.explode("bands").alias("band"))
     least = keyed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z"))
     met = stage(keyed.join(least.select("band", "a").hint("merge"), "band").where(F.col("node") != F.col("a"))
-                .select("a", F.col("node").alias("b")).distinct(), "met")
+                .select("a", F.col("node").alias("b")).unionByName(close_fingerprints(rows)).distinct(), "met")
     ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
     groups = components(ends, met).withColumnRenamed("fp", "node").join(nodes, "node")
     before = Window.partitionBy("root").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,10 +159,10 @@ def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     and rows are told apart by 64-bit hashes.
     """
     bounded_batches(docs.sparkSession)
-    sign = F.pandas_udf(_signed, "node bigint, bands array<bigint>")
+    sign = F.pandas_udf(_signed, "node bigint, bands array<bigint>, fp bigint")
     rows = docs.select("doc_id", _key().alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
                        sign(lower_ascii(F.col("text"))).alias("s"))
-    rows = stage(rows.select("doc_id", "key", "bytes", "s.node", "s.bands"), "signed")
+    rows = stage(rows.select("doc_id", "key", "bytes", "s.node", "s.bands", "s.fp"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = stage(rows.groupBy("node").agg(F.min(order).alias("best"), F.max("bytes").alias("bytes")), "sets")
     links = links_between(docs, rows, nodes, block_bytes)
