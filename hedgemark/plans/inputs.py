@@ -37,6 +37,7 @@ GUARD = Limits(
 LIMITS = replace(GUARD, max_content_bytes=DEFAULTS.max_content_bytes, max_list_bytes=DEFAULTS.max_list_bytes,
                  max_list_rules=DEFAULTS.max_list_rules)
 NAMESPACE = "content.example"
+FEED_FILES = 16
 
 # id, category, name, source type, format, enabled, active version
 LISTS = (
@@ -315,10 +316,14 @@ def _json_text(c: Column) -> Column:
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON event per document, with every kind of fault."""
+    """One JSON event per document, with every kind of fault.
+
+    Texts are dealt out once, to as many tasks as the feed has files, and never sorted: the links are what is hashed.
+    """
     m, n = F.col("doc_id") % 50, F.col("doc_id")
     links = page_links(spark, sf).select(F.col("page_id").alias("p"), F.col("raw_url").alias("u0"), "u1", "u2", "u3", "u4")
-    docs = table(spark, sf, "documents").withColumn("p", F.floor(n / 4)).join(links, "p", "left")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", F.floor(n / 4).alias("p"))
+    docs = docs.repartition(FEED_FILES, "p").join(links.repartition(FEED_FILES, "p").hint("shuffle_hash"), "p", "left")
     u = {i: F.coalesce(f"u{i}", F.lit("")) for i in range(5)}
     at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     author = F.sha2("source", 256)
@@ -375,7 +380,7 @@ def feed_path(spark: SparkSession, sf: str) -> str:
     if key not in _feeds:
         prepare(spark)
         path = f"{run_dir(spark)}/feed-{len(_feeds)}"
-        feeds.write_feed(feed_lines(spark, sf), path, files=16)
+        feeds.write_feed(feed_lines(spark, sf), path, files=FEED_FILES)
         _feeds[key] = path
     return _feeds[key]
 

@@ -36,8 +36,8 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int = 1_000)
 
 
 def write_feed(feed: DataFrame, path: str, files: int) -> None:
-    """Land a feed as text lines (column ``value``)."""
-    feed.select("value").repartition(files).write.text(path)
+    """Land a feed as text lines (column ``value``), in at most ``files`` files; lines stay in the tasks that make them."""
+    feed.select("value").coalesce(files).write.text(path)
 
 
 def read_list_bodies(spark: SparkSession, path: str, limits: Limits = DEFAULTS) -> DataFrame:
